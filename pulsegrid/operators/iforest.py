@@ -46,11 +46,12 @@ def grow(sample: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int, f
             nodes.append((node, -1, 0.0, -1, -1, depth + average_path(len(members))))
             continue
         feature = int(rng.choice(usable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        # Below the maximum, so that neither side is empty.
+        threshold = min(rng.uniform(low[feature], high[feature]), np.nextafter(high[feature], low[feature]))
         goes_left = values[:, feature] <= threshold
         left, right = created, created + 1
         created += 2
-        nodes.append((node, feature, threshold, left, right, 0.0))
+        nodes.append((node, feature, float(threshold), left, right, 0.0))
         open_nodes.append((left, members[goes_left], depth + 1))
         open_nodes.append((right, members[~goes_left], depth + 1))
     return nodes

@@ -28,7 +28,7 @@ def series_baseline(series: DataFrame, keys: list[str] = KEYS, params: RiskParam
     indexed = series.withColumns(
         {"rn": F.row_number().over(whole.orderBy("ts")) - 1, "n": F.count(F.lit(1)).over(whole)}
     )
-    averaged = indexed.withColumn("ewma", F.sum(W.ewma_weights(n, rn, params.ewma_alpha) * value).over(whole))
+    averaged = indexed.withColumn("ewma", W.ewma_over(whole, params.ewma_alpha))
     recent = F.when(rn >= n - params.ma_window, value)
     seed = F.var_pop(F.when(rn < W.SEED_ROWS, value))
     terms = F.sum(W.ewma_variance_terms(n, rn, value, F.col("ewma"), params.ewma_alpha))
@@ -150,8 +150,8 @@ def _list_quantile(values: Column, n: Column, p: float) -> Column:
     """Linear-interpolated quantile of a sorted array."""
     position = F.lit(p) * (n - 1)
     low = F.floor(position).cast("int")
-    at_low = F.try_element_at(values, low + 1)
-    at_high = F.try_element_at(values, F.ceil(position).cast("int") + 1)
+    at_low = F.get(values, low)
+    at_high = F.get(values, F.ceil(position).cast("int"))
     return at_low + (at_high - at_low) * (position - low)
 
 
@@ -190,7 +190,7 @@ def prior_baseline(series: DataFrame, keys: list[str] = KEYS, params: RiskParams
     seed_n = F.nullif(F.size(seeds), F.lit(0))
     seed_mean = F.aggregate(seeds, F.lit(0.0), lambda a, v: a + v) / seed_n
     rest = F.slice("_list", 2, PRIOR_ROWS)
-    final = F.aggregate(rest, F.try_element_at("_list", F.lit(1)), lambda a, v: alpha * v + (1 - alpha) * a)
+    final = F.aggregate(rest, F.get("_list", F.lit(0)), lambda a, v: a + alpha * (v - a))
     framed = framed.withColumns(
         {
             "q1": _list_quantile(arranged, size, 0.25),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pulsegrid import schema
@@ -21,11 +21,17 @@ SEED_ROWS = 10
 
 
 def ffill_bfill(grid: DataFrame, keys: list[str], columns: list[str], ts: str = "ts") -> DataFrame:
-    """Forward fill, then backward fill, within each series of a regular grid."""
-    ahead = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*keys).orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
+    """Forward fill, then backward fill, within each series of a regular grid.
+
+    After the forward fill only rows before the first value are empty, so the
+    backward fill is that first value.  (A frame from the current row to the end
+    would be rebuilt for every row.)
+    """
+    series = Window.partitionBy(*keys).orderBy(ts)
+    ahead = series.rowsBetween(Window.unboundedPreceding, 0)
+    whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = {
-        c: F.coalesce(F.last(c, ignorenulls=True).over(ahead), F.first(c, ignorenulls=True).over(back))
+        c: F.coalesce(F.last(c, ignorenulls=True).over(ahead), F.first(c, ignorenulls=True).over(whole))
         for c in columns
     }
     return grid.withColumns(filled)
@@ -119,10 +125,16 @@ def ewma_reach(alpha: float) -> int:
     return math.ceil(1080 * math.log(2) / -math.log1p(-alpha)) if alpha < 1 else 1
 
 
-def ewma_weights(n: Column, rn: Column, alpha: float) -> Column:
-    """Weight of the row at 0-based position ``rn`` in the final average of ``n`` rows."""
+def ewma_over(whole: WindowSpec, alpha: float) -> Column:
+    """Final average of a numbered series (``rn`` from 0, ``n`` rows) as a window expression.
+
+    The weights add up to 1, so it is the first value plus the weighted distances
+    from it; for a constant series that is the value itself, without rounding.
+    """
+    value, rn, n = F.col("value"), F.col("rn"), F.col("n")
+    start = F.max(F.when(rn == 0, value)).over(whole)
     decay = F.pow(F.lit(1 - alpha), (n - 1 - rn).cast("double"))
-    return F.when(rn == 0, decay).otherwise(alpha * decay)
+    return start + F.sum(alpha * decay * (value - start)).over(whole)
 
 
 def ewma_variance_terms(n: Column, rn: Column, value: Column, ewma: Column, alpha: float) -> Column:
@@ -155,7 +167,7 @@ def ewma_stats(
         weighty = F.col("n") - 1 - F.col("rn") < ewma_reach(alpha)
         indexed = indexed.where((F.col("rn") < SEED_ROWS) | weighty)
     n, rn, value = F.col("n"), F.col("rn"), F.col("value")
-    averaged = indexed.withColumn("ewma", F.sum(ewma_weights(n, rn, alpha) * value).over(whole))
+    averaged = indexed.withColumn("ewma", ewma_over(whole, alpha))
     seed = F.var_pop(F.when(rn < SEED_ROWS, value))
     terms = F.sum(ewma_variance_terms(n, rn, value, F.col("ewma"), alpha))
     var = F.pow(F.lit(1 - alpha), F.first("n").cast("double")) * seed + terms

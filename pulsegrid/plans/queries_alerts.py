@@ -174,10 +174,10 @@ def dashboard_summary(spark, sf):
 
 
 @query("request_quota", """
-    WITH RECURSIVE k AS (SELECT event_id, client, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS rn FROM requests),
-    w AS (SELECT client, rn, at AS last, 1::DOUBLE AS tokens, true AS allowed FROM k WHERE rn = 1
-      UNION ALL SELECT client, rn, CASE WHEN lvl >= 1 THEN at ELSE last END, CASE WHEN lvl >= 1 THEN lvl - 1 ELSE tokens END, lvl >= 1 FROM (
-        SELECT k.client, k.rn, k.at, w.last, w.tokens, least(2, w.tokens + (k.at - w.last) / 2000) AS lvl
+    WITH RECURSIVE k AS (SELECT event_id, client, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS rn FROM requests),
+    w AS (SELECT client, rn, sec AS since, 1::DOUBLE AS tokens, true AS allowed FROM k WHERE rn = 1
+      UNION ALL SELECT client, rn, CASE WHEN lvl >= 1 THEN sec ELSE since END, CASE WHEN lvl >= 1 THEN lvl - 1 ELSE tokens END, lvl >= 1 FROM (
+        SELECT k.client, k.rn, k.sec, w.since, w.tokens, least(2, w.tokens + (k.sec - w.since) / 2000) AS lvl
         FROM w JOIN k ON k.client = w.client AND k.rn = w.rn + 1) x)
     SELECT k.event_id, k.client, w.allowed FROM k JOIN w USING (client, rn)""")
 def request_quota(spark, sf):

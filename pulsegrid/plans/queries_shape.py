@@ -98,7 +98,7 @@ def pressure(spark, sf):
       CASE WHEN value / 100 > 0.7 THEN 2 WHEN value / 100 > 0.5 THEN 1 ELSE 0 END AS level_num,
       CASE WHEN value / 100 >= 0.9 THEN 'critical' WHEN value / 100 >= 0.8 THEN 'warning'
         WHEN value / 100 >= 0.7 THEN 'info' END AS severity,
-      CASE WHEN value / 100 > 0.8 THEN 'critical' WHEN value / 100 > 0.8 * 0.7 THEN 'warning' ELSE 'healthy' END AS status,
+      CASE WHEN value / 100 > 0.8 THEN 'critical' WHEN value / 100 > 0.8::DOUBLE * 0.7::DOUBLE THEN 'warning' ELSE 'healthy' END AS status,
       CASE WHEN value / 100 > 0.8 THEN 'critical' WHEN value / 100 > 0.5 THEN 'warning' ELSE 'healthy' END AS health
     FROM points""")
 def risk_levels(spark, sf):

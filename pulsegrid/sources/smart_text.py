@@ -6,40 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _is_header(line: Column) -> Column:
-    return line.contains("ID#") & line.contains("ATTRIBUTE_NAME")
+# The text after the first line that names both columns.
+_AFTER_HEADER = r"(?:^|\n)(?=[^\n]*ID#)(?=[^\n]*ATTRIBUTE_NAME)[^\n]*\n([\s\S]*)$"
 
 
-def parse_smart_reports(reports: DataFrame, keys: list[str], text: str = "report") -> DataFrame:
-    """``(keys, attr, id, value, worst, threshold, raw)`` for every attribute line after the header.
+def _is_attribute(line: Column) -> Column:
+    header = line.contains("ID#") & line.contains("ATTRIBUTE_NAME")
+    return ~header & ~line.startswith("===") & (F.trim(line) != "")
 
-    Lines with fewer than ten fields or non-numeric numbers are skipped; of
-    repeated attributes the last line counts.  A whole report is one row, split
-    and read with array and string functions.
-    """
-    lines = F.split(text, "\n")
-    header = F.array_position(F.transform(lines, _is_header), F.lit(True))
-    numbered = reports.withColumn("_header", header).select(
-        *keys, "_header", F.posexplode(lines).alias("_pos", "_line")
-    )
-    body = numbered.where(
-        (F.col("_header") > 0)
-        & (F.col("_pos") >= F.col("_header"))
-        & ~_is_header(F.col("_line"))
-        & ~F.col("_line").startswith("===")
-    )
-    parts = F.split(F.regexp_replace("_line", r"^\s+|\s+$", ""), r"\s+")
-    fields = body.withColumn("_p", parts).where(F.size("_p") >= 10)
-    p = F.col("_p")
-    typed = fields.select(
-        *keys,
-        "_pos",
+
+def _attribute(p: Column) -> Column:
+    """An attribute from the fields of its line."""
+    return F.struct(
         F.lower(p[1]).alias("attr"),
         p[0].try_cast("int").alias("id"),
         p[3].try_cast("int").alias("value"),
         p[4].try_cast("int").alias("worst"),
         p[5].try_cast("int").alias("threshold"),
         p[9].alias("raw"),
-    ).dropna(subset=["id", "value", "worst", "threshold"])
-    details = F.struct("id", "value", "worst", "threshold", "raw")
-    return typed.groupBy(*keys, "attr").agg(F.max_by(details, F.col("_pos")).alias("_d")).select(*keys, "attr", "_d.*")
+    )
+
+
+def parse_smart_reports(reports: DataFrame, keys: list[str], text: str = "report") -> DataFrame:
+    """``(keys, attr, id, value, worst, threshold, raw)`` for every attribute line after the header.
+
+    A report is one row and stays in its task: there is no shuffle.
+
+    Lines with fewer than ten fields or non-numeric numbers are skipped; of
+    repeated attributes the last line counts.
+    """
+    lines = F.split(F.regexp_extract(text, _AFTER_HEADER, 1), "\n")
+    fields = F.transform(F.filter(lines, _is_attribute), lambda line: F.split(F.trim(line), r"\s+"))
+    typed = F.transform(F.filter(fields, lambda p: F.size(p) >= 10), _attribute)
+    readable = F.filter(
+        typed,
+        lambda a: a["id"].isNotNull() & a["value"].isNotNull() & a["worst"].isNotNull() & a["threshold"].isNotNull(),
+    )
+    none = F.array().cast("array<struct<attr:string,id:int,value:int,worst:int,threshold:int,raw:string>>")
+    latest = F.aggregate(
+        readable,
+        none,
+        lambda kept, a: F.concat(F.filter(kept, lambda k: k["attr"] != a["attr"]), F.array(a)),
+    )
+    return reports.select(*keys, F.explode(latest).alias("_a")).select(*keys, "_a.*")

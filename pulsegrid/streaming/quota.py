@@ -66,9 +66,12 @@ def token_bucket(
 
 
 def stream_token_bucket(
-    requests: DataFrame, client: str, capacity: int = CAPACITY, rate: float = RATE
+    requests: DataFrame, client: str, capacity: int = CAPACITY, rate: float = RATE, late: str = "10 minutes"
 ) -> DataFrame:
-    """The same rule on a stream ``(client, ts)``; state of idle clients is dropped after five minutes."""
+    """The same rule on a stream ``(client, ts)``; state of clients idle for five minutes is dropped.
+
+    Idleness is measured in event time against the watermark.
+    """
     kind = dict(requests.dtypes)[client]
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -82,15 +85,15 @@ def stream_token_bucket(
             ok, seconds, tokens, last = check(micros / 1e6, tokens, last, capacity, rate)
             rows.append((key[0], micros, ok, seconds))
         state.update((tokens, last))
-        state.setTimeoutDuration(IDLE_MS)
+        state.setTimeoutTimestamp(max(times[-1] // 1000 + IDLE_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[client, "at", "allowed", "retry_after"])
 
-    log = requests.select(client, epoch_micros(F.col("ts")).alias("at"))
+    log = requests.withWatermark("ts", late).select(client, "ts", epoch_micros(F.col("ts")).alias("at"))
     decided = log.groupBy(client).applyInPandasWithState(
         decide,
         f"`{client}` {kind}, at bigint, allowed boolean, retry_after int",
         "tokens double, last double",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
     return decided.select(client, F.timestamp_micros("at").alias("ts"), "allowed", "retry_after")
