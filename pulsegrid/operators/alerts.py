@@ -98,7 +98,7 @@ def sustained(
     Yields ``(keys, run_start, run_end, points, max_value)``.  Runs are numbered
     by a running total over time cells, then aggregated per run.
     """
-    flagged = ordered.with_cells(points, order[0], seconds).withColumn("_hit", F.coalesce(condition, F.lit(False)))
+    flagged = ordered.with_cells(points, keys, order[0], seconds).withColumn("_hit", F.coalesce(condition, F.lit(False)))
     chained = ordered.previous_row(flagged, keys, order, ["_hit"], seconds)
     begins = F.col("_hit") & ~F.coalesce(F.col("prev__hit"), F.lit(False))
     marked = chained.withColumn("_begin", begins.cast("bigint"))

@@ -39,9 +39,17 @@ def time_cell(ts: str, seconds: int) -> Column:
     return F.coalesce(cell, F.lit(-(2**62)).cast("bigint"))
 
 
-def with_cells(df: DataFrame, ts: str, seconds: int = CELL_SECONDS) -> DataFrame:
-    """Add the cell column once, so that chained operators share its partitioning."""
-    return df if "_cell" in df.columns else df.withColumn("_cell", time_cell(ts, seconds))
+def with_cells(df: DataFrame, keys: list[str], ts: str, seconds: int = CELL_SECONDS) -> DataFrame:
+    """Add ``_key`` (the series as a struct) and ``_cell``, once for chained operators.
+
+    Windows and joins below all use these two columns, so the rows are shuffled
+    once.  Structs compare equal when their null fields match, which keeps rows
+    with a null key without a null-safe join (whose rewritten keys would need a
+    shuffle of their own).
+    """
+    if "_cell" in df.columns:
+        return df
+    return df.withColumns({"_key": F.struct(*keys), "_cell": time_cell(ts, seconds)})
 
 
 def densest_cell(df: DataFrame, keys: list[str], ts: str, seconds: int = CELL_SECONDS) -> int:
@@ -85,8 +93,13 @@ def _ordered(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def _without_cells(out: DataFrame, given: DataFrame) -> DataFrame:
-    return out if "_cell" in given.columns else out.drop("_cell")
+CELL = ["_key", "_cell"]
+
+
+def _add_from_cells(local: DataFrame, summary: DataFrame, given: DataFrame) -> DataFrame:
+    """Join the per-cell summary to the rows of its cell."""
+    joined = local.join(summary, CELL)
+    return joined if "_cell" in given.columns else joined.drop(*CELL)
 
 
 def series_index(
@@ -96,50 +109,45 @@ def series_index(
 
     With ``total`` also add the number of rows of the series under that name.
     """
-    celled = with_cells(df, order[0], seconds)
-    cells = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
-    by_cell = _ordered(keys, ["_cell"])
-    before = F.sum("_rows").over(by_cell.rowsBetween(Window.unboundedPreceding, -1))
+    celled = with_cells(df, keys, order[0], seconds)
+    cells = celled.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(_ordered(["_key"], ["_cell"]).rowsBetween(Window.unboundedPreceding, -1))
     offsets = cells.select(
-        *keys,
-        "_cell",
+        *CELL,
         F.coalesce(before, F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(*keys)).alias(total or "_total"),
+        F.sum("_rows").over(Window.partitionBy("_key")).alias(total or "_total"),
     )
-    local = celled.withColumn("_local", F.row_number().over(_ordered([*keys, "_cell"], order)))
-    joined = join_nullsafe(local, offsets, [*keys, "_cell"])
-    out = joined.withColumn("rn", (F.col("_before") + F.col("_local") - 1).cast("bigint"))
-    return _without_cells(out.drop("_local", "_before", "_total"), df)
+    local = celled.withColumn("_local", F.row_number().over(_ordered(CELL, order)))
+    out = _add_from_cells(local, offsets, df)
+    out = out.withColumn("rn", (F.col("_before") + F.col("_local") - 1).cast("bigint"))
+    return out.drop("_local", "_before", "_total")
 
 
 def previous_row(
     df: DataFrame, keys: list[str], order: list[str], columns: list[str], seconds: int = CELL_SECONDS
 ) -> DataFrame:
     """Add ``prev_<column>`` from the row before in the series (a lag of 1 across cells)."""
-    celled = with_cells(df, order[0], seconds)
+    celled = with_cells(df, keys, order[0], seconds)
     last = F.max_by(F.struct(*columns), F.struct(*order)).alias("_last")
-    cells = celled.groupBy(*keys, "_cell").agg(last)
-    carried = cells.select(*keys, "_cell", F.lag("_last").over(_ordered(keys, ["_cell"])).alias("_carried"))
-    within = F.lag(F.struct(*columns)).over(_ordered([*keys, "_cell"], order))
-    joined = join_nullsafe(celled.withColumn("_within", within), carried, [*keys, "_cell"])
+    cells = celled.groupBy(*CELL).agg(last)
+    carried = cells.select(*CELL, F.lag("_last").over(_ordered(["_key"], ["_cell"])).alias("_carried"))
+    within = F.lag(F.struct(*columns)).over(_ordered(CELL, order))
+    joined = _add_from_cells(celled.withColumn("_within", within), carried, df)
     prev = F.coalesce(F.col("_within"), F.col("_carried"))
-    added = {f"prev_{c}": prev[c] for c in columns}
-    return _without_cells(joined.withColumns(added).drop("_within", "_carried"), df)
+    return joined.withColumns({f"prev_{c}": prev[c] for c in columns}).drop("_within", "_carried")
 
 
 def running_total(
     df: DataFrame, keys: list[str], order: list[str], column: str, name: str, seconds: int = CELL_SECONDS
 ) -> DataFrame:
     """Add ``name``, the running sum of ``column`` up to and including the row."""
-    celled = with_cells(df, order[0], seconds)
-    cells = celled.groupBy(*keys, "_cell").agg(F.sum(column).alias("_sum"))
-    before = F.sum("_sum").over(_ordered(keys, ["_cell"]).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = cells.select(*keys, "_cell", F.coalesce(before, F.lit(0)).alias("_before"))
-    frame = _ordered([*keys, "_cell"], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = celled.withColumn("_local", F.sum(column).over(frame))
-    joined = join_nullsafe(local, offsets, [*keys, "_cell"])
-    out = joined.withColumn(name, F.col("_before") + F.col("_local")).drop("_local", "_before")
-    return _without_cells(out, df)
+    celled = with_cells(df, keys, order[0], seconds)
+    cells = celled.groupBy(*CELL).agg(F.sum(column).alias("_sum"))
+    before = F.sum("_sum").over(_ordered(["_key"], ["_cell"]).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = cells.select(*CELL, F.coalesce(before, F.lit(0)).alias("_before"))
+    frame = _ordered(CELL, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = _add_from_cells(celled.withColumn("_local", F.sum(column).over(frame)), offsets, df)
+    return out.withColumn(name, F.col("_before") + F.col("_local")).drop("_local", "_before")
 
 
 def with_blocks(indexed: DataFrame, before: int, block_rows: int = BLOCK_ROWS) -> DataFrame:

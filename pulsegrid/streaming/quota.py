@@ -41,7 +41,8 @@ def token_bucket(
     read as a sorted stream that keeps two numbers, not as a collected group.
     """
     ts = order[0]
-    chained = ordered.previous_row(requests, [client], order, [ts])
+    celled = ordered.with_cells(requests, [client], ts)
+    chained = ordered.previous_row(celled, [client], order, [ts])
     pause = (epoch_micros(F.col(ts)) - epoch_micros(F.col(f"prev_{ts}"))) / 1e6 >= capacity / rate
     marked = chained.withColumn("_fresh", F.coalesce(pause, F.lit(True)).cast("bigint"))
     numbered = ordered.running_total(marked, [client], order, "_fresh", "_stretch")
