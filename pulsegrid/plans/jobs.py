@@ -15,6 +15,7 @@ from pulsegrid.operators import forecast as P
 from pulsegrid.operators import reshape as R
 from pulsegrid.operators import risk as K
 from pulsegrid.operators import windows as W
+from pulsegrid.operators.disk_model import predict_disk
 from pulsegrid.schema import DEFAULT_RISK, RiskParams
 from pulsegrid.sources import line_protocol as LP
 from pulsegrid.sources import smart_text as ST
@@ -132,6 +133,28 @@ def latest_smart(smart: DataFrame, now: Time, interval: str = "1 hour") -> DataF
     return A.last_per_series(rows, ["device"], ["ts"], columns)
 
 
+def disk_outlook(
+    devices: DataFrame, smart: DataFrame, model, features: list[str], now: Time, interval: str = "1 hour"
+) -> DataFrame:
+    """Prediction for every device from its newest reading; without one the default and ``unknown``."""
+    readings = latest_smart(smart, now, interval)
+    scored = predict_disk(model, readings, features).select(
+        "device", "probability", "confidence", "status", "recommendation", "active_attributes"
+    )
+    joined = devices.select("device").join(scored.withColumn("smart_available", F.lit(True)), "device", "left")
+    status = F.coalesce("status", F.lit("unknown"))
+    probability = F.coalesce("probability", F.lit(D.DEFAULT_PROBABILITY))
+    return joined.select(
+        "device",
+        probability.alias("probability"),
+        F.coalesce("confidence", F.lit(0.5)).alias("confidence"),
+        status.alias("status"),
+        F.coalesce("recommendation", X.disk_advice(status, probability)).alias("recommendation"),
+        "active_attributes",
+        F.coalesce("smart_available", F.lit(False)).alias("smart_available"),
+    )
+
+
 def peak_levels(tables: RiskTables, warning: float, critical: float) -> DataFrame:
     """The overall table with levels under other thresholds."""
     level: Column = X.risk_level(F.col("overall_risk"), warning, critical)

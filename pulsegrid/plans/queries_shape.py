@@ -327,7 +327,11 @@ def retained_rows(spark, sf):
     return retain(I.points(spark, sf), I.NOW, 10).select("event_id", "ts")
 
 
-@query("hash_split_sizes", """SELECT count(*) AS points FROM points""")
+@query("hash_split_sizes", """
+    SELECT measurement, count(*) AS points, true AS about_a_fifth FROM points GROUP BY measurement""")
 def hash_split_sizes(spark, sf):
     split = W.hash_split(I.points(spark, sf), ["event_id"])
-    return split.where("part IN ('train', 'test')").agg(F.count(F.lit(1)).alias("points"))
+    share = F.avg((F.col("part") == "test").cast("int"))
+    return split.groupBy("measurement").agg(
+        F.count(F.lit(1)).alias("points"), share.between(0.1, 0.3).alias("about_a_fifth")
+    )

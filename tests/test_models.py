@@ -15,9 +15,11 @@ from pulsegrid.operators import seasonal as E
 from pulsegrid.operators.iforest import fit_isolation_forest
 from pulsegrid.operators.scaling import fit_scaler
 from pulsegrid.operators.windows import hash_split
+from pulsegrid.plans import jobs
 from pulsegrid.plans import training as T
 from pulsegrid.session import shared_dir
 from pulsegrid.streaming import feeds
+from pulsegrid.streaming.cycle import cycle_writer
 
 START = datetime(2024, 1, 1)
 
@@ -96,6 +98,31 @@ def test_training_storing_and_cycle(spark, grid):
     assert T.load_models(spark, f"{path}-missing") == T.Models()
 
 
+def test_cycle_on_a_stream_repeats_without_duplicates(spark, grid):
+    models, _, _ = T.run_training(grid.withColumnsRenamed({"cpu": "cpu_u", "mem": "mem_p"}), ["cpu_u", "mem_p"], 24)
+    long = grid.unpivot(["host", "ts"], ["cpu", "mem"], "measurement", "value")
+    points = long.withColumn("field", F.when(F.col("measurement") == "cpu", "u").otherwise("p"))
+    feed_path, log = shared_dir(spark, "cycle-feed"), shared_dir(spark, "cycle-log")
+    points.coalesce(1).write.parquet(feed_path)
+    paths = [shared_dir(spark, f"cycle-{n}") for n in ("points", "results", "alerts")]
+    body = cycle_writer(models, ["cpu_u", "mem_p"], *paths, history="40 hours", step="1 hour")
+    feed = feeds.stream_points(spark, feed_path, points.schema)
+    run = feeds.stream_cycle(feed, body, log, available_now=True)
+    run.awaitTermination()
+    first = spark.read.parquet(paths[1]).count()
+    body(points, 0)
+    assert first > 0 and spark.read.parquet(paths[1]).count() == first
+    assert {r["host"] for r in spark.read.parquet(paths[1]).collect()} == {"a", "b"}
+
+
+def test_disk_outlook_defaults_for_silent_devices(spark):
+    devices = spark.createDataFrame([(1,), (2,)], "device long")
+    smart = spark.createDataFrame([(1, START, 3.0)], "device long, ts timestamp_ntz, t double")
+    out = {r["device"]: r for r in jobs.disk_outlook(devices, smart, None, ["t"], START + timedelta(minutes=5)).collect()}
+    assert out[1]["smart_available"] and out[1]["active_attributes"] == ["t"]
+    assert (out[2]["probability"], out[2]["status"], out[2]["smart_available"]) == (0.05, "unknown", False)
+
+
 def test_stream_alerts_drop_a_second_delivery(spark):
     rows = [("h", "m", START + timedelta(seconds=i), 100.0) for i in range(5)]
     df = spark.createDataFrame(rows, "host string, metric string, ts timestamp_ntz, value double")
