@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-# The text after the first line that names both columns.
-_AFTER_HEADER = r"(?:^|\n)(?=[^\n]*ID#)(?=[^\n]*ATTRIBUTE_NAME)[^\n]*\n([\s\S]*)$"
+def _is_header(line: Column) -> Column:
+    return line.contains("ID#") & line.contains("ATTRIBUTE_NAME")
 
 
 def _is_attribute(line: Column) -> Column:
-    header = line.contains("ID#") & line.contains("ATTRIBUTE_NAME")
-    return ~header & ~line.startswith("===") & (F.trim(line) != "")
+    return ~_is_header(line) & ~line.startswith("===") & (F.trim(line) != "")
 
 
 def _attribute(p: Column) -> Column:
@@ -35,8 +34,10 @@ def parse_smart_reports(reports: DataFrame, keys: list[str], text: str = "report
     Lines with fewer than ten fields or non-numeric numbers are skipped; of
     repeated attributes the last line counts.
     """
-    lines = F.split(F.regexp_extract(text, _AFTER_HEADER, 1), "\n")
-    fields = F.transform(F.filter(lines, _is_attribute), lambda line: F.split(F.trim(line), r"\s+"))
+    lines = F.split(text, "\n")
+    header = F.array_position(F.transform(lines, _is_header), F.lit(True)).cast("int")
+    after = F.when(header > 0, F.slice(lines, header + 1, F.size(lines)))
+    fields = F.transform(F.filter(after, _is_attribute), lambda line: F.split(F.trim(line), r"\s+"))
     typed = F.transform(F.filter(fields, lambda p: F.size(p) >= 10), _attribute)
     readable = F.filter(
         typed,
