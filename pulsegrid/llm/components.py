@@ -14,6 +14,14 @@ def _low_high(edges: DataFrame) -> DataFrame:
     return ordered.where(F.col("hi") != F.col("lo")).distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and none if it has larger ones."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("ups")),
+                                          F.struct(F.col("lo").alias("node"), F.lit(0).alias("ups")))).alias("e"))
+    nodes = ends.select("e.*").groupBy("node").agg(F.sum("ups").alias("ups"), F.min("ups").alias("least"))
+    return nodes.where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of a link.
 
@@ -25,8 +33,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     links give no rows.
     """
     current = phase(_low_high(edges.select(F.col(left).alias("hi"), F.col(right).alias("lo"))), "links")
-    seen = None
-    while True:
+    while not _are_stars(current):
         both = current.unionByName(current.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         smallest = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("to"))
         larger = both.where("lo > hi").join(smallest, "hi").select(F.col("lo").alias("hi"), F.col("to").alias("lo"))
@@ -35,10 +42,6 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         moved = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("to").alias("lo"))
         kept = least.select("hi", F.col("to").alias("lo"))
         current = phase(_low_high(moved.unionByName(kept)), "links")
-        mark = current.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.lit(0))).first()
-        if seen is not None and tuple(mark) == seen:
-            break
-        seen = tuple(mark)
     stars = current.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("node"), "component")
     centres = current.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return stars.unionByName(centres)
