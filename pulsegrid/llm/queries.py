@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm.jaccard_join import jaccard_groups
+from pulsegrid.llm.bpe import encode_digests
 from pulsegrid.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -16,3 +19,9 @@ __all__ = ["ORACLES", "QUERIES"]
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity groups of all documents at a Jaccard similarity of 0.9 of 3-word shingles."""
     return jaccard_groups(table(spark, sf_dir, "documents"), k=3, threshold=Fraction(9, 10))
+
+
+@query("op8_bpe_forced_boundaries")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document's ids and of the text decoded from them."""
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
