@@ -85,10 +85,21 @@ def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each text the number of the first word in it (``len + 1``)."""
+def is_word(data: np.ndarray) -> np.ndarray:
+    """ASCII letters and digits, and every byte of other characters."""
+    folded = data | 32
+    return ((folded >= 97) & (folded <= 122)) | ((data >= 48) & (data <= 57)) | (data >= 128)
+
+
+def words(
+    data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each text the number of the first word in it (``len + 1``).
+
+    ``inside`` marks the bytes of words; by default all but separators.
+    """
     n = len(data)
-    inside = ~is_space(data)
+    inside = ~is_space(data) if inside is None else inside
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
     starts = np.flatnonzero(inside & (cut[:n] | ~np.concatenate(([False], inside[:-1])))) if n else np.zeros(0, np.int64)
