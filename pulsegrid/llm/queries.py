@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm.jaccard_join import jaccard_groups
 from pulsegrid.llm.bpe import encode_digests
+from pulsegrid.llm.licenses import license_spans
+from pulsegrid.llm.toxicity import toxic_documents
+from pulsegrid.llm.mixing import mix
+from pulsegrid.llm.secrets import secret_spans
+from pulsegrid.llm.url_rules import judge_urls
 from pulsegrid.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -25,3 +30,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and of the text decoded from them."""
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents, with coverage and spans."""
+    return license_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity_chain")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and verdict of the classifier chain for every document."""
+    return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_secret_entropy_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: pattern kinds and windows of high entropy."""
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op5_url_association_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts for all page urls."""
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_pareto_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document in the mix of sources."""
+    return mix(table(spark, sf_dir, "documents"))
