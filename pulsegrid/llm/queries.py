@@ -15,6 +15,8 @@ from pulsegrid.llm.toxicity import toxic_documents
 from pulsegrid.llm.mixing import mix
 from pulsegrid.llm.secrets import secret_spans
 from pulsegrid.llm.url_rules import judge_urls
+from pulsegrid.llm.learned_partitions import nearest
+from pulsegrid.llm.subspace_dedup import near_duplicates
 from pulsegrid.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -60,3 +62,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document in the mix of sources."""
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op4_subspace_near_duplicates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings of one label at a cosine of 0.93."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_learned_partition_search")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest embeddings found for every hundredth."""
+    return nearest(table(spark, sf_dir, "embeddings"))
