@@ -17,6 +17,7 @@ from pulsegrid.llm.secrets import secret_spans
 from pulsegrid.llm.url_rules import judge_urls
 from pulsegrid.llm.learned_partitions import nearest
 from pulsegrid.llm.subspace_dedup import near_duplicates
+from pulsegrid.llm.suffix_dedup import remove_repeats
 from pulsegrid.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -74,3 +75,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest embeddings found for every hundredth."""
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that repeat strings of 100 bytes."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
