@@ -136,6 +136,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text", allowed: list[str] | N
     return docs.withColumn("_secrets", F.array_sort(F.concat(*found, high)))
 
 
+def _count(spans: str, number: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == number))
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: counts per kind, ``base_sha256`` of the fixed kinds' spans, and all ``spans`` as text.
 
@@ -145,10 +149,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = find_secrets(given).select("doc_id", "_secrets")
     base = F.filter("_secrets", lambda s: s["kind"] < len(KINDS))
-    counts = [
-        F.size(F.filter("_secrets", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{name}")
-        for n, name in enumerate([*(k[0] for k in KINDS), ENTROPY])
-    ]
+    names = [*(k[0] for k in KINDS), ENTROPY]
+    counts = [_count("_secrets", number).cast("long").alias(f"n_{name}") for number, name in enumerate(names)]
     out = found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("_secrets")).alias("spans"))
     return out.withColumnRenamed("doc_id", id_col)
 

@@ -169,6 +169,38 @@ def fit_chain(
     return [tuple(x) for x in fitted.collect()]
 
 
+class Chain:
+    """The fitted weights as tables over the buckets."""
+
+    def __init__(self, model: list[tuple[str, int, float]], categories: list[str]):
+        self.categories = categories
+        self.weights = {c: np.zeros(BUCKETS) for c in categories}
+        self.special: dict = {c: {} for c in categories}
+        for category, bucket, weight in model:
+            if bucket >= 0:
+                self.weights[category][bucket] = weight
+            else:
+                self.special[category][bucket] = weight
+        self.used = np.zeros(BUCKETS, dtype=bool)
+        for table in self.weights.values():
+            self.used |= table != 0
+
+    def probabilities(self, texts: pa.Array) -> list[np.ndarray]:
+        """One array per category, in the order of the chain."""
+        buckets, owner = word_buckets(*tk.column_bytes(texts))
+        known = self.used[buckets]
+        pairs = np.unique(owner[known] * BUCKETS + buckets[known])
+        row, bucket = pairs // BUCKETS, pairs % BUCKETS
+        scores: list[np.ndarray] = []
+        for name in self.categories:
+            z = np.bincount(row, weights=self.weights[name][bucket], minlength=len(texts)).astype(float)
+            z += self.special[name].get(INTERCEPT, -np.inf)
+            for i, before in enumerate(scores):
+                z += self.special[name].get(INTERCEPT - 1 - i, 0.0) * before
+            scores.append(1 / (1 + np.exp(-np.clip(z, -700, 700))) * np.isfinite(z))
+        return scores
+
+
 def score_chain(
     docs: DataFrame, model: list[tuple[str, int, float]], categories: list[str], id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -179,29 +211,10 @@ def score_chain(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = {c: np.zeros(BUCKETS) for c in categories}
-        special: dict = {c: {} for c in categories}
-        for category, bucket, weight in model:
-            if bucket >= 0:
-                weights[category][bucket] = weight
-            else:
-                special[category][bucket] = weight
-        used = np.zeros(BUCKETS, dtype=bool)
-        for table in weights.values():
-            used |= table != 0
+        chain = Chain(model, categories)
         for whole in batches:
             for batch in tk.text_slices(whole, "text"):
-                buckets, owner = word_buckets(*tk.column_bytes(batch.column("text")))
-                known = used[buckets]
-                pairs = np.unique(owner[known] * BUCKETS + buckets[known])
-                row, bucket = pairs // BUCKETS, pairs % BUCKETS
-                scores = []
-                for name in categories:
-                    z = np.bincount(row, weights=weights[name][bucket], minlength=batch.num_rows)
-                    z += special[name].get(INTERCEPT, -np.inf)
-                    for i, before in enumerate(scores):
-                        z += special[name].get(INTERCEPT - 1 - i, 0.0) * before
-                    scores.append(1 / (1 + np.exp(-np.clip(z, -700, 700))) * np.isfinite(z))
+                scores = chain.probabilities(batch.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), *map(pa.array, scores)], names=["doc_id", *(f"p_{c}" for c in categories)]
                 )
@@ -225,3 +238,16 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, settings: ChainSettings
     model = fit_chain(docs, label_columns(labels), CATEGORIES, settings)
     scored = score_chain(docs, model, CATEGORIES)
     return scored.withColumn("toxic", F.col("p_toxic") >= settings.threshold)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, settings: ChainSettings = ChainSettings(), text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that the chain finds toxic; same columns, no shuffle."""
+    model = fit_chain(docs, label_columns(labels), CATEGORIES, settings, text_col=text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = Chain(model, CATEGORIES)
+        for whole in batches:
+            for batch in tk.text_slices(whole, text_col):
+                yield batch.filter(pa.array(chain.probabilities(batch.column(text_col))[-1] < settings.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
