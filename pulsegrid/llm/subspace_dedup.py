@@ -78,23 +78,24 @@ def _cells(cosine: float):
 
 
 class _Forest:
-    """Union-find over the vectors of one piece of work."""
+    """Union-find over the vectors of one piece of work; the root is the smallest of its tree."""
 
     def __init__(self, n: int):
         self.parent = list(range(n))
 
-    def joins(self, i: int, j: int) -> bool:
+    def root(self, i: int) -> int:
         parent = self.parent
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
-        while parent[j] != j:
-            parent[j] = j = parent[parent[j]]
-        parent[max(i, j)] = min(i, j)
-        return i != j
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
 
 
 def _links_of(rows: pa.Table, cosine: float) -> list[tuple]:
-    """(vector, linked copies) and (vector, other vector) rows of one pair of chunks."""
+    """(vector, linked copies) rows and (vector, vector it is connected with) rows of one pair of chunks."""
     dims, block = rows.column("dims")[0].as_py(), rows.column("block")[0].as_py()
     rep, copies = rows.column("rep").to_numpy(), rows.column("copies").to_numpy()
     guest, mine = rows.column("guest").to_numpy(), rows.column("chunk").to_numpy()
@@ -102,10 +103,12 @@ def _links_of(rows: pa.Table, cosine: float) -> list[tuple]:
     bounds, budgets, turn = block_bounds(dims), _budgets(dims, cosine), rotation(dims)
     x = matrix(rows.column("vec"))
     unit = _unit(x)
+    by = np.argsort(rep, kind="stable")  # the smallest of a tree is the one of smallest id
+    rep, copies, guest, mine, x, unit = (v[by] for v in (rep, copies, guest, mine, x, unit))
     part = unit @ turn[:, bounds[block][0] : bounds[block][1]]
     norms, squares = np.sqrt(np.einsum("ij,ij->i", x, x)), (part * part).sum(1)
     left, right = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
-    linked, forest, edges = np.zeros(len(rep), dtype=np.int64), _Forest(len(rep)), []
+    linked, forest = np.zeros(len(rep), dtype=np.int64), _Forest(len(rep))
     for a in range(0, len(left), 512):
         i = left[a : a + 512]
         near = squares[i, None] + squares[right] - 2 * part[i] @ part[right].T <= budgets[block] + SLACK
@@ -123,8 +126,10 @@ def _links_of(rows: pa.Table, cosine: float) -> list[tuple]:
             p, q = p[first], q[first]
             np.add.at(linked, p, copies[q])
             np.add.at(linked, q, copies[p])
-            edges += [(int(rep[m]), int(rep[n]), 0) for m, n in zip(p.tolist(), q.tolist()) if forest.joins(m, n)]
+            for m, n in zip(p.tolist(), q.tolist()):
+                forest.join(m, n)
     some = np.flatnonzero(linked)
+    edges = [(int(rep[m]), int(rep[forest.root(m)]), 0) for m in some.tolist() if rep[m] != rep[forest.root(m)]]
     return edges + [(int(r), None, int(n)) for r, n in zip(rep[some], linked[some])]
 
 
