@@ -5,14 +5,15 @@ same text) is covered.  To sort only suffixes that can matter, and in shards:
 
 1. Each window start belongs to the k-gram of smallest hash inside its window (its
    anchor).  Equal windows have equal anchors at the same distance, so a run of window
-   starts with one anchor is a segment, and windows are equal only between segments of
-   one anchor hash.
-2. Segments of one anchor hash and equal bytes are one class.  All but its first
-   occurrence are repeats.  Classes alone under their anchor need no more work.
-3. First occurrences of classes that share an anchor are sorted: shards of whole anchors
+   starts with one anchor, the anchor in one half of them, is a segment.  Its key is the
+   hash of the bytes that all those windows share with the anchor, and windows are equal
+   only between segments of one key.
+2. Segments of one key and equal bytes are one class.  All but its first
+   occurrence are repeats.  Classes alone under their key need no more work.
+3. First occurrences of classes that share a key are sorted: shards of whole keys
    go through induced suffix sorting; equal windows are neighbours whose common prefix
    reaches ``length``, and all but the earliest are repeats.
-4. An anchor with very many classes (text around a common passage) is cut further by
+4. A key with very many classes (text around a common passage) is cut further by
    window, so that no task holds it whole.
 
 Bytes travel only for the segments of step 3.  Class and window identities are 128 bits
@@ -34,12 +35,12 @@ from pulsegrid.llm.induced_sort import sort_suffixes
 from pulsegrid.llm.phases import phase
 
 LENGTH = 100
-GRAM = 24
+GRAM = 16
 # Bytes of a shard that is sorted at once, and classes of an anchor from which on its windows are dealt out.
 SHARD_BYTES = 1_000_000
 MANY_CLASSES = 2000
 
-_SEGMENTS = "doc long, lo int, pos int, n int, h1 long, h2 long"
+_SEGMENTS = "doc long, lo int, n int, h1 long, h2 long"
 _SPANS = "doc long, lo int, hi int"
 
 
@@ -55,10 +56,10 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of window starts with one anchor: text number, first start, anchor position, count, the two hashes."""
+    """Runs of window starts with one anchor: text number, first start, count, key, identity."""
     n = len(data)
     if n < length:
-        return {x: np.zeros(0, np.int64) for x in ("text", "lo", "pos", "n", "h1", "h2")}
+        return {x: np.zeros(0, np.int64) for x in ("text", "lo", "n", "h1", "h2")}
     starts = np.arange(n - gram + 1)
     grams = tk.range_hashes(data, starts, starts + gram)
     bits = np.uint64(max(n, 1).bit_length())
@@ -72,9 +73,19 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     first = np.flatnonzero(new)
     lo = at[first]
     count = np.diff(np.append(first, len(at)))
-    pos, own = anchor[lo], text[lo]
+    # Windows with the anchor in their first half all contain the bytes after it, the others those before it: with
+    # these the key of a segment covers more than half a window, and chance meetings of short k-grams are rare.
+    half, pos = (length - gram) // 2, anchor[lo]
+    split = np.clip(pos - half, lo, lo + count)
+    parts = []
+    for a, b, low, high in ((lo, split, -half - 1, gram), (split, lo + count, 0, length - half)):
+        some = a < b
+        key = tk.range_hashes(data, pos[some] + low, pos[some] + high)
+        parts.append((a[some], b[some] - a[some], pos[some], tk.mix(key, 34 + int(low == 0))))
+    lo, count, pos, key = (np.concatenate(x) for x in zip(*parts))
+    own = text[lo]
     whole = tk.mix(tk.range_hashes(data, lo, lo + count + length - 1), 31) ^ tk.mix((pos - lo).astype(np.uint64), 32)
-    return {"text": own, "lo": lo - offsets[own], "pos": pos - offsets[own], "n": count, "h1": grams[pos], "h2": whole}
+    return {"text": own, "lo": lo - offsets[own], "n": count, "h1": key, "h2": whole}
 
 
 def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,37 +94,45 @@ def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             found = segments(*tk.column_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc").take(pa.array(found["text"]))]
-                + [pa.array(found[x].astype(np.int32)) for x in ("lo", "pos", "n")]
+                + [pa.array(found[x].astype(np.int32)) for x in ("lo", "n")]
                 + [pa.array(found[x].astype(np.uint64).view(np.int64)) for x in ("h1", "h2")],
-                names=["doc", "lo", "pos", "n", "h1", "h2"],
+                names=["doc", "lo", "n", "h1", "h2"],
             )
 
 
 def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the listed segments of each text; of anchors with very many classes the windows' hashes."""
-    names = ["h1", "doc", "lo", "pos", "n", "bytes", "w1", "w2"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    """The bytes of the listed segments of each text; of keys with very many classes the windows' hashes."""
     for whole in batches:
         for batch in tk.text_slices(whole, "text", 500_000):
             data, offsets = tk.column_bytes(batch.column("text"))
-            out: list[list] = [[] for _ in names]
-            for row in range(batch.num_rows):
-                doc, base = batch.column("doc")[row].as_py(), int(offsets[row])
-                for s in batch.column("parts")[row].as_py():
-                    lo, n = s["lo"], s["n"]
-                    if s["many"]:
-                        starts = base + np.arange(lo, lo + n)
-                        h = tk.range_hashes(data, starts, starts + LENGTH)
-                        g = tk.mix(tk.range_hashes(data[::-1], len(data) - starts - LENGTH, len(data) - starts), 33)
-                        for i in range(n):
-                            entry = (s["h1"], doc, lo + i, s["pos"], 1, None, h[i].astype(np.int64).item(), g[i].astype(np.int64).item())
-                            for column, value in zip(out, entry):
-                                column.append(value)
-                    else:
-                        raw = data[base + lo : base + lo + n + LENGTH - 1].tobytes()
-                        for column, value in zip(out, (s["h1"], doc, lo, s["pos"], n, raw, None, None)):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+            listed = batch.column("parts")
+            parts = listed.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(listed.offsets.to_numpy()))
+            h1, lo, n, many = (parts.field(x).to_numpy(zero_copy_only=False) for x in ("h1", "lo", "n", "many"))
+            start = offsets[row] + lo
+            few = np.flatnonzero(~many)
+            size = n[few].astype(np.int64) + LENGTH - 1
+            at = np.concatenate(([0], np.cumsum(size)))
+            raw = data[np.repeat(start[few] - at[:-1], size) + np.arange(at[-1])]
+            cut = pa.Array.from_buffers(pa.binary(), len(few), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
+            none = pa.nulls(len(few), pa.int64())
+            doc = batch.column("doc")
+            names = ["h1", "doc", "lo", "n", "bytes", "w1", "w2"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h1[few]), doc.take(pa.array(row[few])), pa.array(lo[few]), pa.array(n[few]), cut, none, none], names=names)
+            dealt = np.flatnonzero(many)
+            if len(dealt):
+                count = n[dealt].astype(np.int64)
+                upto = np.concatenate(([0], np.cumsum(count)))
+                step = np.arange(upto[-1]) - np.repeat(upto[:-1], count)
+                of = np.repeat(dealt, count)
+                begin = start[of] + step
+                back = len(data) - begin
+                hashes = [tk.range_hashes(data, begin, begin + LENGTH), tk.mix(tk.range_hashes(data[::-1], back - LENGTH, back), 33)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h1[of]), doc.take(pa.array(row[of])), pa.array((lo[of] + step).astype(np.int32)),
+                     pa.array(np.ones(len(of), np.int32)), pa.nulls(len(of), pa.binary()), *(pa.array(h.view(np.int64)) for h in hashes)],
+                    names=names)
 
 
 def _sort_shard(parts: list[pa.Table]) -> pa.RecordBatch:
@@ -190,7 +209,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = found.groupBy("h1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1")
     found = phase(found.join(twice, "h1"), "joint-segments")
 
-    first = F.min(F.struct("doc", "lo", "pos", "n")).alias("first")
+    first = F.min(F.struct("doc", "lo", "n")).alias("first")
     classes = phase(found.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("c")), "segment-classes")
     later = found.join(classes.where("c > 1").select("h1", "h2", "first"), ["h1", "h2"])
     later = later.where((F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo")))
@@ -198,9 +217,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     shared = classes.groupBy("h1").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     shared = shared.select("h1", (F.col("classes") > MANY_CLASSES).alias("many"))
-    parts = classes.join(shared, "h1").select("first.doc", F.struct("h1", "first.lo", "first.pos", "first.n", "many").alias("part"))
+    parts = classes.join(shared, "h1").select("first.doc", F.struct("h1", "first.lo", "first.n", "many").alias("part"))
     listed = parts.groupBy("doc").agg(F.collect_list("part").alias("parts"))
-    cut_schema = "h1 long, doc long, lo int, pos int, n int, bytes binary, w1 long, w2 long"
+    cut_schema = "h1 long, doc long, lo int, n int, bytes binary, w1 long, w2 long"
     cut = phase(given.join(listed, "doc").mapInArrow(_cut_bytes, cut_schema), "segment-bytes")
     dealt = cut.where("bytes is not null").select("h1", "doc", "lo", "n", "bytes")
     sorted_ = dealt.repartition("h1").sortWithinPartitions("h1").mapInArrow(_sort_shards, _SPANS)
