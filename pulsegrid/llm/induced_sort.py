@@ -171,14 +171,15 @@ def induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, lms_common: np.
 
 def common_prefixes(text: np.ndarray, positions: np.ndarray, depth: int) -> np.ndarray:
     """Common prefix of neighbours in ``positions``, up to ``depth``; 0 for the first."""
-    out, n = np.zeros(len(positions), dtype=np.int64), len(text)
-    padded = np.concatenate((text, np.full(depth, -1, dtype=text.dtype)))
-    steps = np.arange(depth)
+    out = np.zeros(len(positions), dtype=np.int64)
+    # the end differs from every element, so two suffixes differ there at the latest
+    padded = np.concatenate((text.astype(np.int16), np.full(depth, -1, dtype=np.int16)))
+    heads = np.lib.stride_tricks.sliding_window_view(padded, depth)
     for a in range(1, len(positions), 20_000):
-        one, two = positions[a - 1 : a + 19_999], positions[a : a + 20_000]
-        one = one[: len(two)]
-        same = (padded[one[:, None] + steps] == padded[two[:, None] + steps]) & (two[:, None] + steps < n) & (one[:, None] + steps < n)
-        out[a : a + len(two)] = np.where(same.all(axis=1), depth, same.argmin(axis=1))
+        two = positions[a : a + 20_000]
+        same = heads[positions[a - 1 : a - 1 + len(two)]] == heads[two]
+        first = same.argmin(axis=1)
+        out[a : a + len(two)] = np.where(same[np.arange(len(two)), first], depth, first)
     return out
 
 
