@@ -119,7 +119,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     of_word = np.repeat(np.arange(texts), counts)
     grams = np.zeros(len(h), dtype=np.uint64)
     full = np.arange(len(h)) + k <= first[1:][of_word] if len(h) else np.zeros(0, bool)
-    for j in range(k):
+    for j in range(min(k, len(h))):
         grams[: len(h) - j] = mix(grams[: len(h) - j] * _BASE + h[j:], 1)
     chosen, owner = grams[full], of_word[full]
     for short in range(1, k):  # texts of fewer words than a shingle
