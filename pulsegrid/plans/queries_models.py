@@ -71,7 +71,7 @@ def disk_model_predictions(spark, sf):
 @query("disk_outlook")
 def disk_outlook(spark, sf):
     rows = I.smart(spark, sf)
-    model = DM.fit_disk_model(rows.where("ts < TIMESTAMP_NTZ '2001-06-01 00:00:00'"), "failed", SMART, rounds=20)
+    model = DM.fit_disk_model(rows.where("ts < TIMESTAMP_NTZ '2001-06-01 00:00:00'"), "failed", SMART)
     devices = I.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("device"))
     return jobs.disk_outlook(devices, rows, model, SMART, "2001-06-01 00:00:00", "30 days")
 

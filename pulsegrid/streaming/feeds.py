@@ -100,13 +100,21 @@ def sliding_stats(
     spread = step.withColumn("_k", F.explode(offsets))
     start = F.col("_slide") - F.make_dt_interval(secs=F.col("_k") * slide_s)
     spread = spread.withColumn("ts", start)
-    n = F.sum("_n")
-    mean = F.sum(F.col("_n") * F.col("_mean")) / n
-    within = F.sum(F.col("_n") * F.col("_var"))
-    # Between-slide part: n-weighted population variance of the slide means.
-    between = F.sum(F.col("_n") * F.col("_mean") * F.col("_mean")) - n * mean * mean
-    var = F.greatest(within + between, F.lit(0.0)) / n
-    return spread.groupBy(*keys, "ts").agg(n.alias("n"), mean.alias("mean"), F.sqrt(var).alias("std"))
+    # The slides of a window are few; their structs are folded in time order.
+    slides = F.array_sort(F.collect_list(F.struct("_slide", F.col("_n").alias("n"), F.col("_mean").alias("mean"),
+                                                  (F.col("_n") * F.col("_var")).alias("m2"))))
+
+    def fold(state, x):
+        n = state["n"] + x["n"]
+        apart = x["mean"] - state["mean"]
+        mean = F.when(n > 0, state["mean"] + apart * x["n"] / n).otherwise(0.0)
+        m2 = state["m2"] + x["m2"] + F.when(n > 0, apart * apart * state["n"] * x["n"] / n).otherwise(0.0)
+        return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    spread = spread.where("_n > 0").groupBy(*keys, "ts").agg(F.aggregate(slides, none, fold).alias("_w"))
+    std = F.sqrt(F.greatest(F.col("_w.m2"), F.lit(0.0)) / F.col("_w.n"))
+    return spread.select(*keys, "ts", F.col("_w.n").alias("n"), F.col("_w.mean").alias("mean"), std.alias("std"))
 
 
 def _seconds(text: str) -> int:
@@ -144,13 +152,19 @@ def stream_score(
 def stream_alerts(
     points: DataFrame, rules: DataFrame, keys: tuple[str, ...] = schema.SERIES_KEYS, late: str = "10 minutes"
 ) -> DataFrame:
-    """Rule breaks on the stream, each ``(series, time)`` once even when delivered again."""
-    once = points.withWatermark("ts", late).dropDuplicatesWithinWatermark([*keys, "ts"])
+    """Rule breaks on the stream, each once even when its point is delivered again.
+
+    Rules are applied first, so points of one series and time with different values are
+    judged apart, and the state holds broken rules only.
+    """
     rule = checked_broadcast(rules.withColumnsRenamed({"host": "rule_host", "metric": "rule_metric"}))
     applies = F.col("rule_host").isNull() | (F.col("rule_host") == F.col("host"))
     broken = X.compare(F.col("value"), F.col("operator"), F.col("threshold"))
-    hits = once.join(rule, (F.col("metric") == F.col("rule_metric")) & applies & broken)
-    return L.to_alerts(hits.drop("rule_host", "rule_metric"), ["host", "metric", "ts", "threshold"])
+    marked = points.withWatermark("ts", late)
+    hits = marked.join(rule, (F.col("metric") == F.col("rule_metric")) & applies & broken)
+    same = [*keys, "ts", "value", *(c for c in rule.columns if c != "rule_metric")]
+    once = hits.dropDuplicatesWithinWatermark(list(dict.fromkeys(same)))
+    return L.to_alerts(once.drop("rule_host", "rule_metric"), ["host", "metric", "ts", "threshold"])
 
 
 def run_available(df: DataFrame, purpose: str, output: str = "append") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,10 +84,12 @@ def stream_token_bucket(
         times = sorted(int(t) for pdf in batches for t in pdf["at"])
         rows = []
         for micros in times:
-            ok, seconds, tokens, last = check(micros / 1e6, tokens, last, capacity, rate)
+            # a request that comes late brings no refill and takes none back
+            ok, seconds, tokens, last = check(max(micros / 1e6, last), tokens, last, capacity, rate)
             rows.append((key[0], micros, ok, seconds))
         state.update((tokens, last))
-        state.setTimeoutTimestamp(max(times[-1] // 1000 + IDLE_MS, state.getCurrentWatermarkMs() + 1))
+        idle = max(IDLE_MS, math.ceil(capacity / rate * 1000))  # until the bucket is full again
+        state.setTimeoutTimestamp(max(times[-1] // 1000 + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[client, "at", "allowed", "retry_after"])
 
     log = requests.withWatermark("ts", late).select(client, "ts", epoch_micros(F.col("ts")).alias("at"))
