@@ -127,6 +127,22 @@ def exceeds_message(metric: Column, value: Column, threshold: Column) -> Column:
     return F.format_string("%s at %.2f is beyond its limit of %.2f", metric, value, threshold)
 
 
+# Metrics measured in percent and metrics that are shares of one.
+PERCENT_METRICS = ["cpu_usage", "memory_usage", "disk_usage"]
+SHARE_METRICS = ["anomaly_rate", "disk_failure"]
+
+
+def rule_message(metric: Column, value: Column, threshold: Column) -> Column:
+    """The message of a broken rule in the unit of its metric."""
+    text = "%s at %s is beyond its limit of %s"
+    share, percent = metric.isin(SHARE_METRICS), metric.isin(PERCENT_METRICS)
+    return (
+        F.when(share, F.format_string(text, metric, percent_text(value), percent_text(threshold)))
+        .when(percent, F.format_string(text, metric, percent_text(value / 100), percent_text(threshold / 100)))
+        .otherwise(exceeds_message(metric, value, threshold))
+    )
+
+
 def disk_advice(status: Column, probability: Column) -> Column:
     return F.concat(
         F.when(status == "critical", "Back up and replace the disk now")

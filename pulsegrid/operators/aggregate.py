@@ -9,7 +9,7 @@ from pulsegrid import schema
 from pulsegrid.functions import expressions as X
 from pulsegrid.functions import scores as S
 from pulsegrid.operators import ordered
-from pulsegrid.operators.reshape import regularize
+from pulsegrid.operators.reshape import regularize, with_tag_set
 from pulsegrid.sources.points import duration
 
 KEYS = list(schema.SERIES_KEYS)
@@ -233,10 +233,12 @@ def last_per_series(points: DataFrame, keys: list[str], order: list[str], column
 
 
 def dashboard_metrics(points: DataFrame, order: list[str], measurements: tuple[str, ...] = ("cpu", "mem", "disk")) -> DataFrame:
-    """Mean of the latest values over all series of a measurement, with unit, status and penalty."""
-    latest = last_per_series(
-        points.where(F.col("measurement").isin(list(measurements))), list(schema.POINT_KEYS), order, ["value"]
-    )
+    """Mean of the latest values over all series of a measurement, with unit, status and penalty.
+
+    Points with different tags (one of several disks) are different series.
+    """
+    tagged = with_tag_set(points.where(F.col("measurement").isin(list(measurements))))
+    latest = last_per_series(tagged, [*schema.POINT_KEYS, "tag_set"], order, ["value"])
     means = latest.groupBy("host", "measurement").agg(F.avg("value").alias("value"))
     return means.select(
         "host",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import expressions as X
 from pulsegrid.operators import ordered
-from pulsegrid.sources.points import Time, duration, lookback
+from pulsegrid.sources.points import Time, as_time, duration, lookback
 
 RULE_COLUMNS = "host string, metric string, operator string, threshold double, severity string, cooldown_minutes int"
 
@@ -41,7 +41,8 @@ def evaluate_rules(values: DataFrame, rules: DataFrame) -> DataFrame:
 
 def to_alerts(broken: DataFrame, id_from: list[str], ts: str = "ts") -> DataFrame:
     """Alert rows with an id derived from their content, so a repeated run yields the same id."""
-    key = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in id_from]), 256)
+    content = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in id_from]), {"ignoreNullFields": "false"})
+    key = F.sha2(content, 256)
     return broken.select(
         F.substring(key, 1, 16).alias("id"),
         F.col(ts).alias("ts"),
@@ -51,7 +52,7 @@ def to_alerts(broken: DataFrame, id_from: list[str], ts: str = "ts") -> DataFram
         F.col("threshold").cast("double").alias("threshold"),
         "severity",
         F.lit("active").alias("status"),
-        X.exceeds_message(F.col("metric"), F.col("value"), F.col("threshold")).alias("message"),
+        X.rule_message(F.col("metric"), F.col("value"), F.col("threshold")).alias("message"),
     )
 
 
@@ -128,6 +129,18 @@ def gaps(
     )
 
 
+def down(points: DataFrame, keys: list[str], now: Time, longer_than: str, ts: str = "ts") -> DataFrame:
+    """Series that are silent at ``now`` and have been for longer than a duration.
+
+    ``gaps`` sees silences that ended; this sees those that last.  One partial
+    aggregate; points at or after ``now`` do not count.
+    """
+    moment = as_time(now)
+    last = points.where(F.col(ts) < moment).groupBy(*keys).agg(F.max(ts).alias("last_seen"))
+    silent = moment - F.col("last_seen") > F.expr(f"INTERVAL {duration(longer_than)}")
+    return last.where(silent).withColumn("silent_seconds", X.seconds_between(moment, F.col("last_seen")))
+
+
 def group_alerts(
     alerts: DataFrame, keys: list[str], order: list[str], interval: str = "300 seconds", per_group: int = 10
 ) -> DataFrame:

@@ -209,3 +209,21 @@ def cpu_total(wide: DataFrame, name: str = "cpu_total") -> DataFrame:
 def literal_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     """A small configuration table."""
     return spark.createDataFrame(rows, columns)
+
+
+def with_tag_set(points: DataFrame) -> DataFrame:
+    """Add ``tag_set``, one text per set of tags: sorted ``key=value`` pairs joined by commas.
+
+    Commas, equals signs and backslashes in keys and values are escaped, so different sets
+    have different texts.  Points without tags have an empty one.
+    """
+    if "tags" not in points.columns:
+        return points.withColumn("tag_set", F.lit(""))
+
+    def escaped(text: Column) -> Column:
+        return F.regexp_replace(F.coalesce(text, F.lit("")), r"([\\,=])", r"\\$1")
+
+    pairs = F.transform(
+        F.array_sort(F.map_entries("tags")), lambda e: F.concat(escaped(e["key"]), F.lit("="), escaped(e["value"]))
+    )
+    return points.withColumn("tag_set", F.coalesce(F.array_join(pairs, ","), F.lit("")))

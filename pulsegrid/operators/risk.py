@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +20,6 @@ from pulsegrid.operators.reshape import hour_spine
 from pulsegrid.schema import DEFAULT_RISK, METHODS, RiskParams
 
 KEYS = list(schema.SERIES_KEYS)
-PRIOR_ROWS = 168
 
 
 def series_baseline(series: DataFrame, keys: list[str] = KEYS, params: RiskParams = DEFAULT_RISK) -> DataFrame:
@@ -146,66 +150,80 @@ def score_points(
     return scored.select(*keys, *kept, *METHODS, F.col("ensemble").alias("score"), level.alias("level"))
 
 
-def _list_quantile(values: Column, n: Column, p: float) -> Column:
-    """Linear-interpolated quantile of a sorted array."""
-    position = F.lit(p) * (n - 1)
-    low = F.floor(position).cast("int")
-    at_low = F.get(values, low)
-    at_high = F.get(values, F.ceil(position).cast("int"))
-    return at_low + (at_high - at_low) * (position - low)
-
-
 def prior_baseline(series: DataFrame, keys: list[str] = KEYS, params: RiskParams = DEFAULT_RISK) -> DataFrame:
-    """Baseline columns of the rows before each row of the hourly series.
+    """Baseline columns of all rows before each row of the hourly series.
 
-    Moments and the hour pattern cover all earlier rows; quartiles and EWMA the
-    last 168 (a week of hours), which keeps each frame's array small.
+    Moments and the hour pattern are window frames; quartiles and EWMA come from
+    one ordered pass per series over the same partitions.  A series of hourly rows
+    is bounded by the calendar.
     """
-    alpha = params.ewma_alpha
     spec = Window.partitionBy(*keys).orderBy("ts")
     before = spec.rowsBetween(Window.unboundedPreceding, -1)
-    trailing = spec.rowsBetween(-PRIOR_ROWS, -1)
     recent = spec.rowsBetween(-params.ma_window, -1)
     same_hour = Window.partitionBy(*keys, "hour").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     framed = series.withColumn("hour", F.hour("ts")).withColumns(
-        {
-            "n": F.count("value").over(before),
-            "mean": F.avg("value").over(before),
-            "std": F.stddev_pop("value").over(before),
-            "ma_mean": F.avg("value").over(recent),
-            "ma_std": F.stddev_pop("value").over(recent),
-            "_list": F.collect_list("value").over(trailing),
-        }
-    )
-    framed = framed.withColumns(
         {
             "hour_n": F.count("value").over(same_hour),
             "hour_mean": F.avg("value").over(same_hour),
             "hour_std": F.stddev_pop("value").over(same_hour),
         }
     )
-    size = F.size("_list")
-    arranged = F.array_sort("_list")
-    seeds = F.slice("_list", 1, W.SEED_ROWS)
-    seed_n = F.nullif(F.size(seeds), F.lit(0))
-    seed_mean = F.aggregate(seeds, F.lit(0.0), lambda a, v: a + v) / seed_n
-    rest = F.slice("_list", 2, PRIOR_ROWS)
-    final = F.aggregate(rest, F.get("_list", F.lit(0)), lambda a, v: a + alpha * (v - a))
     framed = framed.withColumns(
         {
-            "q1": _list_quantile(arranged, size, 0.25),
-            "q3": _list_quantile(arranged, size, 0.75),
-            "ewma": final,
-            "_seed_mean": seed_mean,
+            "n": F.count("value").over(before),
+            "mean": F.avg("value").over(before),
+            "std": F.stddev_pop("value").over(before),
+            "ma_mean": F.avg("value").over(recent),
+            "ma_std": F.stddev_pop("value").over(recent),
         }
     )
-    seed_var = F.aggregate(
-        seeds, F.lit(0.0), lambda a, v: a + (v - F.col("_seed_mean")) * (v - F.col("_seed_mean"))
-    ) / seed_n
-    var = F.aggregate(
-        "_list", seed_var, lambda a, v: alpha * (v - F.col("ewma")) * (v - F.col("ewma")) + (1 - alpha) * a
-    )
-    return framed.withColumn("ewma_std", F.sqrt(var)).drop("_list", "_seed_mean")
+    alpha = params.ewma_alpha
+
+    def running(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        return pdf.assign(**dict(zip(RUNNING, _running(pdf["value"].to_numpy(dtype=float), alpha).T)))
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in framed.schema)
+    return framed.groupBy(*keys).applyInPandas(running, f"{types}, " + ", ".join(f"{c} double" for c in RUNNING))
+
+
+RUNNING = ("q1", "q3", "ewma", "ewma_std")
+
+
+def _running(values: np.ndarray, alpha: float) -> np.ndarray:
+    """Quartiles, EWMA and its deviation of the values before each value; missing values are passed over.
+
+    The EWMA variance weighs squared distances from the *current* EWMA, so a weighted
+    mean and sum of squares with fading weights are carried and shifted to it.
+    """
+    out = np.full((len(values), len(RUNNING)), np.nan)
+    arranged: list[float] = []
+    seeds: list[float] = []
+    ewma = weight = centre = squares = seed_var = 0.0
+    for i, value in enumerate(values):
+        n = len(arranged)
+        if n:
+            var = (1 - alpha) ** n * seed_var + squares + weight * (centre - ewma) ** 2
+            out[i] = _quantile(arranged, 0.25), _quantile(arranged, 0.75), ewma, math.sqrt(max(var, 0.0))
+        if math.isnan(value):
+            continue
+        ewma = value if n == 0 else ewma + alpha * (value - ewma)
+        weight, squares = (1 - alpha) * weight + alpha, (1 - alpha) * squares
+        apart = value - centre
+        centre += apart * alpha / weight
+        squares += alpha * apart * (value - centre)
+        bisect.insort(arranged, value)
+        if len(seeds) < W.SEED_ROWS:
+            seeds.append(value)
+            seed_var = float(np.var(seeds))
+    return out
+
+
+def _quantile(arranged: list[float], p: float) -> float:
+    """Linear-interpolated quantile of a sorted list."""
+    position = p * (len(arranged) - 1)
+    low, high = arranged[math.floor(position)], arranged[math.ceil(position)]
+    return low + (high - low) * (position - math.floor(position))
 
 
 def peak_risk(series: DataFrame, keys: list[str] = KEYS, params: RiskParams = DEFAULT_RISK) -> DataFrame:

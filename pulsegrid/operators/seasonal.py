@@ -28,16 +28,15 @@ INTERVAL_Z = 1.2815515655446004
 
 @dataclass(frozen=True)
 class SeasonalModel:
-    """``table``: one row per series with ``coef ARRAY<DOUBLE>``, ``sigma`` and ``last_ts``."""
+    """``table``: one row per series with ``coef ARRAY<DOUBLE>``, ``sigma``, ``origin`` and ``last_ts``."""
 
     table: DataFrame
     keys: tuple[str, ...]
-    origin: float
     seasons: tuple[tuple[float, int], ...]
     multiplicative: bool
 
 
-def _features(ts: Column, origin: float, seasons: tuple[tuple[float, int], ...]) -> list[Column]:
+def _features(ts: Column, origin: Column, seasons: tuple[tuple[float, int], ...]) -> list[Column]:
     days = (epoch_micros(ts) / 1e6 - origin) / DAY
     terms = [F.lit(1.0), days / 30]
     for period, harmonics in seasons:
@@ -55,20 +54,31 @@ def _unlink(value: Column, multiplicative: bool) -> Column:
     return F.expm1(value) if multiplicative else value
 
 
-def fit_seasonal(series: DataFrame, keys: list[str], multiplicative: bool = True, ridge: float = 1e-6) -> SeasonalModel:
-    """Fit every series of ``(keys, ts, value)``; yearly terms only with two years of data."""
-    bounds = series.agg(F.min(epoch_micros(F.col("ts"))), F.max(epoch_micros(F.col("ts")))).first()
-    if bounds[0] is None:
-        raise ValueError("no rows to fit on")
-    origin = bounds[0] / 1e6
-    seasons = [DAILY, WEEKLY]
-    if (bounds[1] - bounds[0]) / 1e6 >= 2 * YEARLY[0] * DAY:
-        seasons.append(YEARLY)
-    terms = _features(F.col("ts"), origin, tuple(seasons))
+def fit_seasonal(
+    series: DataFrame,
+    keys: list[str],
+    multiplicative: bool = True,
+    yearly: bool = True,
+    ridge: float = 1e-6,
+    yearly_ridge: float = 1e-2,
+) -> SeasonalModel:
+    """Fit every series of ``(keys, ts, value)``, each by its own rows only.
+
+    Time counts from a series' first row.  ``yearly_ridge`` keeps the yearly terms of
+    series much shorter than a year near zero.
+    """
+    known = series.where(F.col("value").isNotNull())
+    first = known.groupBy(*keys).agg((F.min(epoch_micros(F.col("ts"))) / 1e6).alias("origin"))
+    placed = join_nullsafe(known, first, keys)
+    seasons = (DAILY, WEEKLY, YEARLY) if yearly else (DAILY, WEEKLY)
+    penalty = np.full(2 + 2 * sum(h for _, h in seasons), ridge)
+    if yearly:
+        penalty[-2 * YEARLY[1] :] = yearly_ridge
+    terms = _features(F.col("ts"), F.col("origin"), seasons)
     k = len(terms)
     y = _link(F.col("value"), multiplicative)
-    named = series.where(F.col("value").isNotNull()).select(
-        *keys, "ts", y.alias("y"), *[t.alias(f"x{i}") for i, t in enumerate(terms)]
+    named = placed.select(
+        *keys, "ts", "origin", y.alias("y"), *[t.alias(f"x{i}") for i, t in enumerate(terms)]
     )
     sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k) for j in range(i, k)]
     moments = [F.sum(F.col(f"x{i}") * F.col("y")) for i in range(k)]
@@ -78,6 +88,7 @@ def fit_seasonal(series: DataFrame, keys: list[str], multiplicative: bool = True
         F.sum(F.col("y") * F.col("y")).alias("yy"),
         F.count("y").alias("n"),
         F.max("ts").alias("last_ts"),
+        F.first("origin").alias("origin"),
     )
 
     @F.pandas_udf("coef array<double>, sigma double")
@@ -88,24 +99,24 @@ def fit_seasonal(series: DataFrame, keys: list[str], multiplicative: bool = True
             full = np.zeros((k, k))
             full[upper] = g
             full = full + full.T - np.diag(np.diag(full))
-            coef = np.linalg.solve(full + ridge * count * np.eye(k), np.asarray(m))
+            coef = np.linalg.solve(full + count * np.diag(penalty), np.asarray(m))
             sse = max(square - 2 * coef @ np.asarray(m) + coef @ full @ coef, 0.0)
             out.append((coef.tolist(), float(np.sqrt(sse / max(count - k, 1)))))
         return pd.DataFrame(out, columns=["coef", "sigma"])
 
     solved = grouped.withColumn("_s", solve("gram", "moment", "yy", "n"))
-    table = solved.select(*keys, "n", "last_ts", "_s.coef", "_s.sigma")
-    return SeasonalModel(table, tuple(keys), origin, tuple(seasons), multiplicative)
+    table = solved.select(*keys, "n", "origin", "last_ts", "_s.coef", "_s.sigma")
+    return SeasonalModel(table, tuple(keys), seasons, multiplicative)
 
 
 def predict_at(model: SeasonalModel, times: DataFrame) -> DataFrame:
     """Add ``yhat, yhat_lower, yhat_upper`` to rows ``(keys, ts)``."""
     joined = join_nullsafe(times, model.table.drop("n", "last_ts"), list(model.keys))
-    return _predict(joined, model).drop("coef", "sigma")
+    return _predict(joined, model).drop("coef", "sigma", "origin")
 
 
 def _predict(rows: DataFrame, model: SeasonalModel) -> DataFrame:
-    terms = F.array(*_features(F.col("ts"), model.origin, model.seasons))
+    terms = F.array(*_features(F.col("ts"), F.col("origin"), model.seasons))
     fit = F.aggregate(F.zip_with("coef", terms, lambda c, x: c * x), F.lit(0.0), lambda a, v: a + v)
     spread = INTERVAL_Z * F.col("sigma")
     with_fit = rows.withColumn("_fit", fit)
@@ -121,7 +132,7 @@ def _predict(rows: DataFrame, model: SeasonalModel) -> DataFrame:
 def seasonal_forecast(model: SeasonalModel, horizon: int = 1440, step_minutes: int = 1) -> DataFrame:
     """``horizon`` steps after the last row of every series."""
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_step")
-    future = model.table.select(*model.keys, "coef", "sigma", "last_ts", steps)
+    future = model.table.select(*model.keys, "coef", "sigma", "origin", "last_ts", steps)
     later = F.col("last_ts") + F.make_dt_interval(mins=F.col("_step") * step_minutes)
     rows = future.withColumn("ts", later).drop("last_ts", "_step")
-    return _predict(rows, model).drop("coef", "sigma")
+    return _predict(rows, model).drop("coef", "sigma", "origin")

@@ -67,6 +67,11 @@ def _choose(column: str, options: dict[str, str | Column], otherwise: str | Colu
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent points: percentages by measurement and field."""
+    return points_of(table(spark, sf_dir, "events"))
+
+
+def points_of(events: DataFrame) -> DataFrame:
+    """Agent points of a table or stream of events."""
     even = F.col("event_id") % 2 == 0
     measurement = _choose(
         "event_type", {"click": "cpu", "view": "mem", "purchase": "disk", "signup": "net"}, "system"
@@ -81,12 +86,18 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
         "load1",
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id", "ts", _host("user_id").alias("host"), measurement.alias("measurement"),
         field.alias("field"), F.least("value", F.lit(100.0)).alias("value"),
     )
 
 
+def tagged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent points with the tags of one of three devices."""
+    device = F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string"))
+    return points(spark, sf_dir).withColumn("tags", F.create_map(F.lit("host"), F.col("host"), F.lit("device"), device))
+
+
 def app_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five monitored metrics, raw values."""
     field = _choose(
@@ -194,6 +205,8 @@ VIEWS: dict[str, str] = {
             ELSE 'load1' END AS field,
           least(value, CAST(100 AS DOUBLE)) AS value
         FROM events""",
+    "tagged_points": """
+        SELECT *, concat('device=d', CAST(event_id % 3 AS VARCHAR), ',host=', host) AS tag_set FROM points""",
     "app_points": """
         SELECT event_id, ts, concat('h', CAST(user_id % 4 AS VARCHAR)) AS host, 'system_metrics' AS measurement,
           CASE event_type WHEN 'click' THEN 'cpu_usage' WHEN 'view' THEN 'memory_usage'

@@ -96,11 +96,10 @@ def peak_job(
 def disk_failure_job(reports: DataFrame, keys: list[str], text: str = "report") -> DataFrame:
     """Text reports to attributes, scores, health status and line protocol.
 
-    A report without any readable attribute gets the default probability.
+    Every report is scored on its own, whatever its keys, and stays in its task.  A report
+    without any readable attribute gets the default probability.
     """
-    attributes = ST.parse_smart_reports(reports, keys, text)
-    wide = D.smart_wide(attributes, keys)
-    scored = D.score_disks(reports.select(*keys).join(wide, keys, "left"))
+    scored = D.score_disks(ST.wide_smart_reports(reports, keys, schema.SMART_SCORE_ATTRIBUTES, text))
     fields = ["failure_probability", *schema.SMART_SCORE_ATTRIBUTES, "health_status"]
     tags = [k for k in keys if k != "ts"]
     return LP.to_line_protocol(scored, "disk_failure", tags, fields)

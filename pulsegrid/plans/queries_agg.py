@@ -9,6 +9,7 @@ from pulsegrid import schema
 from pulsegrid.operators import aggregate as A
 from pulsegrid.operators import drift as M
 from pulsegrid.operators import ordered
+from pulsegrid.operators import reshape as R
 from pulsegrid.operators import scaling
 from pulsegrid.operators import windows as W
 from pulsegrid.operators.forecast import forecast_vs_actual
@@ -325,6 +326,17 @@ def sliding_hour_stats(spark, sf):
     return _rounded(out, "mean", "std")
 
 
+@query("sliding_large_values", """
+    WITH k AS (SELECT unnest(range(6)) AS k)
+    SELECT host, ts, count(*) AS n, round(avg(value), 3) AS mean, round(stddev_pop(value), 3) AS std FROM (
+      SELECT host, make_timestamp((epoch_us(p.ts) // 600000000 - k) * 600000000) AS ts, floor(value) + 1e9::DOUBLE AS value
+      FROM points p, k) s GROUP BY ALL""")
+def sliding_large_values(spark, sf):
+    rows = I.points(spark, sf).withColumn("value", F.floor("value") + F.lit(1e9))
+    out = sliding_stats(rows, ["host"], "60 minutes", "10 minutes", late=None)
+    return out.withColumns({c: F.round(c, 3) for c in ("mean", "std")})
+
+
 @query("sliding_60_samples", """
     SELECT host, metric, ts, count(value) OVER w AS ma_n, round(avg(value) OVER w, 6) AS ma_mean,
       round(stddev_pop(value) OVER w, 6) AS ma_std FROM series
@@ -420,6 +432,34 @@ def drift(spark, sf):
     return _rounded(out, "mean", "std", "mean_shift", "std_shift")
 
 
+@query("performance_drops", f"""
+    WITH e AS (SELECT host, metric, ts >= TIMESTAMP '2024-01-15' AS late, abs(value - f) AS err FROM ({_NAIVE_SQL}) n),
+    m AS (SELECT host, metric, avg(err) FILTER (NOT late) AS before, avg(err) FILTER (late) AS after FROM e GROUP BY ALL)
+    SELECT host, metric, round(before, 6) AS before, round(after, 6) AS after,
+      coalesce((after - before) / nullif(abs(before), 0) > 0.05, false) AS dropped FROM m""")
+def performance_drops(spark, sf):
+    error, late = F.abs(F.col("value") - F.col("forecast")), F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    errors = _naive(spark, sf).groupBy(*KEYS).agg(
+        F.avg(F.when(~late, error)).alias("before"), F.avg(F.when(late, error)).alias("after")
+    )
+    judged = errors.withColumn("dropped", M.performance_drop(F.col("before"), F.col("after")))
+    return _rounded(judged, "before", "after")
+
+
+@query("window_per_tag_series", """
+    SELECT host, measurement, field, tag_set, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS value FROM tagged_points GROUP BY ALL""")
+def window_per_tag_series(spark, sf):
+    rows = R.with_tag_set(I.tagged_points(spark, sf))
+    return _rounded(A.aggregate_window(rows, [*schema.POINT_KEYS, "tag_set"], "1h"), "value")
+
+
+@query("last_per_tag_series", """
+    SELECT host, measurement, field, tag_set, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM tagged_points GROUP BY ALL""")
+def last_per_tag_series(spark, sf):
+    rows = R.with_tag_set(I.tagged_points(spark, sf))
+    return A.last_per_series(rows, [*schema.POINT_KEYS, "tag_set"], RAW_ORDER, ["ts", "value"])
+
+
 @query("minimum_rows_guard", """
     SELECT host, metric, n, CASE WHEN n >= 20 THEN round(mean, 6) END AS mean FROM baseline""")
 def minimum_rows_guard(spark, sf):

@@ -10,6 +10,7 @@ from pulsegrid.operators import alerts as L
 from pulsegrid.operators.ordered import union_all
 from pulsegrid.plans import inputs as I
 from pulsegrid.plans.registry import query
+from pulsegrid.sources import ingest as G
 from pulsegrid.sources.points import lookback
 from pulsegrid.streaming.quota import token_bucket
 
@@ -139,10 +140,67 @@ def grouped_alerts(spark, sf):
 
 
 @query("grouped_alerts_300s", """
-    SELECT host, make_timestamp((epoch_us(ts) // 300000000) * 300000000) AS group_start, count(*) AS group_size FROM alerts GROUP BY ALL""")
+    WITH g AS (SELECT id, host, ts, make_timestamp((epoch_us(ts) // 300000000) * 300000000) AS group_start FROM alerts),
+    r AS (SELECT *, row_number() OVER (PARTITION BY host, group_start ORDER BY ts, id) AS rn,
+      count(*) OVER (PARTITION BY host, group_start) AS group_size FROM g)
+    SELECT id, host, group_start, CAST(rn AS INTEGER) AS rank, group_size FROM r WHERE rn <= 10""")
 def grouped_alerts_300s(spark, sf):
     out = L.group_alerts(I.alerts(spark, sf), ["host"], ["ts", "id"])
-    return out.where("rank = 1").select("host", "group_start", "group_size")
+    return out.select("id", "host", "group_start", "rank", "group_size")
+
+
+@query("down_hosts", """
+    SELECT host, measurement, field, last_seen, round((epoch_us(TIMESTAMP '2024-01-30') - epoch_us(last_seen)) / 1e6, 6) AS silent_seconds
+    FROM (SELECT host, measurement, field, max(ts) AS last_seen FROM points WHERE ts < TIMESTAMP '2024-01-30' GROUP BY ALL) l
+    WHERE TIMESTAMP '2024-01-30' - last_seen > INTERVAL 2 MINUTE""")
+def down_hosts(spark, sf):
+    out = L.down(I.points(spark, sf), list(schema.POINT_KEYS), I.NOW, "2m")
+    return out.withColumn("silent_seconds", r6("silent_seconds"))
+
+
+_RULES_SQL = """
+    SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN '' ELSE concat('h', CAST(user_id % 4 AS VARCHAR)) END AS host, event_type AS metric,
+      CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS threshold, CASE event_id % 6 WHEN 0 THEN 'gt' WHEN 1 THEN 'lt' WHEN 2 THEN 'eq'
+        WHEN 3 THEN 'gte' WHEN 4 THEN 'lte' ELSE 'above' END AS operator, CASE WHEN event_id % 5 = 0 THEN 'fatal' ELSE 'warning' END AS severity,
+      event_id % 1500 AS cooldown_minutes FROM events"""
+
+
+def _rule_rows(spark, sf):
+    """Alert configuration rows, some of them broken."""
+    i = F.col("event_id")
+    names = F.array(*[F.lit(o) for o in ("gt", "lt", "eq", "gte", "lte", "above")])
+    return I.table(spark, sf, "events").select(
+        i.alias("id"), F.when(i % 11 == 0, "").otherwise(F.concat(F.lit("h"), (F.col("user_id") % 4).cast("string"))).alias("host"),
+        F.col("event_type").alias("metric"), F.when(i % 7 != 0, F.col("value")).alias("threshold"),
+        F.get(names, (i % 6).cast("int")).alias("operator"), F.when(i % 5 == 0, "fatal").otherwise("warning").alias("severity"),
+        (i % 1500).alias("cooldown_minutes"),
+    )
+
+
+_REASON_SQL = f"""
+    SELECT *, CASE WHEN length(host) = 0 THEN 'host' WHEN metric IS NULL THEN 'metric' WHEN threshold IS NULL THEN 'threshold'
+      WHEN operator = 'above' THEN 'operator' WHEN severity = 'fatal' THEN 'severity'
+      WHEN cooldown_minutes NOT BETWEEN 1 AND 1440 THEN 'cooldown_minutes' END AS reason FROM ({_RULES_SQL}) r"""
+
+
+@query("valid_alert_rules", f"SELECT * EXCLUDE (reason) FROM ({_REASON_SQL}) x WHERE reason IS NULL")
+def valid_alert_rules(spark, sf):
+    return G.validate_rows(_rule_rows(spark, sf), G.alert_rule_rules())[0]
+
+
+@query("rejected_alert_rules", f"SELECT id, reason FROM ({_REASON_SQL}) x WHERE reason IS NOT NULL")
+def rejected_alert_rules(spark, sf):
+    return G.validate_rows(_rule_rows(spark, sf), G.alert_rule_rules())[1].select("id", "reason")
+
+
+@query("rule_messages", f"""
+    SELECT host, metric, CASE metric WHEN 'cpu_usage' THEN printf('cpu_usage at %.1f%% is beyond its limit of 90.0%%', value)
+      WHEN 'anomaly_rate' THEN printf('anomaly_rate at %.1f%% is beyond its limit of 30.0%%', value * 100)
+      ELSE printf('disk_failure at %.1f%% is beyond its limit of 80.0%%', value * 100) END AS message
+    FROM ({_VALUES_SQL}) v WHERE value > CASE metric WHEN 'cpu_usage' THEN 90::DOUBLE WHEN 'anomaly_rate' THEN 0.3::DOUBLE ELSE 0.8::DOUBLE END""")
+def rule_messages(spark, sf):
+    broken = L.evaluate_rules(_values(spark, sf), L.rules_table(spark)).withColumn("ts", F.lit(I.NOW).cast("timestamp_ntz"))
+    return L.to_alerts(broken, ["host", "metric", "threshold"]).select("host", "metric", "message")
 
 
 _DASH_SQL = """
@@ -173,6 +231,18 @@ def dashboard_summary(spark, sf):
     return out.select("host", r6("cpu_value").alias("cpu_value"), "cpu_status", "health_score")
 
 
+@query("dashboard_multi_disk", """
+    WITH l AS (SELECT host, measurement, field, tag_set, arg_max(value, (ts, event_id)) AS value FROM tagged_points
+      WHERE measurement IN ('cpu', 'mem', 'disk') AND ts >= TIMESTAMP '2024-01-30' - INTERVAL 2 DAY AND ts < TIMESTAMP '2024-01-30'
+      GROUP BY ALL)
+    SELECT host, measurement, round(avg(value), 6) AS value, CASE WHEN measurement = 'disk' THEN 'GB' ELSE '%' END AS unit,
+      CASE WHEN avg(value) < 80 THEN 'normal' WHEN avg(value) < 90 THEN 'warning' ELSE 'critical' END AS status,
+      CASE WHEN avg(value) > 90 THEN 20 WHEN avg(value) > 80 THEN 10 ELSE 0 END AS penalty FROM l GROUP BY host, measurement""")
+def dashboard_multi_disk(spark, sf):
+    rows = lookback(I.tagged_points(spark, sf), I.NOW, "2 days")
+    return A.dashboard_metrics(rows, ORDER).withColumn("value", r6("value"))
+
+
 @query("request_quota", """
     WITH RECURSIVE k AS (SELECT event_id, client, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS rn FROM requests),
     w AS (SELECT client, rn, sec AS since, 1::DOUBLE AS tokens, true AS allowed FROM k WHERE rn = 1

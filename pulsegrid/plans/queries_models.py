@@ -21,12 +21,13 @@ from pulsegrid.plans import training
 from pulsegrid.plans.registry import query
 from pulsegrid.session import shared_dir
 from pulsegrid.streaming import feeds
+from pulsegrid.streaming.cycle import cycle_writer
 from pulsegrid.streaming.quota import stream_token_bucket
 
 r6 = I.r6
 KEYS = list(schema.SERIES_KEYS)
 FEATURES = ["cpu_usage_user", "mem_used_percent", "disk_used_percent"]
-SMART = ["temperature_celsius", "power_on_hours", "reallocated_sector_ct", "pending_sector_ct", "uncorrectable_errors"]
+SMART = schema.SMART_SCORE_ATTRIBUTES
 LENGTH = 24
 
 
@@ -81,18 +82,57 @@ def seasonal_forecast(spark, sf):
     return E.seasonal_forecast(E.fit_seasonal(I.series(spark, sf), KEYS))
 
 
+def _host_smart(spark, sf):
+    """SMART rows with the host of their device."""
+    return I.smart(spark, sf).withColumn("host", F.concat(F.lit("h"), (F.col("device") % 4).cast("string")))
+
+
+def _train(spark, sf, grid, **more):
+    """All four models."""
+    return training.run_training(
+        grid, FEATURES, LENGTH, smart=_host_smart(spark, sf), smart_features=SMART, seasonal_target=FEATURES[0], **more
+    )
+
+
 @query("training_run")
 def training_run(spark, sf):
-    _, results, _ = training.run_training(_hour_grid(spark, sf), FEATURES, LENGTH, now=F.lit(I.NOW).cast("timestamp_ntz"))
+    _, results, _ = _train(spark, sf, _hour_grid(spark, sf), now=F.lit(I.NOW).cast("timestamp_ntz"))
     return results
 
 
+def _cycle_rows(points, alerts):
+    """Prediction points and alerts of a cycle as rows of one shape."""
+    made = points.select(F.lit("point").alias("kind"), "host", "ts", F.concat_ws(".", "measurement", "field").alias("name"), "value")
+    raised = alerts.select(F.lit("alert").alias("kind"), "host", "ts", F.col("metric").alias("name"), "value")
+    return made.unionByName(raised)
+
+
 @query("prediction_cycle")
 def prediction_cycle(spark, sf):
     grid = _hour_grid(spark, sf)
     path = shared_dir(spark, "models")
-    training.run_training(grid, FEATURES, LENGTH, save_to=path)
-    return training.run_cycle(grid, training.load_models(spark, path))[0]
+    _train(spark, sf, grid, save_to=path)
+    models = training.load_models(spark, path)
+    return _cycle_rows(*training.run_cycle(grid, models, smart=_host_smart(spark, sf), smart_features=SMART))
+
+
+@query("stream_prediction_cycle")
+def stream_prediction_cycle(spark, sf):
+    """The cycle as the body of a stream over the metric points; the newest cycle's rows."""
+    grid = _hour_grid(spark, sf)
+    frame = grid.select("host", "ts", *FEATURES)
+    scaler = fit_scaler(frame, FEATURES)
+    models = training.Models(
+        scaler=scaler, length=LENGTH, forest=fit_isolation_forest(scaler.scale(frame), FEATURES, ["host", "ts"]),
+        sequence=Q.fit_sequence_model(Q.training_sequences(frame, scaler, LENGTH, ["host"]).where("part = 'train'")),
+    )
+    events = I.table(spark, sf, "events")
+    feed = I.points_of(feeds.stream_points(spark, sf, events.schema, "events.parquet"))
+    root = shared_dir(spark, "stream-cycle")
+    body = cycle_writer(models, FEATURES, f"{root}/points", f"{root}/results", f"{root}/alerts", "60 days", "1 hour")
+    feeds.stream_cycle(feed, body, f"{root}/log", available_now=True).awaitTermination()
+    made, raised = (spark.read.parquet(f"{root}/{x}").drop("batch") for x in ("results", "alerts"))
+    return _cycle_rows(made, raised)
 
 
 @query("naive_evaluation", """
@@ -148,18 +188,19 @@ def _plain_time(df):
 
 
 @query("stream_scores", """
-    SELECT p.event_id, round(greatest(
-        CASE WHEN n < 3 OR std = 0 THEN 0 ELSE least(abs(value - mean) / std / 5, 1) END,
-        CASE WHEN n < 4 OR q3 = q1 THEN 0 ELSE least(greatest(q1 - 1.5 * (q3 - q1) - value, value - q3 - 1.5 * (q3 - q1), 0) / (q3 - q1) / 1.5, 1) END,
-        CASE WHEN coalesce(hour_n, 0) < 3 OR hour_std = 0 THEN 0 ELSE least(abs(value - hour_mean) / hour_std / 5, 1) END), 6) AS score
-    FROM app_points p JOIN baseline b ON b.host = p.host AND b.metric = p.field
-    LEFT JOIN hours h ON h.host = p.host AND h.metric = p.field AND h.hour = hour(p.ts)""")
+    SELECT event_id, round(z, 6) AS zscore, round(q, 6) AS iqr, round(h, 6) AS pattern, round(greatest(z, q, h), 6) AS score FROM (
+      SELECT p.event_id,
+        CASE WHEN n < 3 OR std = 0 THEN 0 ELSE least(abs(value - mean) / std / 5, 1) END AS z,
+        CASE WHEN n < 4 OR q3 = q1 THEN 0 ELSE least(greatest(q1 - 1.5 * (q3 - q1) - value, value - q3 - 1.5 * (q3 - q1), 0) / (q3 - q1) / 1.5, 1) END AS q,
+        CASE WHEN coalesce(hour_n, 0) < 3 OR hour_std = 0 THEN 0 ELSE least(abs(value - hour_mean) / hour_std / 5, 1) END AS h
+      FROM app_points p JOIN baseline b ON b.host = p.host AND b.metric = p.field
+      LEFT JOIN hours h ON h.host = p.host AND h.metric = p.field AND h.hour = hour(p.ts)) s""")
 def stream_scores(spark, sf):
     series = I.series(spark, sf)
     stats = _stored(K.series_baseline(series), "baseline")
     hours = _stored(A.hourly_stats(series), "hours")
     out = feeds.run_available(feeds.stream_score(_feed(spark, sf), stats, hours), "stream-scores")
-    return out.select("event_id", r6("score").alias("score"))
+    return out.select("event_id", *[r6(c).alias(c) for c in ("zscore", "iqr", "pattern", "score")])
 
 
 def _stored(df, name):
@@ -178,6 +219,16 @@ def stream_rule_alerts(spark, sf):
     return _plain_time(out).select("host", "metric", "ts", "value", "threshold", "severity")
 
 
+@query("stream_sliding_hour_stats", f"""
+    WITH k AS (SELECT unnest(range(6)) AS k)
+    SELECT * FROM (SELECT host, metric, ts, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM (
+      SELECT host, field AS metric, make_timestamp((epoch_us(p.ts) // 600000000 - k) * 600000000) AS ts, value FROM app_points p, k) s
+      GROUP BY ALL) w WHERE {_CLOSED.format(size='1 HOUR')}""")
+def stream_sliding_hour_stats(spark, sf):
+    out = feeds.run_available(feeds.sliding_stats(_feed(spark, sf), KEYS, "60 minutes", "10 minutes"), "stream-sliding")
+    return _plain_time(out).withColumns({"mean": r6("mean"), "std": r6("std")})
+
+
 @query("stream_quota")
 def stream_quota(spark, sf):
     feed = _feed(spark, sf).select(F.col("host").alias("client"), "ts")
@@ -198,7 +249,7 @@ def stream_cycle_batches(spark, sf):
     path = shared_dir(spark, "cycle-points")
 
     def cycle(batch, batch_id):
-        batch.write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     run = feeds.stream_cycle(_feed(spark, sf), cycle, shared_dir(spark, "cycle-log"), available_now=True)
     run.awaitTermination()

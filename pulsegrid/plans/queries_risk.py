@@ -132,7 +132,7 @@ _PRIOR = "PARTITION BY host, metric ORDER BY ts ROWS BETWEEN"
         quantile_cont(value, 0.25) OVER t AS q1, quantile_cont(value, 0.75) OVER t AS q3,
         count(value) OVER h AS hn, avg(value) OVER h AS hm, stddev_pop(value) OVER h AS hs FROM series
       WINDOW a AS ({_PRIOR} UNBOUNDED PRECEDING AND 1 PRECEDING), m AS ({_PRIOR} 7 PRECEDING AND 1 PRECEDING),
-        t AS ({_PRIOR} 168 PRECEDING AND 1 PRECEDING),
+        t AS ({_PRIOR} UNBOUNDED PRECEDING AND 1 PRECEDING),
         h AS (PARTITION BY host, metric, hour(ts) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     e AS (SELECT *, list_reduce(vals, lambda a, x: 0.7::DOUBLE * a + 0.3::DOUBLE * x) AS ew FROM f WHERE n >= 1),
     v AS (SELECT *, sqrt(list_reduce(vals, lambda a, x: 0.7::DOUBLE * a + 0.3::DOUBLE * (x - ew) * (x - ew),

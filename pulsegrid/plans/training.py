@@ -58,8 +58,8 @@ def save_models(spark: SparkSession, models: Models, path: str) -> None:
     if models.seasonal is not None:
         models.seasonal.table.write.mode("overwrite").parquet(f"{path}/seasonal")
         s = models.seasonal
-        row = [(list(s.keys), s.origin, [list(map(float, p)) for p in s.seasons], s.multiplicative)]
-        columns = "keys array<string>, origin double, seasons array<array<double>>, multiplicative boolean"
+        row = [(list(s.keys), [list(map(float, p)) for p in s.seasons], s.multiplicative)]
+        columns = "keys array<string>, seasons array<array<double>>, multiplicative boolean"
         spark.createDataFrame(row, columns).write.mode("overwrite").parquet(f"{path}/seasonal_params")
         parts.append("seasonal")
     manifest = [(p, models.length, models.disk_threshold) for p in [*parts, "manifest"]]
@@ -90,7 +90,7 @@ def load_models(spark: SparkSession, path: str) -> Models:
         seasons = tuple((s[0], int(s[1])) for s in p["seasons"])
         table = spark.read.parquet(f"{path}/seasonal")
         models = replace(
-            models, seasonal=SeasonalModel(table, tuple(p["keys"]), p["origin"], seasons, p["multiplicative"])
+            models, seasonal=SeasonalModel(table, tuple(p["keys"]), seasons, p["multiplicative"])
         )
     return models
 

@@ -58,21 +58,23 @@ def ingest_metrics(
     """Submitted metrics ``(batch_id, index, json)`` to points.
 
     Lenient: the measurement defaults to ``custom`` and nothing is refused but
-    unreadable JSON.  Strict: rows without measurement or fields are rejected
-    with their index, and so is every row of a batch over ``max_batch``.
+    unreadable JSON and times.  Strict: rows without measurement or fields are
+    rejected with their index, and so is every row of a batch over ``max_batch``.
+    A row without a time gets ``now``; one whose time cannot be read is rejected.
     """
     parsed = parse_submitted(json_df)
     unreadable = F.col("measurement").isNull() & F.col("tags").isNull() & F.col("fields").isNull()
     unreadable = unreadable & F.col("timestamp").isNull()
+    bad_time = F.col("timestamp").isNotNull() & parse_ts(F.col("timestamp")).isNull()
     if strict:
         sizes = json_df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_size"))
         parsed = salted_lookup(parsed, sizes, ["batch_id"], ["index"])
         reason = F.when(F.col("_size") > max_batch, f"more than {max_batch} metrics in the batch").when(
             F.col("measurement").isNull() | F.col("fields").isNull(), "missing required fields"
-        )
+        ).when(bad_time, "unreadable time")
         checked = parsed.withColumn("reason", reason).drop("_size")
     else:
-        checked = parsed.withColumn("reason", F.when(unreadable, "unreadable"))
+        checked = parsed.withColumn("reason", F.when(unreadable, "unreadable").when(bad_time, "unreadable time"))
         checked = checked.withColumn("measurement", F.coalesce("measurement", F.lit("custom")))
     good = checked.where(F.col("reason").isNull()).drop("reason")
     rejects = checked.where(F.col("reason").isNotNull()).select("batch_id", "index", "reason")

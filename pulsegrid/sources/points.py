@@ -14,7 +14,7 @@ from pulsegrid.operators.ordered import union_all
 Time = datetime | str | Column
 
 
-def _time(value: Time) -> Column:
+def as_time(value: Time) -> Column:
     if isinstance(value, Column):
         return value
     return F.lit(str(value)).cast("timestamp_ntz")
@@ -24,9 +24,9 @@ def in_range(df: DataFrame, start: Time | None, stop: Time | None, ts: str = "ts
     """Half-open range ``[start, stop)`` on the bare time column, so it reaches the file scan."""
     out = df
     if start is not None:
-        out = out.where(F.col(ts) >= _time(start))
+        out = out.where(F.col(ts) >= as_time(start))
     if stop is not None:
-        out = out.where(F.col(ts) < _time(stop))
+        out = out.where(F.col(ts) < as_time(stop))
     return out
 
 
@@ -68,15 +68,15 @@ def read_points(
     points = select_points(points, start, stop, measurement, host)
     if "day" in points.columns:
         if start is not None:
-            points = points.where(F.col("day") >= F.to_date(_time(start)))
+            points = points.where(F.col("day") >= F.to_date(as_time(start)))
         if stop is not None:
-            points = points.where(F.col("day") <= F.to_date(_time(stop)))
+            points = points.where(F.col("day") <= F.to_date(as_time(stop)))
     return points
 
 
 def lookback(df: DataFrame, now: Time, interval: str, ts: str = "ts") -> DataFrame:
     """Rows of the last ``interval`` (``30 days``, ``60 minutes``) before ``now``."""
-    since = _time(now) - F.expr(f"INTERVAL {_interval(interval)}")
+    since = as_time(now) - F.expr(f"INTERVAL {_interval(interval)}")
     return in_range(df, since, now, ts)
 
 
@@ -91,7 +91,7 @@ def default_range(
     if start is not None and stop is not None:
         return in_range(df, start, stop, ts)
     if now is not None:
-        begin = start if start is not None else _time(now) - F.expr("INTERVAL 1 HOUR")
+        begin = start if start is not None else as_time(now) - F.expr("INTERVAL 1 HOUR")
         return in_range(df, begin, stop if stop is not None else now, ts)
     newest = df.agg(F.max(ts)).first()[0]
     end = F.lit(newest).cast("timestamp_ntz")

@@ -26,10 +26,8 @@ def _attribute(p: Column) -> Column:
     )
 
 
-def parse_smart_reports(reports: DataFrame, keys: list[str], text: str = "report") -> DataFrame:
-    """``(keys, attr, id, value, worst, threshold, raw)`` for every attribute line after the header.
-
-    A report is one row and stays in its task: there is no shuffle.
+def report_attributes(text: Column | str) -> Column:
+    """The attributes of a report as an array of structs, in the order of their lines.
 
     Lines with fewer than ten fields or non-numeric numbers are skipped; of
     repeated attributes the last line counts.
@@ -44,9 +42,26 @@ def parse_smart_reports(reports: DataFrame, keys: list[str], text: str = "report
         lambda a: a["id"].isNotNull() & a["value"].isNotNull() & a["worst"].isNotNull() & a["threshold"].isNotNull(),
     )
     none = F.array().cast("array<struct<attr:string,id:int,value:int,worst:int,threshold:int,raw:string>>")
-    latest = F.aggregate(
+    return F.aggregate(
         readable,
         none,
         lambda kept, a: F.concat(F.filter(kept, lambda k: k["attr"] != a["attr"]), F.array(a)),
     )
-    return reports.select(*keys, F.explode(latest).alias("_a")).select(*keys, "_a.*")
+
+
+def parse_smart_reports(reports: DataFrame, keys: list[str], text: str = "report") -> DataFrame:
+    """``(keys, attr, id, value, worst, threshold, raw)`` for every attribute line after the header.
+
+    A report is one row and stays in its task: there is no shuffle.
+    """
+    return reports.select(*keys, F.explode(report_attributes(text)).alias("_a")).select(*keys, "_a.*")
+
+
+def wide_smart_reports(reports: DataFrame, keys: list[str], names: list[str], text: str = "report") -> DataFrame:
+    """One row per report with a column for each named attribute; null when absent or no whole number."""
+    listed = reports.select(*keys, report_attributes(text).alias("_list"))
+
+    def raw(name: str) -> Column:
+        return F.get(F.filter("_list", lambda a: a["attr"] == name), F.lit(0))["raw"].try_cast("bigint")
+
+    return listed.select(*keys, *[raw(n).alias(n) for n in names])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.plans.jobs import aligned_frame
 from pulsegrid.plans.training import Models, run_cycle
+from pulsegrid.session import materialize
 from pulsegrid.sources.points import in_range
 
 
@@ -22,7 +23,9 @@ def cycle_writer(
     step: str = "1 minute",
     rules: DataFrame | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` body: store the batch, read the recent history, predict, store results.
+    """A ``foreachBatch`` body: store the batch by day, read the recent days, predict, store results.
+
+    The newest time of every batch is kept beside the points, so history is not read for it.
 
     Every write goes to a folder of its batch and replaces it, so a batch that is
     repeated after a failure leaves the same rows once.
@@ -32,12 +35,16 @@ def cycle_writer(
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        plain = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        plain.write.mode("overwrite").parquet(f"{points_path}/batch={batch_id}")
-        stored = spark.read.parquet(points_path).where(F.col("batch") <= batch_id)
-        newest = F.lit(stored.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
-        recent = in_range(stored, newest - F.expr(f"INTERVAL {history}"), None)
-        grid = aligned_frame(recent, fields, step)
+        plain = batch.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "day": F.to_date("ts")})
+        plain.write.mode("overwrite").partitionBy("day").parquet(f"{points_path}/batch={batch_id}")
+        stored = spark.read.parquet(f"{points_path}/batch={batch_id}")
+        marks = f"{points_path}-marks"
+        stored.agg(F.max("ts").alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+        seen = spark.read.parquet(marks).where(F.col("batch") <= batch_id)  # one row per batch
+        newest = F.lit(seen.agg(F.max("newest")).first()[0]).cast("timestamp_ntz")
+        since = newest - F.expr(f"INTERVAL {history}")
+        kept = spark.read.parquet(points_path).where((F.col("batch") <= batch_id) & (F.col("day") >= F.to_date(since)))
+        grid = materialize(aligned_frame(in_range(kept, since, None), fields, step), "cycle-grid")
         points, alerts = run_cycle(grid, models, rules=rules)
         points.write.mode("overwrite").parquet(f"{results_path}/batch={batch_id}")
         alerts.write.mode("overwrite").parquet(f"{alerts_path}/batch={batch_id}")

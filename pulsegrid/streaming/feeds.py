@@ -76,45 +76,34 @@ def stream_aggregate_window(
 def sliding_stats(
     points: DataFrame, keys: list[str], size: str = "60 minutes", slide: str = "1 minute", late: str | None = "10 minutes"
 ) -> DataFrame:
-    """Mean and deviation over a sliding time window.
+    """Mean and deviation over a sliding time window, on a stream or (``late=None``) a table.
 
     Every point belongs to ``size / slide`` windows.  To not multiply raw points,
     they are first summed per slide; only those sums are spread over the windows.
-    Batch input: ``late=None``.
     """
-    size_s, slide_s = _seconds(size), _seconds(slide)
-    if size_s % slide_s:
+    if _seconds(size) % _seconds(slide):
         raise ValueError("the window must be a multiple of the slide")
     source = points if late is None else points.withWatermark("ts", late)
-    value = F.col("value")
-    if late is not None:
-        windowed = source.groupBy(*keys, F.window("ts", duration(size), duration(slide)).alias("_window")).agg(
-            F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
-        )
-        return windowed.select(*keys, F.col("_window.start").alias("ts"), "n", "mean", "std")
-    # Chan's update: combine (n, mean, sum of squared deviations) of the slides.
-    step = source.groupBy(*keys, F.window("ts", duration(slide)).start.alias("_slide")).agg(
-        F.count("value").alias("_n"), F.avg(value).alias("_mean"), F.var_pop(value).alias("_var")
+    step = source.groupBy(*keys, F.window("ts", duration(slide)).alias("_slide")).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), (F.count("value") * F.var_pop("value")).alias("m2")
     )
-    offsets = F.sequence(F.lit(0), F.lit(size_s // slide_s - 1))
-    spread = step.withColumn("_k", F.explode(offsets))
-    start = F.col("_slide") - F.make_dt_interval(secs=F.col("_k") * slide_s)
-    spread = spread.withColumn("ts", start)
-    # The slides of a window are few; their structs are folded in time order.
-    slides = F.array_sort(F.collect_list(F.struct("_slide", F.col("_n").alias("n"), F.col("_mean").alias("mean"),
-                                                  (F.col("_n") * F.col("_var")).alias("m2"))))
+    # The slides of a window are few; their structs are folded in time order by Chan's update.
+    part = F.struct(F.col("_slide.start").alias("at"), "n", "mean", "m2")
+    windows = step.where("n > 0").groupBy(*keys, F.window("_slide", duration(size), duration(slide)).alias("_window"))
 
     def fold(state, x):
         n = state["n"] + x["n"]
         apart = x["mean"] - state["mean"]
-        mean = F.when(n > 0, state["mean"] + apart * x["n"] / n).otherwise(0.0)
-        m2 = state["m2"] + x["m2"] + F.when(n > 0, apart * apart * state["n"] * x["n"] / n).otherwise(0.0)
+        mean = state["mean"] + apart * x["n"] / n
+        m2 = state["m2"] + x["m2"] + apart * apart * state["n"] * x["n"] / n
         return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
 
     none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-    spread = spread.where("_n > 0").groupBy(*keys, "ts").agg(F.aggregate(slides, none, fold).alias("_w"))
+    folded = windows.agg(F.array_sort(F.collect_list(part)).alias("_parts")).withColumn("_w", F.aggregate("_parts", none, fold))
     std = F.sqrt(F.greatest(F.col("_w.m2"), F.lit(0.0)) / F.col("_w.n"))
-    return spread.select(*keys, "ts", F.col("_w.n").alias("n"), F.col("_w.mean").alias("mean"), std.alias("std"))
+    return folded.select(
+        *keys, F.col("_window.start").alias("ts"), F.col("_w.n").alias("n"), F.col("_w.mean").alias("mean"), std.alias("std")
+    )
 
 
 def _seconds(text: str) -> int:
