@@ -144,3 +144,22 @@ def test_late_rows_beyond_the_watermark_are_left_out(spark):
     feed = feeds.stream_points(spark, path, spark.createDataFrame([], columns).schema, max_files=1)
     out = feeds.run_available(feeds.stream_aggregate_window(feed, ["host"], "1h"), "late-test")
     assert sorted(r["value"] for r in out.collect()) == [1.0, 2.0]
+
+
+def test_a_series_does_not_change_the_forecast_of_another(spark, grid):
+    series = grid.where("host = 'a'").select("host", "ts", F.col("cpu").alias("value"))
+    days = F.explode(F.sequence(F.lit(0), F.lit(999))).alias("d")
+    other = spark.range(1).select(F.lit("z").alias("host"), days).select(
+        "host", (F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(days="d")).alias("ts"), (F.col("d") % 7).cast("double").alias("value"))
+
+    def ahead(df):
+        return [r["yhat"] for r in E.seasonal_forecast(E.fit_seasonal(df, ["host"]), 5, 60).where("host = 'a'").orderBy("ts").collect()]
+
+    assert ahead(series.unionByName(other)) == pytest.approx(ahead(series), rel=1e-9)
+
+
+def test_sliding_deviation_of_large_values(spark):
+    rows = [("h", START + timedelta(minutes=i), 1e12 + i) for i in range(9)]
+    df = spark.createDataFrame(rows, "host string, ts timestamp_ntz, value double")
+    got = {r["ts"]: r["std"] for r in feeds.sliding_stats(df, ["host"], "60 minutes", "1 minute", late=None).collect()}
+    assert got[START] == pytest.approx(np.std(np.arange(9)), rel=1e-6)

@@ -199,3 +199,21 @@ def test_scores_stay_in_range_and_below_weights(spark):
         assert len(rows) == 60
         for row in rows:
             assert all(0 <= row[m] <= 1 for m in ("zscore", "iqr", "ma", "ewma", "pattern", "score"))
+
+
+def test_prior_scores_use_the_whole_history(spark):
+    rng = np.random.default_rng(4)
+    values = rng.normal(1e6, 3, 400)
+    values[50] = np.nan
+    quartiles = K._running(values, 0.3)
+    for i in (1, 2, 11, 60, 399):
+        past = values[:i][~np.isnan(values[:i])]
+        ewma = past[0]
+        for v in past[1:]:
+            ewma += 0.3 * (v - ewma)
+        var = np.var(past[:10])
+        for v in past:
+            var = 0.3 * (v - ewma) ** 2 + 0.7 * var
+        want = [*np.quantile(past, [0.25, 0.75]), ewma, np.sqrt(var)]
+        assert quartiles[i] == pytest.approx(want, rel=1e-8)
+    assert np.isnan(quartiles[0]).all()

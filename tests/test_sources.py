@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import schema
 from pulsegrid.operators import aggregate as A
+from pulsegrid.operators import alerts as L
 from pulsegrid.operators import reshape as R
 from pulsegrid.operators import risk as K
 from pulsegrid.plans import jobs
@@ -175,3 +176,43 @@ def test_empty_input_gives_empty_tables(spark):
     empty = spark.createDataFrame([], "event_id long, ts timestamp_ntz, host string, measurement string, field string, value double")
     tables = jobs.ensemble_job(empty)
     assert tables.risk.count() == 0 and tables.overall.count() == 0 and jobs.peak_job(empty).risk.count() == 0
+
+
+def test_unreadable_times_are_rejected(spark):
+    bodies = ['{"measurement":"cpu","fields":{"u":1},"timestamp":"yesterday"}', '{"measurement":"cpu","fields":{"u":1}}']
+    df = spark.createDataFrame([(1, i, b) for i, b in enumerate(bodies)], "batch_id long, index long, json string")
+    for strict in (True, False):
+        got = G.ingest_metrics(df, now(), strict=strict)
+        assert [(r["index"], r["reason"]) for r in got.rejects.collect()] == [(0, "unreadable time")]
+        assert [r["ts"] for r in got.points.collect()] == [NOW]
+
+
+def test_reports_are_scored_apart_whatever_their_keys(spark):
+    df = spark.createDataFrame([(None, NOW, REPORT.replace(" 13\n", " 90\n")), ("sda", NOW, REPORT), ("sda", NOW, None)],
+                               "device string, ts timestamp_ntz, report string")
+    lines = sorted(r["line"].split("failure_probability=")[1].split(",")[0] for r in jobs.disk_failure_job(df, ["device", "ts"]).collect())
+    assert lines == ["0.05", "0.13", "0.9"]
+
+
+def test_dashboard_counts_every_disk(spark):
+    rows = [(i, NOW, "h", "disk", "used_percent", v, {"device": d}) for i, (d, v) in enumerate([("sda", 10.0), ("sdb", 95.0)])]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, host string, measurement string, field string, value double, tags map<string,string>")
+    row = A.dashboard_metrics(df, ["ts", "event_id"]).first()
+    assert (row["value"], row["status"]) == (52.5, "normal")
+
+
+def test_tag_sets_of_different_tags_differ(spark):
+    tags = [{"a": "1", "b": "2"}, {"b": "2", "a": "1"}, {"a": "1,b=2"}, {"a\\": "1"}, {}, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i int, tags map<string,string>")
+    got = [r["tag_set"] for r in R.with_tag_set(df).orderBy("i").collect()]
+    assert got == ["a=1,b=2", "a=1,b=2", "a=1\\,b\\=2", "a\\\\=1", "", ""]
+
+
+def test_silent_hosts_and_alert_rows(spark):
+    rows = [("a", "cpu", NOW - timedelta(days=1), 95.0), ("b", "anomaly_rate", NOW - timedelta(seconds=30), 0.35), ("b", None, NOW, 1.0)]
+    df = spark.createDataFrame(rows, "host string, metric string, ts timestamp_ntz, value double")
+    got = L.down(df, ["host"], NOW, "2m").collect()
+    assert [(r["host"], r["silent_seconds"]) for r in got] == [("a", 86400.0)]
+    alerts = L.to_alerts(df.withColumns({"threshold": F.lit(0.3), "severity": F.lit("critical")}), ["host", "metric"]).collect()
+    assert len({r["id"] for r in alerts}) == 3
+    assert {r["message"] for r in alerts if r["metric"] == "anomaly_rate"} == {"anomaly_rate at 35.0% is beyond its limit of 30.0%"}
