@@ -49,6 +49,12 @@ def report_attributes(text: Column | str) -> Column:
     )
 
 
+def _computed(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """``keys`` and ``value``, computed once per row: a generator of one element keeps the optimizer
+    from repeating the expression wherever ``name`` is used."""
+    return df.select(*keys, F.explode(F.array(value)).alias(name))
+
+
 def parse_smart_reports(reports: DataFrame, keys: list[str], text: str = "report") -> DataFrame:
     """``(keys, attr, id, value, worst, threshold, raw)`` for every attribute line after the header.
 
@@ -59,9 +65,9 @@ def parse_smart_reports(reports: DataFrame, keys: list[str], text: str = "report
 
 def wide_smart_reports(reports: DataFrame, keys: list[str], names: list[str], text: str = "report") -> DataFrame:
     """One row per report with a column for each named attribute; null when absent or no whole number."""
-    listed = reports.select(*keys, report_attributes(text).alias("_list"))
+    listed = _computed(reports, keys, report_attributes(text), "_list")
 
     def raw(name: str) -> Column:
         return F.get(F.filter("_list", lambda a: a["attr"] == name), F.lit(0))["raw"].try_cast("bigint")
 
-    return listed.select(*keys, *[raw(n).alias(n) for n in names])
+    return _computed(listed, keys, F.struct(*[raw(n).alias(n) for n in names]), "_wide").select(*keys, "_wide.*")
