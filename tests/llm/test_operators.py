@@ -296,3 +296,19 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     copies = {r["doc_id"]: r["copies"] for r in mix(docs).collect()}
     taken = [r["doc_id"] for r in corpus_pipeline.mixing(spark, docs, SF).collect()]
     assert sorted(taken) == sorted(i for i, n in copies.items() for _ in range(n))
+
+
+def test_pipeline_run_equals_its_stages_in_plain_code(spark):
+    """``run`` against plain near-duplicate groups, masked texts, copies and the library's tokens, stage by stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = corpus_pipeline.toxicity(spark, docs, SF)
+    rows = rows_of(clean)
+    first = {i for i, (_, c) in brute.jaccard(rows, 5, 8, 10).items() if c == i}
+    single = clean.where(F.col("doc_id").isin(sorted(first)))
+    masked = corpus_pipeline.secrets(spark, single, SF)
+    texts, library = dict(rows_of(masked)), tokenizer_at(BPE).tokenizer
+    want = []
+    for r in mix(masked).collect():
+        want += [(r["doc_id"], len(library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids))] * r["copies"]
+    got = [(r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and 0 < len(set(got)) <= len(first)
