@@ -163,9 +163,21 @@ def trend_raw_points(spark, sf):
     return _rounded(A.trend(I.raw_series(spark, sf), KEYS, RAW_ORDER, bounded=False), "mean", "slope", "r2")
 
 
-@query("trend_p_values")
+# Two-sided tail of Student's t as a ratio of integrals of cos^(dof - 1), by Simpson's rule.
+_P_VALUE_SQL = f"""
+    WITH steps AS (SELECT unnest(range(4001)) AS i),
+    weights AS (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM steps),
+    line AS (SELECT host, metric, count(*) AS n, CASE WHEN count(*) >= 10 AND var_pop(value) <> 0 THEN regr_r2(value, rn) ELSE 0 END AS r2
+      FROM (SELECT *, row_number() OVER (PARTITION BY host, metric ORDER BY ts) - 1 AS rn FROM series) s GROUP BY ALL),
+    angle AS (SELECT host, metric, greatest(n - 3, 0) AS power, asin(sqrt(least(r2, 1))) AS a, pi() / 2 AS b FROM line WHERE n >= 3),
+    tail AS (SELECT host, metric, (b - a) * sum(w * pow(greatest(cos(a + (b - a) * i / 4000), 0), power))
+      / (b * sum(w * pow(greatest(cos(b * i / 4000), 0), power))) AS p FROM angle CROSS JOIN weights GROUP BY host, metric, a, b)
+    SELECT t.*, round(p, 6) AS p_value FROM ({_trend_sql("series", "metric", "ts")}) t LEFT JOIN tail USING (host, metric)"""
+
+
+@query("trend_p_values", _P_VALUE_SQL)
 def trend_p_values(spark, sf):
-    return with_p_value(A.trend(I.series(spark, sf)))
+    return _rounded(with_p_value(A.trend(I.series(spark, sf))), "mean", "slope", "r2", "p_value")
 
 
 @query("anomaly_summary", """

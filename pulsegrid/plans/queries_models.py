@@ -21,6 +21,7 @@ from pulsegrid.plans import training
 from pulsegrid.plans.registry import query
 from pulsegrid.session import shared_dir
 from pulsegrid.streaming import feeds
+from pulsegrid.streaming import ordered_rules as O
 from pulsegrid.streaming.cycle import cycle_writer
 from pulsegrid.streaming.quota import stream_token_bucket
 
@@ -183,8 +184,8 @@ def stream_mean_1h(spark, sf):
     return _plain_time(out).withColumn("value", r6("value"))
 
 
-def _plain_time(df):
-    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+def _plain_time(df, *names):
+    return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names or ("ts",)})
 
 
 @query("stream_scores", """
@@ -229,10 +230,57 @@ def stream_sliding_hour_stats(spark, sf):
     return _plain_time(out).withColumns({"mean": r6("mean"), "std": r6("std")})
 
 
-@query("stream_quota")
+@query("stream_quota", """
+    WITH RECURSIVE k AS (SELECT client, ts, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS rn FROM requests),
+    w AS (SELECT client, rn, sec AS since, 1::DOUBLE AS tokens, true AS allowed, 0 AS retry_after FROM k WHERE rn = 1
+      UNION ALL SELECT client, rn, CASE WHEN lvl >= 1 THEN sec ELSE since END, CASE WHEN lvl >= 1 THEN lvl - 1 ELSE tokens END, lvl >= 1,
+        CASE WHEN lvl >= 1 THEN 0 ELSE CAST(floor((1 - lvl) / 0.0005::DOUBLE) AS INTEGER) + 1 END FROM (
+        SELECT k.client, k.rn, k.sec, w.since, w.tokens, least(2, w.tokens + (k.sec - w.since) * 0.0005::DOUBLE) AS lvl
+        FROM w JOIN k ON k.client = w.client AND k.rn = w.rn + 1) x)
+    SELECT k.client, k.ts, w.allowed, w.retry_after FROM k JOIN w USING (client, rn)""")
 def stream_quota(spark, sf):
     feed = _feed(spark, sf).select(F.col("host").alias("client"), "ts")
-    return feeds.run_available(stream_token_bucket(feed, "client", capacity=2, rate=1 / 2000), "stream-quota")
+    return _plain_time(feeds.run_available(stream_token_bucket(feed, "client", capacity=2, rate=1 / 2000), "stream-quota"))
+
+
+_PASSED = "epoch_us({ts}) // 1000 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM {table})"
+
+
+@query("stream_sustained", f"""
+    WITH f AS (SELECT host, field AS metric, ts, CAST(event_id AS VARCHAR) AS tie, value, value > 30 AS hit FROM app_points
+      WHERE {_PASSED.format(ts='ts', table='events')}),
+    m AS (SELECT *, CASE WHEN hit AND NOT coalesce(lag(hit) OVER w, false) THEN 1 ELSE 0 END AS b FROM f
+      WINDOW w AS (PARTITION BY host, metric ORDER BY ts, tie)),
+    g AS (SELECT *, sum(b) OVER (PARTITION BY host, metric ORDER BY ts, tie ROWS UNBOUNDED PRECEDING) AS run FROM m),
+    h AS (SELECT host, metric, run, ts, tie, min(ts) OVER o AS run_start, count(*) OVER o AS points, max(value) OVER o AS max_value
+      FROM g WHERE hit WINDOW o AS (PARTITION BY host, metric, run ORDER BY ts, tie ROWS UNBOUNDED PRECEDING))
+    SELECT host, metric, run_start, ts AS raised_at, points, max_value FROM h WHERE ts - run_start >= INTERVAL 6 HOUR
+    QUALIFY row_number() OVER (PARTITION BY host, metric, run ORDER BY ts, tie) = 1""")
+def stream_sustained(spark, sf):
+    out = O.stream_sustained(_feed(spark, sf), KEYS, F.col("value") > 30, "6 hours")
+    return _plain_time(feeds.run_available(out, "stream-sustained"), "run_start", "raised_at")
+
+
+@query("stream_downtime", f"""
+    SELECT host, metric, ts AS last_seen, ts + INTERVAL 6 HOUR AS down_at FROM (
+      SELECT host, field AS metric, ts, lead(ts) OVER (PARTITION BY host, field ORDER BY ts) AS later FROM app_points) x
+    WHERE (later IS NULL OR later - ts > INTERVAL 6 HOUR) AND {_PASSED.format(ts='ts + INTERVAL 6 HOUR', table='events')}""")
+def stream_downtime(spark, sf):
+    out = O.stream_downtime(_feed(spark, sf), KEYS, "6 hours")
+    return _plain_time(feeds.run_available(out, "stream-downtime"), "last_seen", "down_at")
+
+
+@query("stream_cooldown", f"""
+    WITH RECURSIVE high AS (SELECT event_id, host, field AS metric, ts, value FROM app_points WHERE value > 60),
+    k AS (SELECT *, row_number() OVER (PARTITION BY host, metric ORDER BY ts, CAST(event_id AS VARCHAR)) AS rn FROM high
+      WHERE {_PASSED.format(ts='ts', table='high')}),
+    w AS (SELECT host, metric, rn, ts AS last, true AS emit FROM k WHERE rn = 1
+      UNION ALL SELECT k.host, k.metric, k.rn, CASE WHEN k.ts >= w.last + INTERVAL 1 DAY THEN k.ts ELSE w.last END,
+        k.ts >= w.last + INTERVAL 1 DAY FROM w JOIN k ON k.host = w.host AND k.metric = w.metric AND k.rn = w.rn + 1)
+    SELECT k.event_id, k.host, k.metric, k.ts, k.value FROM k JOIN w USING (host, metric, rn) WHERE emit""")
+def stream_cooldown(spark, sf):
+    out = O.stream_cooldown(_feed(spark, sf).where("value > 60"), KEYS, "1 day", "event_id")
+    return _plain_time(feeds.run_available(out, "stream-cooldown"))
 
 
 @query("stream_rounded_points", """
