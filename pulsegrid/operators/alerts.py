@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import expressions as X
@@ -96,22 +96,37 @@ def sustained(
 ) -> DataFrame:
     """Runs of consecutive points that meet a condition for at least a duration.
 
-    Yields ``(keys, run_start, run_end, points, max_value)``.  Runs are numbered
-    by a running total over time cells, then aggregated per run.
+    Yields ``(keys, run_start, run_end, points, max_value)``.  Raw rows are shuffled
+    once, by (series, time cell), and reduced to the runs of each cell.  A run inside a
+    cell is complete; only the first and last run of a cell, two rows at most, are
+    linked across the cells of a series.
     """
-    flagged = ordered.with_cells(points, keys, order[0], seconds).withColumn("_hit", F.coalesce(condition, F.lit(False)))
-    chained = ordered.previous_row(flagged, keys, order, ["_hit"], seconds)
-    begins = F.col("_hit") & ~F.coalesce(F.col("prev__hit"), F.lit(False))
-    marked = chained.withColumn("_begin", begins.cast("bigint"))
-    numbered = ordered.running_total(marked, keys, order, "_begin", "_run", seconds)
-    runs = numbered.where("_hit").groupBy(*keys, "_run").agg(
-        F.min(order[0]).alias("run_start"),
-        F.max(order[0]).alias("run_end"),
-        F.count(F.lit(1)).alias("points"),
-        F.max("value").alias("max_value"),
+    ts = order[0]
+    flagged = ordered.with_cells(points, keys, ts, seconds).withColumn("_hit", F.coalesce(condition, F.lit(False)))
+    upto = Window.partitionBy(*ordered.CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    flagged = flagged.withColumn("_misses", F.sum((~F.col("_hit")).cast("bigint")).over(upto))
+    value = F.when(F.col("_hit"), F.col("value"))
+    parts = flagged.groupBy(*ordered.CELL, "_misses").agg(
+        F.min(F.when(F.col("_hit"), F.col(ts))).alias("run_start"),
+        F.max(F.when(F.col("_hit"), F.col(ts))).alias("run_end"),
+        F.count_if("_hit").alias("points"),
+        F.max(value).alias("max_value"),
+    )
+    at_end = F.col("_misses") == F.max("_misses").over(Window.partitionBy(*ordered.CELL))
+    parts = parts.withColumn("_at_end", at_end).where((F.col("points") > 0) | F.col("_at_end"))
+    # complete runs are partitions of their own, those at the edges of cells share one per series
+    inside = (F.col("_misses") > 0) & ~F.col("_at_end")
+    parts = parts.withColumn("_inside", F.when(inside, F.struct("_cell", "_misses")))
+    linked = Window.partitionBy("_key", "_inside").orderBy("_cell", "_misses")
+    begins = (F.col("_misses") > 0) | (F.coalesce(F.lag("points").over(linked), F.lit(0)) == 0)
+    runs = parts.withColumn("_begins", begins.cast("bigint"))
+    runs = runs.withColumn("_run", F.sum("_begins").over(linked.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.where("points > 0").groupBy("_key", "_inside", "_run").agg(
+        F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"),
+        F.sum("points").alias("points"), F.max("max_value").alias("max_value"),
     )
     long_enough = F.col("run_end") - F.col("run_start") >= F.expr(f"INTERVAL {duration(for_at_least)}")
-    return runs.where(long_enough).drop("_run")
+    return runs.where(long_enough).select(*[F.col(f"_key.{k}").alias(k) for k in keys], "run_start", "run_end", "points", "max_value")
 
 
 def gaps(

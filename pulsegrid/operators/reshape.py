@@ -11,6 +11,9 @@ from pulsegrid.functions import expressions as X
 from pulsegrid.operators.ordered import checked_broadcast, join_nullsafe
 from pulsegrid.sources.points import duration
 
+# Steps of a series' spine that are made from one row.
+SPINE_STEPS = 10_000
+
 
 # ---- pivots ----------------------------------------------------------------------------
 def pivot_fields(
@@ -63,15 +66,20 @@ def align(frames: list[tuple[str, DataFrame]], keys: list[str], prefix: bool = T
     return long.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def regularize(df: DataFrame, keys: list[str], step: str, ts: str = "ts") -> DataFrame:
+def regularize(df: DataFrame, keys: list[str], step: str, ts: str = "ts", stretch: int = SPINE_STEPS) -> DataFrame:
     """Add a row for every missing step between the first and last time of each series.
 
     ``df`` holds at most one row per series and step, at the step's start.  The
-    spine is as long as the series' own calendar span.
+    spine is as long as the series' own calendar span; it is made of stretches of
+    ``stretch`` steps, so no row holds the whole of it as an array.
     """
     every = F.expr(f"INTERVAL {duration(step)}")
+    long = every * stretch
     span = df.groupBy(*keys).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    spine = span.select(*keys, F.explode(F.sequence("_first", "_last", every)).alias(ts))
+    starts = span.select(*keys, "_last", F.explode(F.sequence("_first", "_last", long)).alias("_from"))
+    spread = starts.repartition(*keys, "_from")
+    upto = F.least(F.col("_from") + long - every, F.col("_last"))
+    spine = spread.select(*keys, F.explode(F.sequence("_from", upto, every)).alias(ts))
     return join_nullsafe(spine, df, [*keys, ts], "left")
 
 

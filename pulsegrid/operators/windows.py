@@ -18,23 +18,35 @@ from pulsegrid.operators import ordered
 
 KEYS = list(schema.SERIES_KEYS)
 SEED_ROWS = 10
+DAY_SECONDS = 86_400
 
 
-def ffill_bfill(grid: DataFrame, keys: list[str], columns: list[str], ts: str = "ts") -> DataFrame:
+def ffill_bfill(
+    grid: DataFrame, keys: list[str], columns: list[str], ts: str = "ts", seconds: int = DAY_SECONDS
+) -> DataFrame:
     """Forward fill, then backward fill, within each series of a regular grid.
 
-    After the forward fill only rows before the first value are empty, so the
-    backward fill is that first value.  (A frame from the current row to the end
-    would be rebuilt for every row.)
+    Rows are ordered per (series, time cell); one summary row per cell carries the
+    last values on.  After the forward fill only rows before the first value are
+    empty, so the backward fill is that first value.
     """
-    series = Window.partitionBy(*keys).orderBy(ts)
-    ahead = series.rowsBetween(Window.unboundedPreceding, 0)
+    celled = ordered.with_cells(grid, keys, ts, seconds)
+    seen = {c: F.when(F.col(c).isNotNull(), F.col(ts)) for c in columns}
+    cells = celled.groupBy(*ordered.CELL).agg(
+        *[F.max_by(c, seen[c]).alias(f"_last_{c}") for c in columns], *[F.min_by(c, seen[c]).alias(f"_first_{c}") for c in columns]
+    )
+    series = Window.partitionBy("_key").orderBy("_cell")
+    before = series.rowsBetween(Window.unboundedPreceding, -1)
     whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = {
-        c: F.coalesce(F.last(c, ignorenulls=True).over(ahead), F.first(c, ignorenulls=True).over(whole))
-        for c in columns
-    }
-    return grid.withColumns(filled)
+    carried = cells.select(
+        *ordered.CELL,
+        *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_last_{c}") for c in columns],
+        *[F.first(f"_first_{c}", ignorenulls=True).over(whole).alias(f"_first_{c}") for c in columns],
+    )
+    ahead = Window.partitionBy(*ordered.CELL).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    local = celled.withColumns({f"_here_{c}": F.last(c, ignorenulls=True).over(ahead) for c in columns})
+    filled = {c: F.coalesce(f"_here_{c}", f"_last_{c}", f"_first_{c}") for c in columns}
+    return local.join(carried, ordered.CELL).withColumns(filled).select(*grid.columns)
 
 
 def tail_n(

@@ -53,12 +53,12 @@ def query_metrics(
 def aligned_frame(points: DataFrame, fields: list[str], step: str = "1 minute") -> DataFrame:
     """Minute grid per host with ``measurement_field`` columns, gaps filled forward then back.
 
-    One windowed aggregate and one pivot replace a scan and a join per measurement.
+    One aggregate with conditional means replaces a scan and a join per measurement,
+    so raw points are reduced to steps before they are shuffled.
     """
-    named = points.withColumn("field", R.measurement_field())
-    wide = R.pivot_fields(named, ["host", "ts"], fields)
-    grid = A.resample_mean(wide, ["host"], step, fields)
-    return W.ffill_bfill(grid, ["host"], fields)
+    named = points.withColumn("_name", R.measurement_field()).where(F.col("_name").isin(fields))
+    wide = named.select("host", "ts", *[F.when(F.col("_name") == f, F.col("value")).alias(f) for f in fields])
+    return W.ffill_bfill(A.resample_mean(wide, ["host"], step, fields), ["host"], fields)
 
 
 def ensemble_job(

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,13 +41,23 @@ def token_bucket(
     tasks.  Within a stretch each decision depends on the one before, so it is
     read as a sorted stream that keeps two numbers, not as a collected group.
     """
-    ts = order[0]
-    celled = ordered.with_cells(requests, [client], ts)
-    chained = ordered.previous_row(celled, [client], order, [ts])
-    pause = (epoch_micros(F.col(ts)) - epoch_micros(F.col(f"prev_{ts}"))) / 1e6 >= capacity / rate
-    marked = chained.withColumn("_fresh", F.coalesce(pause, F.lit(True)).cast("bigint"))
-    numbered = ordered.running_total(marked, [client], order, "_fresh", "_stretch")
-    rows = numbered.withColumn("_at", epoch_micros(F.col(ts))).select(*requests.columns, "_stretch", "_at")
+    ts, pause = order[0], capacity / rate * 1e6
+    celled = ordered.with_cells(requests, [client], ts).withColumn("_at", epoch_micros(F.col(ts)))
+    cell = Window.partitionBy(*ordered.CELL)
+    begins = F.when(F.col("_at") - F.lag("_at").over(cell.orderBy("_at")) >= pause, F.col("_at"))
+
+    # A stretch is named by its first time: within a cell, or carried from the cells before.
+    times = celled.select(*ordered.CELL, "_at").withColumn("_begins", begins)
+    cells = times.groupBy(*ordered.CELL).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.max("_begins").alias("_begins"))
+    series = Window.partitionBy("_key").orderBy("_cell")
+    fresh = F.coalesce(F.col("_first") - F.lag("_last").over(series) >= pause, F.lit(True))
+    cells = cells.withColumn("_opens", F.when(fresh, F.col("_first"))).withColumn("_newest", F.coalesce("_begins", "_opens"))
+    carried = F.last("_newest", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(*ordered.CELL, F.coalesce("_opens", carried).alias("_carried"))
+
+    local = F.max("_begins").over(cell.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0))
+    rows = celled.withColumn("_begins", begins).withColumn("_here", local).join(cells, ordered.CELL)
+    rows = rows.select(*requests.columns, F.coalesce("_here", "_carried").alias("_stretch"), "_at")
     placed = rows.repartition(client, "_stretch").sortWithinPartitions(client, "_stretch", *order)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

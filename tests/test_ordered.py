@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import aggregate as A
 from pulsegrid.operators import alerts as L
 from pulsegrid.operators import ordered
+from pulsegrid.operators import reshape as R
 from pulsegrid.operators import windows as W
 from pulsegrid.streaming.quota import check, token_bucket
 
@@ -177,3 +179,50 @@ def test_fills_are_idempotent_and_cover_edges(spark):
     assert [r["value"] for r in once.orderBy("ts").collect()] == [1, 1, 1, 2, 2]
     twice = W.ffill_bfill(once, ["host"], ["value"])
     assert sorted(once.collect()) == sorted(twice.collect())
+
+
+@pytest.mark.parametrize("seconds", [20, 300, 100_000])
+def test_sustained_equals_plain_code_for_any_cell(spark, seconds):
+    rng = random.Random(seconds)
+    rows, clock = [], 0
+    for i in range(500):
+        clock += rng.choice([0, 3, 10, 40])
+        rows.append((i, rng.choice(["a", None]), START + timedelta(seconds=clock), rng.choice([1.0, 9.0, 9.0, 9.0, None])))
+    want = set()
+    for key in ("a", None):
+        run = []
+        for i, _, t, v in [r for r in rows if r[1] == key] + [(None, key, None, None)]:
+            if v == 9.0:
+                run.append(t)
+                continue
+            if run and (run[-1] - run[0]).total_seconds() >= 60:
+                want.add((key, run[0], run[-1], len(run), 9.0))
+            run = []
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, value double")
+    got = L.sustained(df, ["k"], ["ts", "id"], F.col("value") > 5, "60s", seconds).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 5
+
+
+@pytest.mark.parametrize("seconds", [60, 700, 86_400])
+def test_fill_equals_plain_window_for_any_cell(spark, seconds):
+    rng = random.Random(seconds)
+    rows = [(k, START + timedelta(minutes=m), rng.choice([None, None, None, float(m)]) if k != "empty" else None)
+            for k in ("a", None, "empty") for m in range(90)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, value double")
+    got = {(r["k"], r["ts"]): r["value"] for r in W.ffill_bfill(df, ["k"], ["value"], seconds=seconds).collect()}
+    for k in ("a", None, "empty"):
+        mine = [r for r in rows if r[0] == k]
+        last = next((v for _, _, v in mine if v is not None), None)
+        for _, t, v in mine:
+            last = v if v is not None else last
+            assert got[k, t] == last
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 10_000])
+def test_spine_in_stretches(spark, stretch):
+    minutes = [0, 3, 4, 29]
+    rows = [("a", START + timedelta(minutes=m), float(m)) for m in minutes] + [("b", START, 1.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, value double")
+    got = R.regularize(df, ["k"], "1 minute", stretch=stretch).collect()
+    want = {("a", START + timedelta(minutes=m), float(m) if m in minutes else None) for m in range(30)} | {("b", START, 1.0)}
+    assert len(got) == 31 and {tuple(r) for r in got} == want

@@ -10,7 +10,8 @@ from conftest import SMALL
 from __spark_entry__ import queries
 
 # Plans whose Python part is the point of the query.
-PYTHON = {"trend_p_values", "cooled_alerts", "request_quota"}
+# score_points_prior: quartiles over all earlier hours are one ordered pass per series, which no window function gives.
+PYTHON = {"trend_p_values", "cooled_alerts", "request_quota", "score_points_prior"}
 PLAIN = [n for n, q in queries().items() if not q.__module__.endswith("queries_models")]
 
 
@@ -57,3 +58,16 @@ def test_risk_windows_see_hourly_rows_only(spark):
     plan = plan_of(queries()["hour_risk"](spark, SMALL))
     first_window = plan[plan.rindex("Window ["):]
     assert "HashAggregate" in first_window and "partial_avg(value" in first_window
+
+
+@pytest.mark.parametrize("name,scans,exchanges", [("sustained_high_memory", 1, 2), ("request_quota", 2, 5)])
+def test_scans_and_exchanges(spark, shuffle_joins, name, scans, exchanges):
+    plan = plan_of(queries()[name](spark, SMALL))
+    assert plan.count("FileScan") <= scans
+    assert len(re.findall(r"(?<!Reused)Exchange (?:hash|range|Single)", plan)) <= exchanges, plan
+
+
+def test_grid_rows_are_reduced_before_their_first_shuffle(spark):
+    plan = plan_of(queries()["minute_grid_filled"](spark, SMALL))
+    below = plan[plan.rindex("Exchange hashpartitioning"):]
+    assert "partial_avg" in below
