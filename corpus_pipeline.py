@@ -27,14 +27,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of similar texts (five-word shingles, Jaccard 0.8); same columns.
 
-    Rows that repeat an id and its text leave one; rows with a null id stay.
+    Rows that repeat an id and its text leave one, the first by its plain columns; rows with a null id stay.
     """
     groups = jaccard_groups(docs, k=5, threshold=Fraction(8, 10))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    same = Window.partitionBy("doc_id", "_text").orderBy("_text")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text"))
-    kept = kept.withColumn("_row", F.row_number().over(same)).where("_row = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    # the row travels as one value, so that no column of it can clash with those added here
+    rows = docs.select("doc_id", F.xxhash64("text").alias("same_text"), F.struct(*docs.columns).alias("row"))
+    plain = [F.col(f"row.`{c}`") for c, t in docs.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    order = Window.partitionBy("doc_id", "same_text").orderBy(*plain)
+    kept = rows.join(first, "doc_id", "left_semi").withColumn("at", F.row_number().over(order)).where("at = 1")
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +50,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; same columns.  Rows that share an id are taken alike."""
-    copies = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    copies = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+    taken = rows.join(copies, F.col("id").eqNullSafe(F.col("doc_id")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
