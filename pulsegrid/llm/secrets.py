@@ -119,7 +119,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", allowed: list[str] | N
 
     Positions are code points, the end exclusive; kinds are numbered as in ``KINDS``,
     entropy last.  Null and empty texts have no spans.  Rows are independent: repeated
-    rows repeat their spans, an empty table gives no rows.
+    rows repeat their spans, an empty table gives no rows.  A column named ``_secrets``
+    is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = lambda s: F.struct(s["start"], s["kind"], s["end"])
@@ -157,7 +158,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mask`` (overlapping spans by one); same columns.  Null texts stay null."""
-    text = F.col(text_col)
+    text = F.col("text")
 
     def step(state: Column, s: Column) -> Column:
         out = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))
@@ -167,5 +168,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     masked = F.aggregate("_secrets", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, 2**31 - 1)))
-    found = find_secrets(docs, text_col)
-    return found.withColumn(text_col, F.when(F.size("_secrets") > 0, masked).otherwise(text)).select(*docs.columns)
+    others = [c for c in docs.columns if c != text_col]
+    rest = (F.struct(*others) if others else F.lit(None)).alias("rest")
+    found = find_secrets(docs.select(F.col(text_col).alias("text"), rest))
+    clean = F.when(F.size("_secrets") > 0, masked).otherwise(text)
+    return found.select(*[(clean if c == text_col else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])

@@ -312,3 +312,50 @@ def test_pipeline_run_equals_its_stages_in_plain_code(spark):
         want += [(r["doc_id"], len(library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids))] * r["copies"]
     got = [(r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, SF).collect()]
     assert sorted(got) == sorted(want) and 0 < len(set(got)) <= len(first)
+
+
+# Names that the operators and stages use for columns of their own.
+CLASHING = ["id", "row", "at", "same_text", "copies", "rest", "_secrets", "_text", "_id", "rank", "bin", "w", "size", "part", "chunk",
+            "doc", "lo", "hi", "source_key", "component_id", "n_shingles", "p_toxic", "vec", "rep", "visits", "host", "path", "tokens", "mined"]
+
+
+def clashing(df):
+    return df.select("*", *[F.lit("m").alias(c) for c in CLASHING if c not in df.columns])
+
+
+def same(one, two):
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
+@pytest.fixture(scope="module")
+def odd(spark, small):
+    """The small table with rows of nulls, a very long text, one without words, and repeated rows."""
+    rows = [(None,) * 5] * 2 + [(10**9, "x " * 100_000, None, None, None), (10**9 + 1, "a" * 200_000, None, "s", None)] + [(10**9 + 2, None, None, None, None)] * 2
+    return small.unionByName(spark.createDataFrame(rows, small.schema))
+
+
+def test_extra_columns_with_clashing_names(spark, odd):
+    labels, vectors, pages = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("labels", "embeddings", "pages"))
+    for run in (license_spans, secret_spans, mix, remove_repeats, jaccard_groups, lambda d: encode_digests(d, BPE)):
+        same(run(odd), run(clashing(odd)))
+    same(toxic_documents(odd, labels), toxic_documents(clashing(odd), clashing(labels)))
+    same(near_duplicates(vectors), near_duplicates(clashing(vectors)))
+    same(nearest(vectors), nearest(clashing(vectors)))
+    same(judge_urls(pages, labels), judge_urls(clashing(pages), clashing(labels)))
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_keep_extra_columns_with_clashing_names(spark, odd, name, stage):
+    plain, more = stage(spark, odd, SF), stage(spark, clashing(odd), SF)
+    same(plain, more.select(*plain.columns))
+    if name != "encoding":
+        assert more.columns == clashing(odd).columns
+        extra = [c for c in CLASHING if c not in odd.columns]
+        assert more.where(" or ".join(f"coalesce(`{c}`, '') <> 'm'" for c in extra)).isEmpty()
+
+
+def test_near_duplicate_stage_keeps_the_first_of_repeated_ids(spark, small):
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a b c d e f", "en", "s2", 1), (1, "a b c d e f", "en", "s1", 1), (2, "a b c d e f", "en", "s1", 1), (None, "a b c d e f", None, None, None)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, shape), SF).collect()
+    assert sorted((r["doc_id"] or 0, r["source"]) for r in got) == [(0, None), (1, "s1")]
