@@ -27,8 +27,8 @@ from pulsegrid.functions.expressions import epoch_micros, floor_div, null_safe_e
 CELL_SECONDS = 3600
 # Longest row frame and the default block length of ``with_blocks``.
 BLOCK_ROWS = 100_000
-# Rows of a small side that may be broadcast after counting them.
-BROADCAST_ROWS = 100_000
+# Rows of a small side, and bytes of them as JSON text, that may be broadcast after counting them.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 # Sub-groups per key in two-step top-n.
 SALTS = 32
 
@@ -65,13 +65,14 @@ def join_nullsafe(left: DataFrame, right: DataFrame, on: list[str], how: str = "
     return joined.select("l.*", *extra)
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint if a count proves it small, else unchanged.
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``small`` with a broadcast hint if its counted rows and bytes prove it small, else unchanged.
 
     For configuration-like inputs (rules, allow-lists), whose count is cheap.
     """
-    rows = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if rows <= max_rows else small
+    width = F.octet_length(F.to_json(F.struct(*small.columns)))
+    rows, size = small.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(small) if rows <= max_rows and size <= max_bytes else small
 
 
 def salted_lookup(

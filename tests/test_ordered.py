@@ -226,3 +226,12 @@ def test_spine_in_stretches(spark, stretch):
     got = R.regularize(df, ["k"], "1 minute", stretch=stretch).collect()
     want = {("a", START + timedelta(minutes=m), float(m) if m in minutes else None) for m in range(30)} | {("b", START, 1.0)}
     assert len(got) == 31 and {tuple(r) for r in got} == want
+
+
+def test_broadcast_only_within_rows_and_bytes(spark):
+    small = spark.range(10).selectExpr("id", "repeat('x', 100) AS text")
+
+    def hinted(**bounds):
+        return "broadcast" in ordered.checked_broadcast(small, **bounds)._jdf.queryExecution().logical().toString()
+
+    assert hinted() and not hinted(max_rows=9) and not hinted(max_bytes=900)
