@@ -2,9 +2,10 @@
 
 A URL is a set of tokens: scheme, host, host labels, path words, query keys.  FP-growth
 over the labelled pages finds token combinations that go with a bad label; combinations
-with too little support or confidence are pruned.  Each rule is entered in an inverted
-index under its rarest token, so common tokens bring no rows to the join; a page is
-blocked if it has all tokens of a rule.
+with too little support or confidence are pruned, whatever their length, and so are
+rules that contain a shorter one, which decides alike.  Each rule is entered in an
+inverted index under its rarest token, so common tokens bring no rows to the join; a
+page is blocked if it has all tokens of a rule.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.phases import phase
+
 # Fixed values: (verdict, host, path) rules of the contract.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BAD = "label=bad"
 # Share of the labelled pages that have the tokens and the bad label, share of bad pages among those with the tokens.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.001, 0.6
-# Tokens of a rule at most.
-MAX_TOKENS = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -61,24 +62,34 @@ def url_tokens(url_col: str = "url") -> Column:
     ))
 
 
-def mine_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS
-) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, support, confidence) of the rules ``tokens -> bad`` from rows with ``tokens`` and boolean ``bad``."""
     items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= max_tokens))
+    rules = model.associationRules.where(F.col("consequent")[0] == BAD)
     return rules.select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
 
 
-def matched_pages(pages: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
-    """Distinct ids of the pages (id, tokens) that have all tokens of a rule."""
-    counts = pages.select(F.explode("tokens").alias("token")).groupBy("token").count()
+def _by_rarest(rules: DataFrame, sets: DataFrame) -> DataFrame:
+    """The tokens ``needed`` by each rule, under its ``token`` that the fewest of ``sets`` have."""
+    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
     entries = rules.select("tokens", F.explode("tokens").alias("token")).join(counts, "token", "left")
     rarest = F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token"))
-    index = entries.groupBy(F.col("tokens").alias("needed")).agg(rarest.alias("token"))
+    return entries.groupBy(F.col("tokens").alias("needed")).agg(rarest.alias("token"))
+
+
+def shortest_rules(rules: DataFrame) -> DataFrame:
+    """The rules that contain no shorter one; the same pages have all tokens of one of them."""
+    exploded = rules.select("tokens", F.explode("tokens").alias("token"))
+    inside = (F.size("needed") < F.size("tokens")) & (F.size(F.array_except("needed", "tokens")) == 0)
+    longer = exploded.join(_by_rarest(rules, rules), "token").where(inside).select("tokens").distinct()
+    return rules.join(longer, "tokens", "left_anti")
+
+
+def matched_pages(pages: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
+    """Distinct ids of the pages (id, tokens) that have all tokens of a rule."""
     exploded = pages.select(id_col, "tokens", F.explode("tokens").alias("token"))
-    hits = exploded.join(index, "token").where(F.size(F.array_except("needed", "tokens")) == 0)
+    hits = exploded.join(_by_rarest(rules, pages), "token").where(F.size(F.array_except("needed", "tokens")) == 0)
     return hits.select(id_col).distinct()
 
 
@@ -99,7 +110,7 @@ def judge_urls(
     tokens = shaped.select("id", url_tokens().alias("tokens"))
     bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
     marks = labels.select(F.col("doc_id").alias("id"), bad.alias("bad")).groupBy("id").agg(F.max("bad").alias("bad"))
-    mined = mine_rules(tokens.join(marks, "id"))
+    mined = shortest_rules(phase(mine_rules(tokens.join(marks, "id")), "url-rules"))
     hit = matched_pages(tokens, mined, "id").withColumn("mined", F.lit(True))
     name, verdict = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
     out = shaped.join(hit, "id", "left").withColumn("mined", F.coalesce("mined", F.lit(False)))

@@ -1,0 +1,46 @@
+"""Cases in which an operator once did less than the whole job."""
+
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+from pulsegrid.llm.url_rules import MIN_CONFIDENCE, MIN_SUPPORT, judge_urls, matched_pages, mine_rules, shortest_rules
+
+
+def with_rule(rows, min_support, min_confidence):
+    """Ids of the rows (id, tokens, bad) that have all tokens of a rule, by counting every combination."""
+    counts = {}
+    for _, tokens, bad in rows:
+        for n in range(1, len(tokens) + 1):
+            for part in combinations(sorted(tokens), n):
+                seen = counts.setdefault(part, [0, 0])
+                seen[0] += 1
+                seen[1] += bad
+    fit = [set(part) for part, (n, bad) in counts.items() if bad and bad >= min_support * len(rows) and bad >= min_confidence * n]
+    return {i for i, tokens, _ in rows if any(part <= set(tokens) for part in fit)}
+
+
+def test_url_rules_of_three_tokens(spark):
+    bad, clean, urls = {("a", "b", "c")}, [("a", "b", ""), ("a", "", "c"), ("", "b", "c")], []
+    for label, word, key in [*bad] * 20 + clean * 20:
+        urls.append((f"http://{label or 'other'}.h{len(urls)}.test/{word or 'none'}{word}/?{key or 'z'}=1", (label, word, key) in bad))
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)] + [(1000, "http://a.new.test/bb/?c=2"), (1001, "http://a.new.test/bb/?z=2")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if b else 1, 0) for i, (_, b) in enumerate(urls)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(pages, labels).collect()}
+    assert (got[1000], got[1001]) == ("block", "allow") and {got[i] for i, (_, b) in enumerate(urls) if b} == {"block"}
+
+
+def test_url_rules_equal_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.sample("abcdefgh", rng.randint(1, 5))) for i in range(300)]
+    rows = [(i, tokens, rng.random() < (0.9 if {"a", "b", "c"} <= set(tokens) else 0.2)) for i, tokens in rows]
+    table = spark.createDataFrame(rows, "id long, tokens array<string>, bad boolean")
+    for support, confidence in ((MIN_SUPPORT, MIN_CONFIDENCE), (0.01, 0.6), (0.02, 0.5)):
+        mined = mine_rules(table, support, confidence).cache()
+        want = with_rule(rows, support, confidence)
+        for rules in (mined, shortest_rules(mined)):
+            assert {r["id"] for r in matched_pages(table, rules, "id").collect()} == want
+        kept = [set(r["tokens"]) for r in shortest_rules(mined).collect()]
+        assert not any(a < b for a in kept for b in kept)
+    assert 0 < len(want) < len(rows)
