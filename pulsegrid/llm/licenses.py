@@ -2,15 +2,18 @@
 
 The templates are a bounded parameter.  Their word k-grams are winnowed (of each window
 of consecutive k-grams the one of smallest hash is kept) into an inverted index from
-fingerprint to (template, position).  Every k-gram of a document is looked up; hits on
-nearby diagonals form a candidate, which a local alignment of words within a band
+fingerprint to (template, position).  Every k-gram of a document is looked up; each
+diagonal with hits is a candidate, which a local alignment of words within a band
 around the diagonal measures: matched words, coverage of the template and the span.
+What a place leaves of the text is searched again, so notices in a row are all found.
 One pass over whole texts, no shuffle.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -111,21 +114,66 @@ def _less(cell: tuple[int, int, int]) -> tuple[int, int, int]:
     return cell[0] - 1, cell[1], cell[2]
 
 
-def _candidates(hits: list[tuple[int, int, int]], band: int) -> list[tuple[int, int]]:
-    """(template, diagonal) per cluster of hits (position in the text, template, position in it)."""
-    by_template: dict[int, list[int]] = {}
+def _diagonals(hits: list[tuple[int, int, int]]) -> dict[int, dict[int, list[int]]]:
+    """Per template and diagonal the text positions of the hits (position in the text, template, position in it)."""
+    out: dict[int, dict[int, list[int]]] = {}
     for i, number, j in hits:
-        by_template.setdefault(number, []).append(i - j)
-    out = []
-    for number, diagonals in by_template.items():
-        last = None
-        for d in sorted(set(diagonals)):
-            if last is None or d - last > band:
-                out.append((number, d))
-                last = d
+        out.setdefault(number, {}).setdefault(i - j, []).append(i)
     return out
 
 
+def _places(template: list[int], text: np.ndarray, diagonals: dict[int, list[int]], k: int, band: int, least: float) -> list[tuple[int, int, int]]:
+    """All places of a template in a text as (start, end, matched words), none overlapping another, sorted.
+
+    Exact copies are taken first, then the alignment with most matched words; what it leaves
+    of the text around its diagonal is searched again.
+    """
+    size, need = len(template), least * len(template)
+    taken, out, heap = bytearray(len(text)), [], []
+    whole = np.array(template, dtype=np.uint64)
+
+    def take(start: int, end: int, matched: int) -> None:
+        taken[start:end] = b"\x01" * (end - start)
+        out.append((start, end, matched))
+
+    def search(diagonal: int, low: int, high: int) -> None:
+        """Best alignment in each stretch of the text from ``low`` to ``high`` that is not taken."""
+        while (a := taken.find(0, low, high)) >= 0:
+            b = taken.find(1, a, high)
+            low = b if b >= 0 else high
+            if low - a >= need:
+                matched, start, end = align(template, text[a:low].tolist(), diagonal - a, band)
+                if matched:
+                    heappush(heap, (-matched, end - start, a + start, diagonal, a, low))
+
+    order = sorted(diagonals)
+    for d in order:
+        if 0 <= d <= len(text) - size and 1 not in taken[d : d + size] and np.array_equal(text[d : d + size], whole):
+            take(d, d + size, size)
+    for d in order:
+        if any(0 in taken[i : i + k] for i in diagonals[d]):
+            search(d, max(0, d - band), min(len(text), max(0, d) + size + band))
+    while heap:
+        matched, length, start, d, low, high = heappop(heap)
+        if 1 in taken[start : start + length]:
+            search(d, low, high)
+            continue
+        if -matched >= need:
+            take(start, start + length, -matched)
+        search(d, low, start)
+        search(d, start + length, high)
+    return sorted(out)
+
+
+def _longer(places: dict[int, list[tuple[int, int, int]]], start: int, end: int, matched: int) -> bool:
+    """Whether the span lies in one with more matched words; the places of one template do not overlap."""
+    for found in places.values():
+        at = bisect_right(found, start, key=lambda p: p[0]) - 1
+        if at >= 0 and end <= found[at][1] and found[at][2] > matched:
+            return True
+    return False
+
+
 def _scan(templates: dict[str, str], k: int, window: int, band: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(templates, k, window)
@@ -156,17 +204,13 @@ def _scan_slice(batch: pa.RecordBatch, index: TemplateIndex, band: int, least: f
     rows = []
     for row, found in hits.items():
         a, b = int(first[row]), int(first[row + 1])
-        spans = set()
-        for number, diagonal in _candidates(found, band):
-            template = index.words[number]
-            low = max(0, diagonal - band)
-            text = hashes[a + low : min(b, a + max(0, diagonal) + len(template) + band)].tolist()
-            matched, start, end = align(template, text, diagonal - low, band)
-            if matched >= least * len(template):
-                spans.add((number, low + start, low + end, matched))
+        places = {
+            number: _places(index.words[number], hashes[a:b], diagonals, index.k, band, least)
+            for number, diagonals in _diagonals(found).items()
+        }
         base = points[offsets[row]]
-        for number, start, end, matched in sorted(spans):
-            if any(x[1] <= start and end <= x[2] and x[3] > matched for x in spans):  # part of a longer notice
+        for number, start, end, matched in sorted((number, *p) for number, ps in places.items() for p in ps):
+            if _longer(places, start, end, matched):  # part of a longer notice
                 continue
             rows.append((
                 batch.column("doc_id")[row].as_py(), index.names[number], matched, matched / len(index.words[number]),
@@ -186,10 +230,11 @@ def license_spans(
 
     Spans are in code points, the end exclusive; words are runs of letters and digits,
     compared without case (A-Z).  Texts without a match, null and empty texts give no
-    rows.  A template of fewer than ``k`` words is never found.  Of two places of one
-    notice closer than ``band`` words one is reported; a match inside the span of one with
-more matched words is left out.  Rows are independent, so
-    repeated rows repeat their matches; other columns are ignored.
+    rows.  A template of fewer than ``k`` words is never found.  All places of a notice
+    that do not overlap are reported, also back to back; of overlapping ones that with more
+    matched words.  A match inside the span of another notice with more matched words is
+    left out.  Rows are independent, so repeated rows repeat their matches; other columns
+    are ignored.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chosen = TEMPLATES if templates is None else templates

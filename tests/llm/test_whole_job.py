@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import pytest
+
+from pulsegrid.llm.licenses import TEMPLATES, license_spans
 from pulsegrid.llm.url_rules import MIN_CONFIDENCE, MIN_SUPPORT, judge_urls, matched_pages, mine_rules, shortest_rules
 
 
@@ -44,3 +47,39 @@ def test_url_rules_equal_brute_force(spark):
         kept = [set(r["tokens"]) for r in shortest_rules(mined).collect()]
         assert not any(a < b for a in kept for b in kept)
     assert 0 < len(want) < len(rows)
+
+
+def license_rows(spark, text, names=None):
+    templates = None if names is None else {n: TEMPLATES[n] for n in names}
+    got = license_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), templates).collect()
+    return sorted((r["span_start"], r["span_end"], r["license"], r["n_matched"]) for r in got)
+
+
+@pytest.mark.parametrize("name,n_words", [("All-rights-reserved", 3), ("MIT-notice", 5), ("CC-BY-4.0-notice", 6)])
+@pytest.mark.parametrize("between", [" ", "\n", " Copyright 2019 Acme. "])
+def test_licenses_back_to_back(spark, name, n_words, between):
+    notice = TEMPLATES[name]
+    step = len(notice) + len(between)
+    want = [(i * step, i * step + len(notice) - 1, name, n_words) for i in range(6)]
+    assert license_rows(spark, between.join([notice] * 6), [name]) == want
+
+
+def test_licenses_in_mixed_lists(spark):
+    rng, names = random.Random(5), ["All-rights-reserved", "MIT-notice", "BSD", "Apache-2.0-notice"]
+    for _ in range(5):
+        text, want = "", []
+        for _ in range(40):
+            notice = TEMPLATES[name := rng.choice(names)]
+            want.append((len(text), len(text) + len(notice.rstrip(".:")), name))
+            text += notice + " " + "word " * rng.randint(0, 3)
+        assert [r[:3] for r in license_rows(spark, text, names)] == want
+
+
+def test_changed_licenses_back_to_back(spark):
+    notice = TEMPLATES["BSD"]
+    copies = [notice, notice.replace("binary", "any"), notice.replace("source", "our source"), notice.replace("with or ", ""), notice]
+    want, at = [], 0
+    for copy in copies:
+        want.append((at, at + len(copy) - 1, "BSD"))
+        at += len(copy) + 1
+    assert [r[:3] for r in license_rows(spark, " ".join(copies))] == want
