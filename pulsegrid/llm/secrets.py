@@ -4,7 +4,8 @@ Fixed kinds come from patterns.  On top, candidate strings (long runs of key-lik
 characters) are searched with a sliding window: the counts of its characters are kept
 up to date as one enters and one leaves, and with them the sum of n log2 n, from which
 the Shannon entropy follows.  Windows at or above the threshold of the candidate's
-character class are merged to spans.  Candidates on the allow-list are left out.
+character class are merged to spans.  Candidates on the allow-list are left out; of
+documentation keys only the part that says so, and what stands around it is searched.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ WINDOW = 16
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 # Character classes, first match wins: pattern of the whole candidate and least entropy in bits of a window.
 CLASSES = [(r"^[0-9a-f]+$", 2.75), (r"^[0-9A-F]+$", 2.75), (r"^[A-Z0-9]+$", 3.2), (r"^[a-z0-9]+$", 3.3), (r"^.*$", 3.4)]
-# Never secrets: words, numbers, rules, one repeated character, paths and dashed words, documentation keys.
+# Never secrets: words, numbers, rules, one repeated character, paths and dashed words.
 ALLOWED = [
     r"^[A-Za-z]+$", r"^[0-9]+$", r"^[+/_=-]+$", r"^(.)\1+$", r"^[/_-]?[A-Za-z]*([/_=-][A-Za-z]*)+$",
-    r"^[/_-]?([A-Za-z]+|[0-9]+)([/_=-]([A-Za-z]+|[0-9]+))*[/_=-]?$", r"(?i)example",
+    r"^[/_-]?([A-Za-z]+|[0-9]+)([/_=-]([A-Za-z]+|[0-9]+))*[/_=-]?$",
 ]
+# Neither are documentation keys: each run of letters and digits with this word in it, and keys of several such runs as a whole.
+DOCUMENTATION, DOCUMENTATION_KEYS = "example", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+# One character of such a run: the first, or the one after another.
+_DOCUMENTATION_CHAR = rf"(?i)(?:(?<![A-Za-z0-9])(?=[A-Za-z0-9]*{DOCUMENTATION})|\G(?!^))[A-Za-z0-9]"
 # Printable ASCII from '!': the positions of the count array.
 _SYMBOLS = 94
 
@@ -64,6 +69,14 @@ def _allowed(candidate: Column, allowed: list[str]) -> Column:
     return out
 
 
+def _without_documentation(text: Column) -> Column:
+    """The text with blanks in place of documentation keys; all positions stay."""
+    out = text
+    for key in DOCUMENTATION_KEYS:
+        out = F.replace(out, F.lit(key), F.lit(" " * len(key)))
+    return F.when(text.rlike(f"(?i){DOCUMENTATION}"), F.regexp_replace(out, _DOCUMENTATION_CHAR, " ")).otherwise(text)
+
+
 def _entropy_spans(candidate: Column) -> Column:
     """Merged windows of high entropy in one candidate as (start, end), by running counts."""
     level = F.lit(None).cast("double")
@@ -129,7 +142,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", allowed: list[str] | N
         spans = _spans(text, pattern, lambda m, v, least=least: F.length(v) >= least, number)
         found.append(F.transform(spans, plain))
     listed = ALLOWED if allowed is None else allowed
-    candidates = _spans(text, CANDIDATE, lambda m, v: ~_allowed(m, listed), len(KINDS))
+    searched = _without_documentation(text) if allowed is None else text
+    candidates = _spans(searched, CANDIDATE, lambda m, v: ~_allowed(m, listed), len(KINDS))
     high = F.flatten(F.transform(candidates, lambda c: F.transform(
         _entropy_spans(c["match"]),
         lambda w: F.struct((c["start"] + w["start"]).alias("start"), c["kind"].alias("kind"), (c["start"] + w["end"]).alias("end")),
