@@ -103,7 +103,7 @@ def _links_of(rows: pa.Table, cosine: float) -> list[tuple]:
     bounds, budgets, turn = block_bounds(dims), _budgets(dims, cosine), rotation(dims)
     x = matrix(rows.column("vec"))
     unit = _unit(x)
-    by = np.argsort(rep, kind="stable")  # the smallest of a tree is the one of smallest id
+    by = np.argsort(rep, kind="stable")  # the root of a tree is its smallest number
     rep, copies, guest, mine, x, unit = (v[by] for v in (rep, copies, guest, mine, x, unit))
     part = unit @ turn[:, bounds[block][0] : bounds[block][1]]
     norms, squares = np.sqrt(np.einsum("ij,ij->i", x, x)), (part * part).sum(1)
@@ -157,17 +157,19 @@ def near_duplicates(
     Vectors of one label (not null) and one length link from a cosine of ``cosine``, in
     double precision.  ``n_links`` counts other rows, ``component_id`` is the smallest id
     that links reach, ``kept`` says whether that is the row's own.  Vectors that are
-    null, empty, zero or not finite, and rows with a null id or label, link with nothing:
-    0 links, their own id, kept (null for a null id).  Equal rows link with each other;
-    extra columns are ignored; an empty table gives no rows.
+    null, empty, zero or not finite, and rows with a null label, link with nothing: 0
+    links, their own id, kept.  Rows with a null id link too; their component is null if
+    no id is reached, ``kept`` always.  An id may repeat with different vectors.  Equal
+    rows link with each other; extra columns are ignored; an empty table gives no rows.
     """
     given = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"), F.col(label_col).cast("long").alias("label")
     )
-    fit = F.col("id").isNotNull() & F.col("label").isNotNull() & usable("vec")
+    fit = F.col("label").isNotNull() & usable("vec")
     given = given.withColumn("vec", F.when(fit, F.col("vec")))
-    classes = given.where("vec is not null").groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = phase(classes.withColumn("dims", F.size("vec")), "vector-classes")
+    classes = given.where("vec is not null").groupBy("label", "vec").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    # classes are numbered, as ids may repeat or be null
+    classes = phase(classes.withColumns({"dims": F.size("vec"), "rep": F.monotonically_increasing_id()}), "vector-classes")
     schema = "label long, dims int, rep long, copies long, vec array<{}>, block int, cell int, guest int".format(
         dict(classes.dtypes)["vec"].removeprefix("array<").removesuffix(">"))
     placed = classes.select("label", "dims", "rep", "copies", "vec").mapInArrow(_cells(cosine), schema)
@@ -184,9 +186,11 @@ def near_duplicates(
 
     linked = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(found.where("b is not null"), "a", "b").withColumnRenamed("node", "rep")
-    summary = classes.join(linked, "rep", "left").join(labels, "rep", "left").select(
+    smallest = labels.join(classes, "rep").groupBy("component").agg(F.min("first_id").alias("smallest_id"))
+    named = labels.join(smallest, "component").select("rep", "smallest_id")
+    summary = classes.join(linked, "rep", "left").join(named, "rep", "left").select(
         "label", "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+        F.coalesce("smallest_id", "first_id").alias("component_id"),
     )
     out = given.join(summary, ["label", "vec"], "left")
     component = F.coalesce("component_id", "id")

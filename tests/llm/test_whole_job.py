@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import random
+from fractions import Fraction
 from itertools import combinations
 
+import brute
+import numpy as np
 import pytest
 
+from pulsegrid.llm.jaccard_join import jaccard_groups
 from pulsegrid.llm.licenses import TEMPLATES, license_spans
 from pulsegrid.llm.secrets import redact_secrets, secret_spans
+from pulsegrid.llm.subspace_dedup import near_duplicates
 from pulsegrid.llm.url_rules import MIN_CONFIDENCE, MIN_SUPPORT, judge_urls, matched_pages, mine_rules, shortest_rules
 
 
@@ -98,3 +103,55 @@ def test_secrets_beside_the_word_example(spark):
     assert [masked[i + len(hidden)] for i in range(len(shown))] == shown
     spans = {r["doc_id"]: r["spans"] for r in secret_spans(table).collect()}
     assert spans[len(hidden) + 1] == "" and spans[3].count("entropy") == 3
+
+
+def smallest_ids(ids, links):
+    """Per row the smallest id of the rows that links reach, None if none has one."""
+    at = brute.groups(range(len(ids)), links)
+    reached = {}
+    for row, root in at.items():
+        reached.setdefault(root, []).append(ids[row])
+    return [min((x for x in reached[at[row]] if x is not None), default=None) for row in range(len(ids))]
+
+
+def test_jaccard_through_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        for step in range(3):  # each is similar to the one before, the first not to the last
+            rows.append((rng.choice([None, rng.randrange(5), rng.randrange(100)]), " ".join(words)))
+            words = words[4:] + [f"w{rng.randrange(10**6)}" for _ in range(4)]
+    rows[:3] = [(7, rows[0][1]), (None, rows[1][1]), (9, rows[2][1])]
+    sets = [brute.shingles(t, 3) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert (1, 0) in links and (2, 1) in links and (2, 0) not in links
+    ids = [i for i, _ in rows]
+    n_links = [sum(row in pair for pair in links) for row in range(len(rows))]
+    want = sorted(zip(ids, smallest_ids(ids, links), n_links), key=repr)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_groups(table, k=3, threshold=Fraction(8, 10)).select("doc_id", "component_id", "links").collect()
+    assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_near_duplicate_vectors_of_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(15):
+        one, two = (v / np.linalg.norm(v) for v in rng.normal(size=(2, 16)))
+        two = two - (one @ two) * one
+        two = two / np.linalg.norm(two)
+        for angle in (0, 0.3, 0.6):  # neighbours have a cosine of 0.955, first and last of 0.825
+            i = [None, int(rng.integers(4)), int(rng.integers(100))][rng.integers(3)]
+            rows.append((i, (np.cos(angle) * one + np.sin(angle) * two).astype(np.float32).tolist(), int(rng.integers(2))))
+    rows[:3] = [(7, rows[0][1], 1), (None, rows[1][1], 1), (9, rows[2][1], 1)]
+    rows += [(None, rows[0][1], None), (None, rows[2][1], 1)]
+    x = np.array([r[1] for r in rows], dtype=float)
+    cos = x @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(x, axis=1)[:, None]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if cos[i, j] >= 0.93 and rows[i][2] is not None and rows[i][2] == rows[j][2]]
+    assert (1, 0) in links and (2, 1) in links and (2, 0) not in links
+    ids = [r[0] for r in rows]
+    n_links = [sum(row in pair for pair in links) for row in range(len(rows))]
+    want = [(i, n, c, None if i is None else i == c) for i, n, c in zip(ids, n_links, smallest_ids(ids, links))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, near_duplicates(table).collect()), key=repr) == sorted(want, key=repr)
