@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL
+from paths import SMALL
 from parity import compare, oracle_connection
 
 from __spark_entry__ import entry, oracle_sql, queries

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import SMALL
+from paths import SMALL
 
 from __spark_entry__ import queries
 
