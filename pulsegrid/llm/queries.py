@@ -7,10 +7,14 @@ from fractions import Fraction
 import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.llm.jaccard_join import jaccard_groups
 from pulsegrid.llm.bpe import encode_digests
 from pulsegrid.llm.licenses import license_spans
+from pulsegrid.llm.line_quality import quality
+from pulsegrid.llm.periodic_runs import periodic_runs
+from pulsegrid.llm.whitening import whiten
 from pulsegrid.llm.toxicity import toxic_documents
 from pulsegrid.llm.mixing import mix
 from pulsegrid.llm.secrets import secret_spans
@@ -81,3 +85,51 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that repeat strings of 100 bytes."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, chosen by the checksum of the id, repeat a part of their words to the end.
+
+    With h = crc32 of the decimal id and g = floor(h / 10), the n words of a text with h % 10 = 0 are, from word
+    a = g % n on, the words a + (i - a) % p with p = 1 + floor((n - a) / (3 + g % 8)).  Rows without an id stay.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", h.alias("h")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.expr(r"regexp_extract_all(text, '([^\\x20\\x09-\\x0D]+)', 1)"))
+    )
+    periodic = F.expr(
+        "array_join(transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')"
+    )
+    placed = (
+        words.withColumn("n", F.size("words"))
+        .withColumn("g", F.floor(F.col("h") / 10))
+        .withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+        .withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    )
+    return placed.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, a tenth of them made periodic, with digests of the runs and of the collapsed texts."""
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("fine"))))
+    longest = found.withColumn("best", best)
+    return longest.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.fine")).alias("period"), F.floor(F.col("best.length") * 1000 / -F.col("best.fine")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+@query("op12_exact_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the leading components of their exact covariance."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_line_frequency")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdicts of all documents; lines are counted over the documents of a source."""
+    return quality(table(spark, sf_dir, "documents"))

@@ -75,6 +75,15 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(raw ^ (ends - starts).astype(np.uint64) << np.uint64(48))
 
 
+def sequence_hashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each sequence ``hashes[bounds[i]:bounds[i + 1]]``, equal for equal sequences wherever they stand."""
+    n = len(hashes)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(mix(hashes, 13) * powers(_BASE, n), out=total[1:])
+    raw = (total[bounds[1:]] - total[bounds[:-1]]) * powers(_INVERSE, n + 1)[bounds[:-1]]
+    return mix(raw ^ np.diff(bounds).astype(np.uint64), 14)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z."""
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
