@@ -195,7 +195,7 @@ def test_quality_query_equals_brute_force(spark):
 
 def test_a_line_of_most_documents_goes_and_depletes_some(spark):
     menu = " ".join(f"menu{i}" for i in range(60))
-    rows = [(i, menu + "\n" + " ".join(chr(97 + i // 10) + chr(97 + i % 10) + "x" * (k * k % 37) for k in range(100 if i % 2 else 10)), "h") for i in range(100)]
+    rows = [(i, menu + "\n" + " ".join("".join(chr(97 + int(c)) for c in f"{i:02}{k:02}") for k in range(100 if i % 2 else 10)), "h") for i in range(100)]
     got = {r["doc_id"]: r["kept"] for r in quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == {i: bool(i % 2) for i in range(100)}
     # elsewhere the line is rare
