@@ -204,7 +204,7 @@ def test_a_line_of_most_documents_goes_and_depletes_some(spark):
 
 
 def test_quality_of_odd_tables(spark):
-    long_text = "\n".join(f"line {i} of many" for i in range(200_000))
+    long_text = "\n".join(f"line{i} of{i} many{i}" for i in range(200_000))
     rows = [(1, None, None), (2, "", "a"), (3, "\n\n \n", "a"), (4, long_text, "a"), (5, "x " * 1_000_000, "a")]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted(tuple(r[c] for c in COLUMNS) for r in quality(table).collect())
