@@ -1,7 +1,10 @@
 """Seasonal forecaster: linear trend and Fourier terms on log values, per series.
 
-The normal equations of every series are plain sums, so fitting is one partial
-aggregation over all series; only a k-by-k solve per series runs in Python.
+A fit needs only sums: of the products of all terms and of the terms with the value.  They
+are taken per (series, cell of time) with time counted from the cell's start, and cells are
+added after moving them to a common start: a shift in time rotates the sine and cosine of a
+frequency and adds a constant to the trend, so the moved sums are exact.  A stored model keeps
+one row of sums a series; new rows are summed alone, added, and the series solved again.
 """
 
 from __future__ import annotations
@@ -11,13 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.expressions import epoch_micros
-from pulsegrid.operators.ordered import join_nullsafe
+from pulsegrid.operators.ordered import join_nullsafe, union_all
+from pulsegrid.session import materialize
 
 DAY = 86_400.0
+DAY_MICROS = 86_400_000_000
 # Period in days and number of harmonics.
 DAILY = (1.0, 4)
 WEEKLY = (7.0, 3)
@@ -25,25 +31,50 @@ YEARLY = (365.25, 10)
 # Two-sided 80 % normal interval.
 INTERVAL_Z = 1.2815515655446004
 
+Seasons = tuple[tuple[float, int], ...]
+
 
 @dataclass(frozen=True)
 class SeasonalModel:
-    """``table``: one row per series with ``coef ARRAY<DOUBLE>``, ``sigma``, ``origin`` and ``last_ts``."""
+    """``table``: one row per series with ``coef ARRAY<DOUBLE>``, ``sigma``, ``origin`` and ``last_ts``; ``sums``: what it was solved from."""
 
     table: DataFrame
     keys: tuple[str, ...]
-    seasons: tuple[tuple[float, int], ...]
+    seasons: Seasons
     multiplicative: bool
+    sums: DataFrame
+    ridge: float = 1e-6
+    yearly_ridge: float = 1e-2
+
+
+def frequencies(seasons: Seasons) -> np.ndarray:
+    """Angle a day of every harmonic."""
+    return np.array([2 * math.pi * k / period for period, harmonics in seasons for k in range(1, harmonics + 1)])
 
 
-def _features(ts: Column, origin: Column, seasons: tuple[tuple[float, int], ...]) -> list[Column]:
+def _features(ts: Column, origin: Column, seasons: Seasons) -> list[Column]:
     days = (epoch_micros(ts) / 1e6 - origin) / DAY
-    terms = [F.lit(1.0), days / 30]
-    for period, harmonics in seasons:
-        for k in range(1, harmonics + 1):
-            angle = days * (2 * math.pi * k / period)
-            terms += [F.sin(angle), F.cos(angle)]
-    return terms
+    waves = [wave(days * float(w)) for w in frequencies(seasons) for wave in (F.sin, F.cos)]
+    return [F.lit(1.0), days / 30, *waves]
+
+
+def term_values(days: np.ndarray, seasons: Seasons) -> np.ndarray:
+    """The terms of ``_features`` at times in days from the origin, one row each."""
+    angles = days[:, None] * frequencies(seasons)
+    waves = np.stack((np.sin(angles), np.cos(angles)), axis=2).reshape(len(days), -1)
+    return np.concatenate((np.ones((len(days), 1)), days[:, None] / 30, waves), axis=1)
+
+
+def shift(days: np.ndarray, seasons: Seasons) -> np.ndarray:
+    """Per entry the matrix that takes terms (and the value) at time t to those at ``t + days``."""
+    angles = days[:, None] * frequencies(seasons)
+    size = 2 + 2 * angles.shape[1] + 1
+    out = np.tile(np.eye(size), (len(days), 1, 1))
+    out[:, 1, 0] = days / 30
+    at = 2 + 2 * np.arange(angles.shape[1])
+    out[:, at, at] = out[:, at + 1, at + 1] = np.cos(angles)
+    out[:, at, at + 1], out[:, at + 1, at] = np.sin(angles), -np.sin(angles)
+    return out
 
 
 def _link(value: Column, multiplicative: bool) -> Column:
@@ -54,6 +85,94 @@ def _unlink(value: Column, multiplicative: bool) -> Column:
     return F.expm1(value) if multiplicative else value
 
 
+def _key_fields(df: DataFrame, keys: list[str]) -> str:
+    return "".join(f"`{k}` {dict(df.dtypes)[k]}, " for k in keys)
+
+
+_SUMS = "base long, n long, first_at long, last_at long, products array<double>"
+
+
+def _row(of: pa.Table, keys: list[str], base: int, n: int, first: int, last: int, products: np.ndarray) -> pa.Table:
+    """One row of sums with the keys of ``of``; ``products`` by its upper triangle."""
+    values = [pa.array([v], pa.int64()) for v in (base, n, first, last)]
+    flat = pa.array([products[np.triu_indices(len(products))]], pa.list_(pa.float64()))
+    columns = [of.column(k).slice(0, 1) for k in keys]
+    return pa.Table.from_arrays([*columns, *values, flat], names=[*keys, "base", "n", "first_at", "last_at", "products"])
+
+
+def _square(flat: np.ndarray, size: int) -> np.ndarray:
+    """Full symmetric matrices of rows of upper triangles."""
+    out = np.zeros((len(flat), size, size))
+    i, j = np.triu_indices(size)
+    out[:, i, j] = flat
+    out[:, j, i] = flat
+    return out
+
+
+def _size(seasons: Seasons) -> int:
+    return 3 + 2 * sum(h for _, h in seasons)
+
+
+def cell_sums(series: DataFrame, keys: list[str], multiplicative: bool, seasons: Seasons, cell_micros: int = DAY_MICROS) -> DataFrame:
+    """Sums of every (series, cell) of ``(keys, ts, value)``, from the cell's start ``base``; rows without a value are left out.
+
+    ``products`` holds the upper triangle of the sums of products of all terms and the value.  One shuffle
+    on (keys, cell); a group is one cell of one series, so choose shorter cells for very dense series.
+    """
+    at = epoch_micros(F.col("ts"))
+    y = _link(F.col("value").cast("double"), multiplicative)
+    rows = series.where(F.col("value").isNotNull()).select(*keys, (at - F.pmod(at, F.lit(cell_micros))).alias("base"), at.alias("at"), y.alias("y"))
+
+    def add(group: pa.Table) -> pa.Table:
+        micros, base = group.column("at").to_numpy(), group.column("base")[0].as_py()
+        x = np.concatenate((term_values((micros - base) / DAY_MICROS, seasons), group.column("y").to_numpy()[:, None]), axis=1)
+        return _row(group, keys, base, len(x), int(micros.min()), int(micros.max()), x.T @ x)
+
+    return rows.groupBy(*keys, "base").applyInArrow(add, _key_fields(series, keys) + _SUMS)
+
+
+def merge_sums(sums: DataFrame, keys: list[str], seasons: Seasons) -> DataFrame:
+    """One row of sums a series, moved to its earliest base.  A group is the cells of one series."""
+    size = _size(seasons)
+
+    def merge(group: pa.Table) -> pa.Table:
+        held = {c: group.column(c).to_numpy() for c in ("base", "n", "first_at", "last_at")}
+        base = int(held["base"].min())
+        products = _square(group.column("products").combine_chunks().flatten().to_numpy().reshape(len(held["n"]), -1), size)
+        moved = shift((held["base"] - base) / DAY_MICROS, seasons)
+        total = (moved @ products @ moved.transpose(0, 2, 1)).sum(axis=0)
+        return _row(group, keys, base, int(held["n"].sum()), int(held["first_at"].min()), int(held["last_at"].max()), total)
+
+    return sums.groupBy(*keys).applyInArrow(merge, _key_fields(sums, keys) + _SUMS)
+
+
+def solve_seasonal(
+    sums: DataFrame, keys: list[str], seasons: Seasons, multiplicative: bool, ts_type: str = "timestamp_ntz",
+    ridge: float = 1e-6, yearly_ridge: float = 1e-2,
+) -> SeasonalModel:
+    """Solve every series of merged sums; time counts from a series' first row."""
+    penalty = np.full(_size(seasons) - 1, ridge)
+    if YEARLY in seasons:
+        penalty[-2 * YEARLY[1] :] = yearly_ridge
+
+    @F.pandas_udf("coef array<double>, sigma double")
+    def solve(products: pd.Series, n: pd.Series, base: pd.Series, first: pd.Series) -> pd.DataFrame:
+        moved = shift((base.to_numpy() - first.to_numpy()) / DAY_MICROS, seasons)
+        full = moved @ _square(np.stack(products.to_list()), _size(seasons)) @ moved.transpose(0, 2, 1) if len(n) else []
+        out = []
+        for square, count in zip(full, n):
+            gram, moment, yy = square[:-1, :-1], square[:-1, -1], square[-1, -1]
+            coef = np.linalg.solve(gram + count * np.diag(penalty), moment)
+            sse = max(yy - 2 * coef @ moment + coef @ gram @ coef, 0.0)
+            out.append((coef.tolist(), float(np.sqrt(sse / max(count - len(coef), 1)))))
+        return pd.DataFrame(out, columns=["coef", "sigma"])
+
+    solved = sums.withColumn("_s", solve("products", "n", "base", "first_at"))
+    last = F.timestamp_micros("last_at").cast(ts_type)
+    table = solved.select(*keys, "n", (F.col("first_at") / 1e6).alias("origin"), last.alias("last_ts"), "_s.coef", "_s.sigma")
+    return SeasonalModel(table, tuple(keys), seasons, multiplicative, sums, ridge, yearly_ridge)
+
+
 def fit_seasonal(
     series: DataFrame,
     keys: list[str],
@@ -61,52 +180,32 @@ def fit_seasonal(
     yearly: bool = True,
     ridge: float = 1e-6,
     yearly_ridge: float = 1e-2,
+    cell_micros: int = DAY_MICROS,
 ) -> SeasonalModel:
     """Fit every series of ``(keys, ts, value)``, each by its own rows only.
 
     Time counts from a series' first row.  ``yearly_ridge`` keeps the yearly terms of
-    series much shorter than a year near zero.
+    series much shorter than a year near zero.  The sums are written to the shared folder.
     """
-    known = series.where(F.col("value").isNotNull())
-    first = known.groupBy(*keys).agg((F.min(epoch_micros(F.col("ts"))) / 1e6).alias("origin"))
-    placed = join_nullsafe(known, first, keys)
     seasons = (DAILY, WEEKLY, YEARLY) if yearly else (DAILY, WEEKLY)
-    penalty = np.full(2 + 2 * sum(h for _, h in seasons), ridge)
-    if yearly:
-        penalty[-2 * YEARLY[1] :] = yearly_ridge
-    terms = _features(F.col("ts"), F.col("origin"), seasons)
-    k = len(terms)
-    y = _link(F.col("value"), multiplicative)
-    named = placed.select(
-        *keys, "ts", "origin", y.alias("y"), *[t.alias(f"x{i}") for i, t in enumerate(terms)]
-    )
-    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k) for j in range(i, k)]
-    moments = [F.sum(F.col(f"x{i}") * F.col("y")) for i in range(k)]
-    grouped = named.groupBy(*keys).agg(
-        F.array(*sums).alias("gram"),
-        F.array(*moments).alias("moment"),
-        F.sum(F.col("y") * F.col("y")).alias("yy"),
-        F.count("y").alias("n"),
-        F.max("ts").alias("last_ts"),
-        F.first("origin").alias("origin"),
+    sums = merge_sums(cell_sums(series, keys, multiplicative, seasons, cell_micros), keys, seasons)
+    return solve_seasonal(
+        materialize(sums, "seasonal-sums"), keys, seasons, multiplicative, dict(series.dtypes)["ts"], ridge, yearly_ridge
     )
 
-    @F.pandas_udf("coef array<double>, sigma double")
-    def solve(gram: pd.Series, moment: pd.Series, yy: pd.Series, n: pd.Series) -> pd.DataFrame:
-        upper = np.triu_indices(k)
-        out = []
-        for g, m, square, count in zip(gram, moment, yy, n):
-            full = np.zeros((k, k))
-            full[upper] = g
-            full = full + full.T - np.diag(np.diag(full))
-            coef = np.linalg.solve(full + count * np.diag(penalty), np.asarray(m))
-            sse = max(square - 2 * coef @ np.asarray(m) + coef @ full @ coef, 0.0)
-            out.append((coef.tolist(), float(np.sqrt(sse / max(count - k, 1)))))
-        return pd.DataFrame(out, columns=["coef", "sigma"])
 
-    solved = grouped.withColumn("_s", solve("gram", "moment", "yy", "n"))
-    table = solved.select(*keys, "n", "origin", "last_ts", "_s.coef", "_s.sigma")
-    return SeasonalModel(table, tuple(keys), seasons, multiplicative)
+def update_seasonal(model: SeasonalModel, series: DataFrame) -> SeasonalModel:
+    """The model with the rows of ``(keys, ts, value)`` that come after the last of their series; nothing is fitted again from old rows.
+
+    Series the model does not know are added.  Rows at or before a series' last time are taken as known.
+    """
+    keys = list(model.keys)
+    known = model.table.select(*keys, F.col("last_ts").alias("_last"), F.lit(True).alias("_known"))
+    fresh = join_nullsafe(series, known, keys, "left").where(F.col("_known").isNull() | (F.col("ts") > F.col("_last")))
+    new = cell_sums(fresh.select(*keys, "ts", "value"), keys, model.multiplicative, model.seasons)
+    sums = materialize(merge_sums(union_all([model.sums, new]), keys, model.seasons), "seasonal-sums")
+    ts_type = dict(model.table.dtypes)["last_ts"]
+    return solve_seasonal(sums, keys, model.seasons, model.multiplicative, ts_type, model.ridge, model.yearly_ridge)
 
 
 def predict_at(model: SeasonalModel, times: DataFrame) -> DataFrame:

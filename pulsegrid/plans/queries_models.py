@@ -13,6 +13,7 @@ from pulsegrid.operators import seasonal as E
 from pulsegrid.operators import sequence_model as Q
 from pulsegrid.operators import reshape as R
 from pulsegrid.operators.iforest import fit_isolation_forest
+from pulsegrid.operators.ordered import union_all
 from pulsegrid.operators.scaling import fit_scaler
 from pulsegrid.operators.windows import chrono_split, hash_split
 from pulsegrid.plans import inputs as I
@@ -20,6 +21,7 @@ from pulsegrid.plans import jobs
 from pulsegrid.plans import training
 from pulsegrid.plans.registry import query
 from pulsegrid.session import shared_dir
+from pulsegrid.sources import sinks
 from pulsegrid.streaming import feeds
 from pulsegrid.streaming import ordered_rules as O
 from pulsegrid.streaming.cycle import cycle_writer
@@ -101,39 +103,74 @@ def training_run(spark, sf):
     return results
 
 
-def _cycle_rows(points, alerts):
-    """Prediction points and alerts of a cycle as rows of one shape."""
-    made = points.select(F.lit("point").alias("kind"), "host", "ts", F.concat_ws(".", "measurement", "field").alias("name"), "value")
+def _cycle_rows(points, alerts, forecasts):
+    """Prediction points, alerts and forecast points of a cycle as rows of one shape."""
+    ahead = sinks.forecasts_to_points(forecasts, FEATURES[0])
+    kinds = [("point", points), ("forecast", ahead)]
+    made = [p.select(F.lit(k).alias("kind"), "host", "ts", F.concat_ws(".", "measurement", "field").alias("name"), "value") for k, p in kinds]
     raised = alerts.select(F.lit("alert").alias("kind"), "host", "ts", F.col("metric").alias("name"), "value")
-    return made.unionByName(raised)
+    return union_all([*made, raised])
 
 
 @query("prediction_cycle")
 def prediction_cycle(spark, sf):
+    """Models of all days but the last, stored and read back; a cycle at the end that takes up the last day."""
     grid = _hour_grid(spark, sf)
     path = shared_dir(spark, "models")
-    _train(spark, sf, grid, save_to=path)
+    _train(spark, sf, grid.where("ts < TIMESTAMP_NTZ '2024-01-29 00:00:00'"), save_to=path)
     models = training.load_models(spark, path)
-    return _cycle_rows(*training.run_cycle(grid, models, smart=_host_smart(spark, sf), smart_features=SMART))
+    found = training.run_cycle(grid, models, smart=_host_smart(spark, sf), smart_features=SMART)
+    return _cycle_rows(found.points, found.alerts, found.forecasts)
 
 
 @query("stream_prediction_cycle")
 def stream_prediction_cycle(spark, sf):
-    """The cycle as the body of a stream over the metric points; the newest cycle's rows."""
-    grid = _hour_grid(spark, sf)
-    frame = grid.select("host", "ts", *FEATURES)
-    scaler = fit_scaler(frame, FEATURES)
-    models = training.Models(
-        scaler=scaler, length=LENGTH, forest=fit_isolation_forest(scaler.scale(frame), FEATURES, ["host", "ts"]),
-        sequence=Q.fit_sequence_model(Q.training_sequences(frame, scaler, LENGTH, ["host"]).where("part = 'train'")),
-    )
+    """The cycle with all models as the body of a stream over the metric points of the last days; the newest cycle's rows."""
+    path = shared_dir(spark, "stream-models")
+    _train(spark, sf, _hour_grid(spark, sf).where("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'"), save_to=path)
     events = I.table(spark, sf, "events")
     feed = I.points_of(feeds.stream_points(spark, sf, events.schema, "events.parquet"))
     root = shared_dir(spark, "stream-cycle")
-    body = cycle_writer(models, FEATURES, f"{root}/points", f"{root}/results", f"{root}/alerts", "60 days", "1 hour")
+    body = cycle_writer(
+        training.load_models(spark, path), FEATURES, f"{root}/points", f"{root}/results", f"{root}/alerts", "60 days", "1 hour",
+        smart=_host_smart(spark, sf), smart_features=SMART, forecasts_path=f"{root}/forecasts",
+    )
     feeds.stream_cycle(feed, body, f"{root}/log", available_now=True).awaitTermination()
-    made, raised = (spark.read.parquet(f"{root}/{x}").drop("batch") for x in ("results", "alerts"))
-    return _cycle_rows(made, raised)
+    return _cycle_rows(*(spark.read.parquet(f"{root}/{x}").drop("batch") for x in ("results", "alerts", "forecasts")))
+
+
+# Per (series, day) the number of rows and sums that the seasonal fit is solved from: trend and first daily wave with the value.
+@query("seasonal_day_sums", """
+    SELECT host, metric, day, n, round(one_y, 6) AS one_y, round(trend_trend, 6) AS trend_trend, round(trend_y, 6) AS trend_y,
+      round(sin_y, 6) AS sin_y, round(sin_cos, 6) AS sin_cos, round(yy, 6) AS yy FROM (
+      SELECT host, metric, CAST(ts AS DATE) AS day, count(*) AS n, sum(y) AS one_y, sum(d / 30 * d / 30) AS trend_trend, sum(d / 30 * y) AS trend_y,
+        sum(sin(2 * pi() * d) * y) AS sin_y, sum(sin(2 * pi() * d) * cos(2 * pi() * d)) AS sin_cos, sum(y * y) AS yy FROM (
+        SELECT host, metric, ts, ln(1 + greatest(value, 0)) AS y, hour(ts) / 24.0::DOUBLE AS d FROM series) t GROUP BY ALL) s""")
+def seasonal_day_sums(spark, sf):
+    sums = E.cell_sums(I.series(spark, sf), KEYS, True, (E.DAILY, E.WEEKLY, E.YEARLY))
+    size = 3 + 2 * sum(h for _, h in (E.DAILY, E.WEEKLY, E.YEARLY))
+
+    def at(i, j):
+        return r6(F.element_at("products", i * size - i * (i - 1) // 2 + j - i + 1))
+
+    named = {"one_y": (0, size - 1), "trend_trend": (1, 1), "trend_y": (1, size - 1), "sin_y": (2, size - 1), "sin_cos": (2, 3), "yy": (size - 1, size - 1)}
+    day = F.to_date(F.timestamp_micros("base")).alias("day")
+    return sums.select(*KEYS, day, "n", *[at(*place).alias(name) for name, place in named.items()])
+
+
+# The fit of all rows against the fit of the rows before a day, brought up to date with the rest: what is known of a series.
+@query("seasonal_update_facts", """
+    SELECT host, metric, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, true AS same_fit FROM series GROUP BY ALL""")
+def seasonal_update_facts(spark, sf):
+    series = I.series(spark, sf)
+    whole = E.fit_seasonal(series, KEYS)
+    early = E.fit_seasonal(series.where("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'"), KEYS)
+    late = E.update_seasonal(early, series)
+    other = late.table.select(*KEYS, F.col("coef").alias("_coef"), F.col("n").alias("_n"), F.col("last_ts").alias("_last"))
+    apart = F.aggregate(F.zip_with("coef", "_coef", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    same = (apart < 1e-6) & (F.col("n") == F.col("_n")) & (F.col("last_ts") == F.col("_last"))
+    first = F.timestamp_micros(F.round(F.col("origin") * 1e6).cast("long")).cast("timestamp_ntz")
+    return whole.table.join(other, KEYS).select(*KEYS, "n", first.alias("first_ts"), "last_ts", same.alias("same_fit"))
 
 
 @query("naive_evaluation", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import LinearRegressionModel
@@ -18,7 +19,7 @@ from pulsegrid.operators.disk_model import fit_disk_model, predict_disk
 from pulsegrid.operators.iforest import IsolationForestModel, fit_isolation_forest
 from pulsegrid.operators.ordered import union_all
 from pulsegrid.operators.scaling import Scaler, fit_scaler
-from pulsegrid.operators.seasonal import SeasonalModel, fit_seasonal
+from pulsegrid.operators.seasonal import SeasonalModel, fit_seasonal, seasonal_forecast, update_seasonal
 from pulsegrid.session import materialize
 from pulsegrid.sources import sinks
 
@@ -36,6 +37,16 @@ class Models:
     disk: PipelineModel | None = None
     disk_threshold: float = 0.8
     seasonal: SeasonalModel | None = None
+    seasonal_target: str | None = None
+
+
+class Cycle(NamedTuple):
+    """What a prediction cycle found; ``forecasts`` and the updated ``seasonal`` model are there if the models have one."""
+
+    points: DataFrame
+    alerts: DataFrame
+    forecasts: DataFrame | None
+    seasonal: SeasonalModel | None
 
 
 def save_models(spark: SparkSession, models: Models, path: str) -> None:
@@ -56,10 +67,15 @@ def save_models(spark: SparkSession, models: Models, path: str) -> None:
         models.disk.write().overwrite().save(f"{path}/disk")
         parts.append("disk")
     if models.seasonal is not None:
-        models.seasonal.table.write.mode("overwrite").parquet(f"{path}/seasonal")
         s = models.seasonal
-        row = [(list(s.keys), [list(map(float, p)) for p in s.seasons], s.multiplicative)]
-        columns = "keys array<string>, seasons array<array<double>>, multiplicative boolean"
+        s.table.write.mode("overwrite").parquet(f"{path}/seasonal")
+        s.sums.write.mode("overwrite").parquet(f"{path}/seasonal_sums")
+        seasons = [list(map(float, p)) for p in s.seasons]
+        row = [(list(s.keys), seasons, s.multiplicative, s.ridge, s.yearly_ridge, models.seasonal_target)]
+        columns = (
+            "keys array<string>, seasons array<array<double>>, multiplicative boolean, "
+            "ridge double, yearly_ridge double, target string"
+        )
         spark.createDataFrame(row, columns).write.mode("overwrite").parquet(f"{path}/seasonal_params")
         parts.append("seasonal")
     manifest = [(p, models.length, models.disk_threshold) for p in [*parts, "manifest"]]
@@ -88,10 +104,11 @@ def load_models(spark: SparkSession, path: str) -> Models:
     if "seasonal" in parts:
         p = spark.read.parquet(f"{path}/seasonal_params").first()
         seasons = tuple((s[0], int(s[1])) for s in p["seasons"])
-        table = spark.read.parquet(f"{path}/seasonal")
-        models = replace(
-            models, seasonal=SeasonalModel(table, tuple(p["keys"]), seasons, p["multiplicative"])
+        tables = [spark.read.parquet(f"{path}/{name}") for name in ("seasonal", "seasonal_sums")]
+        seasonal = SeasonalModel(
+            tables[0], tuple(p["keys"]), seasons, p["multiplicative"], tables[1], p["ridge"], p["yearly_ridge"]
         )
+        models = replace(models, seasonal=seasonal, seasonal_target=p["target"])
     return models
 
 
@@ -141,7 +158,7 @@ def run_training(
         models = replace(models, disk=fit_disk_model(smart, smart_label, smart_features))
     if seasonal_target is not None:
         series = frame.select("host", "ts", F.col(seasonal_target).alias("value"))
-        models = replace(models, seasonal=fit_seasonal(series, ["host"]))
+        models = replace(models, seasonal=fit_seasonal(series, ["host"]), seasonal_target=seasonal_target)
     results = evaluate(models, sequences.where("part = 'test'"), split.where("part = 'test'"))
     if save_to is not None:
         save_models(spark, models, save_to)
@@ -151,11 +168,14 @@ def run_training(
 
 def run_cycle(
     grid: DataFrame, models: Models, smart: DataFrame | None = None, rules: DataFrame | None = None,
-    smart_features: list[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """One prediction cycle for every host: prediction points and alerts.
-
-    Hosts with too few rows get no value for the parts that need more.
+    smart_features: list[str] | None = None, horizon: int = 1440, step_minutes: int = 1,
+    history: DataFrame | None = None,
+) -> Cycle:
+    """One prediction cycle for every host: prediction points, alerts and seasonal forecasts.
+
+    Hosts with too few rows get no value for the parts that need more.  The seasonal model takes up the
+    steps after its last ones from ``history`` (``grid`` if none is given) by adding their sums, then
+    forecasts ``horizon`` steps as ``host, ts, prediction, lower_bound, upper_bound``.
     """
     spark = grid.sparkSession
     out = grid.groupBy("host").agg(F.max("ts").alias("ts"))
@@ -183,4 +203,11 @@ def run_cycle(
         [out.select("host", "ts", F.lit(m).alias("metric"), F.col(c).alias("value")) for c, m in present]
     ).where(F.col("value").isNotNull())
     broken = L.evaluate_rules(values, rules if rules is not None else L.rules_table(spark))
-    return points, L.to_alerts(broken, ["host", "metric", "ts", "threshold"])
+    alerts = L.to_alerts(broken, ["host", "metric", "ts", "threshold"])
+    if models.seasonal is None or models.seasonal_target is None:
+        return Cycle(points, alerts, None, models.seasonal)
+    steps = (grid if history is None else history).select("host", "ts", F.col(models.seasonal_target).alias("value"))
+    seasonal = update_seasonal(models.seasonal, steps)
+    names = {"yhat": "prediction", "yhat_lower": "lower_bound", "yhat_upper": "upper_bound"}
+    ahead = seasonal_forecast(seasonal, horizon, step_minutes).withColumnsRenamed(names)
+    return Cycle(points, alerts, ahead.select("host", "ts", *names.values()), seasonal)

@@ -100,6 +100,12 @@ def predictions_to_points(pred: DataFrame) -> DataFrame:
     )
 
 
+def forecasts_to_points(forecasts: DataFrame, metric: str) -> DataFrame:
+    """Seasonal forecasts ``(host, ts, prediction, lower_bound, upper_bound)`` of one metric."""
+    names = ("prediction", "lower_bound", "upper_bound")
+    return _points(forecasts, "forecast", _tags(metric=F.lit(metric), model=F.lit("seasonal")), {n: F.col(n) for n in names})
+
+
 def results_to_points(results: DataFrame, now: Column) -> DataFrame:
     """Evaluation rows ``(model, metric, value)`` as fields ``model_metric``."""
     return results.select(

@@ -92,9 +92,14 @@ def test_training_storing_and_cycle(spark, grid):
     loaded = T.load_models(spark, path)
     assert loaded.disk is None and loaded.length == 24 and loaded.scaler == models.scaler
     rules = L.rules_table(spark, [(None, "cpu_usage", "gt", 0.0, "warning", 5)])
-    out, alerts = T.run_cycle(grid, loaded, rules=rules)
-    assert {r["measurement"] for r in out.collect()} == {"prediction", "anomaly"}
-    assert sorted(r["host"] for r in alerts.collect()) == ["a", "b"]
+    found = T.run_cycle(grid, loaded, rules=rules, horizon=48, step_minutes=60)
+    assert {r["measurement"] for r in found.points.collect()} == {"prediction", "anomaly"}
+    assert sorted(r["host"] for r in found.alerts.collect()) == ["a", "b"]
+    last = {r["host"]: r["ts"] for r in grid.groupBy("host").agg(F.max("ts").alias("ts")).collect()}
+    ahead = {(r["host"], r["ts"]): r for r in found.forecasts.collect()}
+    assert set(ahead) == {(h, t + timedelta(hours=i)) for h, t in last.items() for i in range(1, 49)}
+    assert all(r["lower_bound"] < r["prediction"] < r["upper_bound"] for r in ahead.values())
+    assert loaded.seasonal_target == "cpu" and found.seasonal.table.count() == 2
     assert T.load_models(spark, f"{path}-missing") == T.Models()
 
 
@@ -115,6 +120,69 @@ def test_cycle_on_a_stream_repeats_without_duplicates(spark, grid):
     assert {r["host"] for r in spark.read.parquet(paths[1]).collect()} == {"a", "b"}
 
 
+def _coefficients(model):
+    return {r["host"]: (r["n"], r["origin"], r["last_ts"], r["coef"], r["sigma"]) for r in model.table.collect()}
+
+
+def _close(a, b, tolerance=1e-7):
+    assert set(a) == set(b)
+    for host in a:
+        assert a[host][:3] == b[host][:3]
+        assert a[host][3] == pytest.approx(b[host][3], abs=tolerance) and a[host][4] == pytest.approx(b[host][4], abs=tolerance)
+
+
+def test_merged_days_fit_like_all_rows(spark, grid):
+    series = grid.select("host", "ts", F.col("cpu").alias("value"))
+    whole = E.fit_seasonal(series, ["host"])
+    # the plain least squares of all terms from a series' first row
+    rows = series.where("host = 'a'").orderBy("ts").collect()
+    days = np.array([(r["ts"] - rows[0]["ts"]) / timedelta(days=1) for r in rows])
+    x, y = E.term_values(days, whole.seasons), np.log1p(np.maximum([r["value"] for r in rows], 0))
+    penalty = np.full(x.shape[1], 1e-6)
+    penalty[-20:] = 1e-2
+    plain = np.linalg.solve(x.T @ x + len(x) * np.diag(penalty), x.T @ y)
+    assert _coefficients(whole)["a"][3] == pytest.approx(plain, abs=1e-7)
+    # cells of any length, and rows that come cycle by cycle, a series that starts late among them
+    _close(_coefficients(E.fit_seasonal(series, ["host"], cell_micros=7 * 3_600_000_000)), _coefficients(whole))
+    late = series.where(f"host = 'a' or ts >= TIMESTAMP_NTZ '{START + timedelta(days=3)}'")
+    model = E.fit_seasonal(late.where(f"ts < TIMESTAMP_NTZ '{START + timedelta(days=2, hours=5)}'"), ["host"])
+    assert set(_coefficients(model)) == {"a"}
+    for hours in (60, 77, 77, 150, 240):  # the second 77 brings nothing
+        model = E.update_seasonal(model, late.where(f"ts < TIMESTAMP_NTZ '{START + timedelta(hours=hours)}'"))
+    _close(_coefficients(model), _coefficients(E.fit_seasonal(late, ["host"])))
+
+
+def test_seasonal_update_of_nothing(spark, grid):
+    series = grid.select("host", "ts", F.col("cpu").alias("value"))
+    model = E.fit_seasonal(series, ["host"])
+    empty = series.limit(0).unionByName(series.limit(1).withColumns({"ts": F.expr("ts + INTERVAL 900 DAY"), "value": F.lit(None).cast("double")}))
+    _close(_coefficients(E.update_seasonal(model, empty)), _coefficients(model))
+    assert E.seasonal_forecast(E.fit_seasonal(series.limit(0), ["host"]), 3).count() == 0
+
+
+def test_streamed_cycles_keep_the_seasonal_model_up_to_date(spark, grid):
+    named = grid.withColumnsRenamed({"cpu": "cpu_u", "mem": "mem_p"})
+    early = named.where(f"ts < TIMESTAMP_NTZ '{START + timedelta(days=4)}'")
+    models, _, _ = T.run_training(early, ["cpu_u", "mem_p"], 24, seasonal_target="cpu_u")
+    long = grid.unpivot(["host", "ts"], ["cpu", "mem"], "measurement", "value")
+    points = long.withColumn("field", F.when(F.col("measurement") == "cpu", "u").otherwise("p"))
+    paths = [shared_dir(spark, f"seasonal-cycle-{n}") for n in ("points", "results", "alerts", "forecasts")]
+    body = cycle_writer(models, ["cpu_u", "mem_p"], *paths[:3], history="40 hours", step="1 hour", forecasts_path=paths[3], horizon=5, step_minutes=60)
+    cuts = [0, 100, 130, 131, 241]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        batch = points.where(f"ts >= TIMESTAMP_NTZ '{START + timedelta(hours=a)}' and ts < TIMESTAMP_NTZ '{START + timedelta(hours=b)}'")
+        body(batch, i)
+        if i == 1:
+            body(batch, i)  # repeated after a failure
+    known = grid.where(f"ts < TIMESTAMP_NTZ '{START + timedelta(hours=239)}'").select("host", "ts", F.col("cpu").alias("value"))
+    sums = spark.read.parquet(f"{paths[3]}-sums").where("batch = 3").drop("batch")
+    want = E.fit_seasonal(known, ["host"])
+    _close(_coefficients(E.solve_seasonal(sums, ["host"], want.seasons, True)), _coefficients(want))
+    ahead = spark.read.parquet(paths[3]).where("batch = 3")
+    assert ahead.groupBy("host").count().collect()[0]["count"] == 5
+    assert ahead.agg(F.min("ts")).first()[0] == START + timedelta(hours=239)
+
+
 def test_disk_outlook_defaults_for_silent_devices(spark):
     devices = spark.createDataFrame([(1,), (2,)], "device long")
     smart = spark.createDataFrame([(1, START, 3.0)], "device long, ts timestamp_ntz, t double")
