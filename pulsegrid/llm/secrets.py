@@ -11,6 +11,7 @@ documentation keys only the part that says so, and what stands around it is sear
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,9 @@ CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 CLASSES = [(r"^[0-9a-f]+$", 2.75), (r"^[0-9A-F]+$", 2.75), (r"^[A-Z0-9]+$", 3.2), (r"^[a-z0-9]+$", 3.3), (r"^.*$", 3.4)]
 # Never secrets: words, numbers, rules, one repeated character, paths and dashed words.
 ALLOWED = [
-    r"^[A-Za-z]+$", r"^[0-9]+$", r"^[+/_=-]+$", r"^(.)\1+$", r"^[/_-]?[A-Za-z]*([/_=-][A-Za-z]*)+$",
-    r"^[/_-]?([A-Za-z]+|[0-9]+)([/_=-]([A-Za-z]+|[0-9]+))*[/_=-]?$",
+    r"^[A-Za-z]+$", r"^[0-9]+$", r"^[+/_=-]+$", r"^(.)\1+$",
+    # possessive, as the engine keeps a frame for each turn of a group it may come back to
+    r"^[/_-]?[A-Za-z]*(?:[/_=-][A-Za-z]*)++$", r"^[/_-]?(?:[A-Za-z]++|[0-9]++)(?:[/_=-](?:[A-Za-z]++|[0-9]++))*+[/_=-]?$",
 ]
 # Neither are documentation keys: each run of letters and digits with this word in it, and keys of several such runs as a whole.
 DOCUMENTATION, DOCUMENTATION_KEYS = "example", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
@@ -37,6 +39,20 @@ DOCUMENTATION, DOCUMENTATION_KEYS = "example", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYE
 _DOCUMENTATION_CHAR = rf"(?i)(?:(?<![A-Za-z0-9])(?=[A-Za-z0-9]*{DOCUMENTATION})|\G(?!^))[A-Za-z0-9]"
 # Printable ASCII from '!': the positions of the count array.
 _SYMBOLS = 94
+# Folds copy their result at every step, so long lists are folded in blocks of so many entries, long candidates in pieces
+# of so many characters.
+BLOCK, PIECE = 256, 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(listed: Column) -> Column:
+    """An array, not empty, cut into arrays of ``BLOCK`` entries."""
+    last = F.floor((F.size(listed) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(listed, k * BLOCK + 1, F.lit(BLOCK)))
 
 
 def _spans(text: Column, pattern: str, keep, number: int) -> Column:
@@ -58,8 +74,26 @@ def _spans(text: Column, pattern: str, keep, number: int) -> Column:
         found = F.when(keep(x["m"], x["v"]), F.concat(state["found"], F.array(span))).otherwise(state["found"])
         return F.struct(end.alias("at"), found.alias("found"))
 
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
-    return F.when(text.rlike(pattern), folded).otherwise(empty)
+    def block_spans(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("found")), step, lambda s: s["found"])
+
+    def length(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, x: n + x["g"] + F.length(x["m"]))
+
+    def whole_list(blocks: Column) -> Column:
+        return F.flatten(F.zip_with(blocks, _before(F.transform(blocks, length)), block_spans))
+
+    return F.when(text.rlike(pattern), _let(_blocks(steps), whole_list)).otherwise(empty)
+
+
+def _before(lengths: Column) -> Column:
+    """For each entry the sum of those before it."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("listed"))
+
+    def step(state: Column, n: Column) -> Column:
+        return F.struct((state["at"] + n).alias("at"), F.concat(state["listed"], F.array(state["at"])).alias("listed"))
+
+    return F.aggregate(lengths, start, step, lambda s: s["listed"])
 
 
 def _allowed(candidate: Column, allowed: list[str]) -> Column:
@@ -78,10 +112,37 @@ def _without_documentation(text: Column) -> Column:
 
 
 def _entropy_spans(candidate: Column) -> Column:
-    """Merged windows of high entropy in one candidate as (start, end), by running counts."""
+    """Merged windows of high entropy in one candidate as (start, end)."""
     level = F.lit(None).cast("double")
     for pattern, least in reversed(CLASSES):
         level = F.when(candidate.rlike(pattern), F.lit(least)).otherwise(level)
+
+    def found(level: Column) -> Column:
+        last = F.floor((F.length(candidate) - 1) / PIECE).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), last), lambda k: piece(k * PIECE, F.least(k * PIECE, F.lit(WINDOW - 1)), level))
+        return _let(F.flatten(pieces), _merged)
+
+    def piece(at: Column, back: Column, level: Column) -> Column:
+        # a piece starts so far back that it has the windows that end in it
+        spans = _piece_spans(F.substring(candidate, at - back + 1, back + PIECE), level)
+        return F.transform(spans, lambda s: F.struct((s["start"] + at - back).alias("start"), (s["end"] + at - back).alias("end")))
+
+    return _let(level, found)
+
+
+def _merged(spans: Column) -> Column:
+    """Spans by start and end, those that overlap or touch joined."""
+
+    def apart(k: Column) -> Column:
+        return F.get(spans, k)["start"] > F.get(spans, k - 1)["end"]
+
+    first = F.filter(spans, lambda s, k: (k == 0) | apart(k))
+    last = F.filter(spans, lambda s, k: (k == F.size(spans) - 1) | apart(k + 1))
+    return F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+
+
+def _piece_spans(candidate: Column, level: Column) -> Column:
+    """Merged windows of high entropy in a string as (start, end), by running counts."""
     codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - 33)
     codes = F.filter(codes, lambda c: c >= 0)
     left = F.slice(F.concat(F.array_repeat(F.lit(-1), WINDOW), codes), F.lit(1), F.size(codes))
@@ -174,14 +235,25 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret
     """``docs`` with every span replaced by ``mask`` (overlapping spans by one); same columns.  Null texts stay null."""
     text = F.col("text")
 
-    def step(state: Column, s: Column) -> Column:
-        out = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))
-        fresh = F.struct(out.alias("out"), s["end"].alias("at"))
-        longer = F.struct(state["out"].alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-        return F.when((s["start"] >= state["at"]) & ~((s["start"] == 0) & (state["at"] > 0)), fresh).otherwise(longer)
+    def cut(state: Column, block: Column) -> Column:
+        """The text from where ``state`` stands to the end of a block of spans, masked."""
+        low, high = state["at"], F.greatest(state["at"], F.array_max(F.transform(block, lambda s: s["end"])))
+
+        def masked_part(part: Column) -> Column:
+            def step(inner: Column, s: Column) -> Column:
+                between = F.substring(part, inner["at"] - low + 1, s["start"] - inner["at"])
+                fresh = F.struct(F.concat(inner["out"], between, F.lit(mask)).alias("out"), s["end"].alias("at"))
+                longer = F.struct(inner["out"].alias("out"), F.greatest(inner["at"], s["end"]).alias("at"))
+                return F.when(s["start"] >= inner["at"], fresh).otherwise(longer)
+
+            begin = F.struct(F.lit("").alias("out"), low.alias("at"))
+            return F.aggregate(block, begin, step, lambda s: F.struct(F.concat(state["out"], s["out"]).alias("out"), s["at"].alias("at")))
+
+        # a whole part holds few spans, so that no step reads more than the part
+        return _let(F.substring(text, low + 1, high - low), masked_part)
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    masked = F.aggregate("_secrets", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, 2**31 - 1)))
+    masked = F.aggregate(_blocks(F.col("_secrets")), start, cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2**31 - 1))))
     others = [c for c in docs.columns if c != text_col]
     rest = (F.struct(*others) if others else F.lit(None)).alias("rest")
     found = find_secrets(docs.select(F.col(text_col).alias("text"), rest))
