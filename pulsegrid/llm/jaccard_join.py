@@ -222,11 +222,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) -
 def jaccard_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, threshold: Fraction = Fraction(9, 10)
 ) -> DataFrame:
-    """Per row of ``docs``: id, ``n_shingles``, ``component_id`` and ``links``.
+    """Per row of ``docs``: id, ``n_shingles``, ``component_id``, ``links``, ``text_hash`` and ``group_key``.
 
     Links join texts whose k-word shingle sets have Jaccard similarity of at least
     ``threshold``; ``component_id`` is the smallest id that links reach.  ``links`` is
-    the number of other classes of equal sets this row's class was linked to.
+    the number of other classes of equal sets this row's class was linked to.  ``text_hash`` is the
+    xxhash64 of the text; rows of one component, with or without ids, share a ``group_key`` (null for an empty set).
 
     Null and empty texts, and texts of separators only, have an empty set, link with
     nothing and are their own component.  Repeated rows are kept; equal texts link.
@@ -270,10 +271,11 @@ def jaccard_groups(
     smallest = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_class = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").join(smallest, "component", "left")
     of_class = of_class.join(ends, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")
+        "fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"),
+        F.coalesce("component", "fp").alias("group_key"),
     )
-    rows = sketched.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp"))
+    rows = sketched.select("id", "n_shingles", "text_hash", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp"))
     return rows.join(of_class, "fp", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"), "text_hash", "group_key",
     )

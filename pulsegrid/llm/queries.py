@@ -30,7 +30,7 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op10_ngram_jaccard_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity groups of all documents at a Jaccard similarity of 0.9 of 3-word shingles."""
-    return jaccard_groups(table(spark, sf_dir, "documents"), k=3, threshold=Fraction(9, 10))
+    return jaccard_groups(table(spark, sf_dir, "documents"), k=3, threshold=Fraction(9, 10)).drop("text_hash", "group_key")
 
 
 @query("op8_bpe_forced_boundaries")

@@ -358,4 +358,13 @@ def test_near_duplicate_stage_keeps_the_first_of_repeated_ids(spark, small):
     shape = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, "a b c d e f", "en", "s2", 1), (1, "a b c d e f", "en", "s1", 1), (2, "a b c d e f", "en", "s1", 1), (None, "a b c d e f", None, None, None)]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, shape), SF).collect()
-    assert sorted((r["doc_id"] or 0, r["source"]) for r in got) == [(0, None), (1, "s1")]
+    assert [(r["doc_id"], r["source"]) for r in got] == [(1, "s1")]
+
+
+def test_near_duplicate_stage_where_an_id_repeats_with_other_texts_or_is_null(spark):
+    shape = "doc_id long, text string"
+    one, two, three = ("a b c d e f", "k l m n o p", "u v w x y z")
+    rows = [(3, one), (5, two), (5, one), (None, two), (None, three), (None, three), (None, None), (None, ""), (7, " "), (7, " "), (7, None), (8, None)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, shape), SF).collect()
+    want = [(3, one), (5, two), (None, three), (None, None), (None, ""), (7, " "), (7, None), (8, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
