@@ -25,18 +25,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of similar texts (five-word shingles, Jaccard 0.8); same columns.
+    """One row of each group of similar texts (five-word shingles, Jaccard 0.8); same columns.
 
-    Rows that repeat an id and its text leave one, the first by its plain columns; rows with a null id stay.
+    It is that of the smallest id, rows without an id after all others; an id may repeat with different texts,
+    of which the one with the smaller hash counts first, and rows that repeat id and text leave the first by
+    their plain columns.  Texts without words are like nothing: they stay, each once an id.
     """
     groups = jaccard_groups(docs, k=5, threshold=Fraction(8, 10))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    first = groups.where("n_shingles > 0").groupBy("group_key").agg(F.min(rank).alias("first")).select("first.id", "first.hash")
+    wordless = groups.where("n_shingles = 0 and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    chosen = first.unionByName(wordless.distinct())
     # the row travels as one value, so that no column of it can clash with those added here
     rows = docs.select("doc_id", F.xxhash64("text").alias("same_text"), F.struct(*docs.columns).alias("row"))
     plain = [F.col(f"row.`{c}`") for c, t in docs.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
     order = Window.partitionBy("doc_id", "same_text").orderBy(*plain)
-    kept = rows.join(first, "doc_id", "left_semi").withColumn("at", F.row_number().over(order)).where("at = 1")
-    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
+    mine = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("same_text") == F.col("hash"))
+    kept = rows.join(chosen, mine, "left_semi").withColumn("at", F.row_number().over(order)).where("at = 1")
+    nameless = docs.where("doc_id is null").where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select("row.*").unionByName(nameless)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
