@@ -5,13 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.functions.expressions import epoch_micros
 from pulsegrid.operators import ordered
+from pulsegrid.operators.transfer import Bucket, Map, chunk_map
+from pulsegrid.session import materialize
 
 CAPACITY = 20
 RATE = 2.0
@@ -21,7 +25,7 @@ IDLE_MS = 300_000
 def check(
     at: float, tokens: float | None, last: float, capacity: float, rate: float
 ) -> tuple[bool, int, float, float]:
-    """One request: allowed, seconds to wait, tokens and time after it.
+    """The rule for one request: allowed, seconds to wait, tokens and time after it.
 
     A client's first request finds a full bucket.  A refused one changes nothing.
     """
@@ -31,50 +35,140 @@ def check(
     return False, int((1 - level) / rate) + 1, tokens, last
 
 
+# Requests of a chunk, which one task reads in order.
+CHUNK_ROWS = 4096
+
+_MAP_FIELDS = ["first_at", "last_at", "start", "level", "moves"]
+_MAPS = "first_at long, last_at long, start array<long>, level array<long>, moves array<boolean>"
+
+
+def _as_map(bucket: Bucket, part: dict) -> Map:
+    return Map(bucket, np.array(part["start"], np.int64), np.array(part["level"], np.int64), np.array(part["moves"], bool))
+
+
+def _batch(batch: pa.RecordBatch, keep: list[str], rows: list[int], more: dict[str, list]) -> pa.RecordBatch:
+    """Some rows of ``keep`` with further columns."""
+    kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in keep]
+    kinds = {"start": pa.list_(pa.int64()), "level": pa.list_(pa.int64()), "moves": pa.list_(pa.bool_())}
+    added = [pa.array(values, kinds.get(name, pa.int64())) for name, values in more.items()]
+    return pa.RecordBatch.from_arrays([*kept, *added], names=[*keep, *more])
+
+
+def _maps(found: list[tuple[int, int, Map]]) -> dict[str, list]:
+    columns = [(first, last, m.start.tolist(), m.level.tolist(), m.moves.tolist()) for first, last, m in found]
+    return dict(zip(_MAP_FIELDS, map(list, zip(*columns)))) if columns else {name: [] for name in _MAP_FIELDS}
+
+
+def chunk_starts(times: DataFrame, client: str, bucket: Bucket) -> DataFrame:
+    """(client, _cell, _since, _level): the level each chunk of ``(client, _cell, _at)`` starts from, and when it was that.
+
+    Chunks are mapped; the maps of an hour with several are composed; those of a client's hours are read in
+    order, then those within each such hour.
+    """
+    kind = f"`{client}` {dict(times.dtypes)[client]}"
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for listed in batch.column("times"):
+                at = listed.values.to_numpy()
+                found.append((int(at[0]), int(at[-1]), chunk_map(bucket, at)))
+            yield _batch(batch, [client, "_cell", "_hour"], list(range(len(found))), _maps(found))
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for parts in batch.column("parts").to_pylist():
+                whole, last = None, None
+                for part in parts:
+                    one = _as_map(bucket, part)
+                    whole = one if whole is None else whole.refilled(bucket.gained(part["first_at"] - last)).then(one)
+                    last = part["last_at"]
+                found.append((parts[0]["first_at"], last, whole))
+            yield _batch(batch, [client, "_hour"], list(range(len(found))), _maps(found))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], {"_place": [], "_since": [], "_level": []}
+            since, levels = batch.column("_since").to_pylist(), batch.column("_level").to_pylist()
+            for i, parts in enumerate(batch.column("parts").to_pylist()):
+                before, level = since[i], bucket.capacity if levels[i] is None else levels[i]
+                for part in parts:
+                    if before is not None:
+                        level = min(bucket.capacity, level + bucket.gained(part["first_at"] - before))
+                    rows.append(i)
+                    for name, value in zip(out, (part["place"], part["first_at"], level)):
+                        out[name].append(value)
+                    level, before = _as_map(bucket, part)(level), part["last_at"]
+            yield _batch(batch, [client], rows, out)
+
+    def listed(maps: DataFrame, by: list[str], place: str) -> DataFrame:
+        parts = F.sort_array(F.collect_list(F.struct(*_MAP_FIELDS, F.col(place).alias("place"))))
+        return maps.groupBy(*by).agg(parts.alias("parts"))
+
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("_since", "_level")]
+    placed = f"{kind}, _place long, _since long, _level long"
+    chunks = times.groupBy(client, "_cell").agg(F.sort_array(F.collect_list("_at")).alias("times"))
+    chunks = chunks.withColumn("_hour", ordered.hour_of_cell()).mapInArrow(mapped, f"{kind}, _cell long, _hour long, {_MAPS}")
+    chunks = materialize(chunks, "quota-maps")
+    hours = listed(chunks, [client, "_hour"], "_cell")
+    several = hours.where(F.size("parts") > 1)
+    single = hours.where(F.size("parts") == 1)
+    alone = single.select(client, "_hour", F.col("parts")[0].alias("p")).select(client, "_hour", *[f"p.{c}" for c in _MAP_FIELDS])
+    whole = alone.unionByName(several.mapInArrow(composed, f"{kind}, _hour long, {_MAPS}"))
+    of_hours = listed(whole, [client], "_hour").select(client, "parts", *nothing).mapInArrow(read, placed)
+    of_hours = materialize(of_hours.withColumnRenamed("_place", "_hour"), "quota-hours")
+    inside = ordered.join_nullsafe(several, of_hours, [client, "_hour"]).select(client, "parts", "_since", "_level")
+    of_chunks = inside.mapInArrow(read, placed).withColumnRenamed("_place", "_cell")
+    cells = single.select(client, "_hour", F.col("parts")[0]["place"].alias("_cell"))
+    return ordered.join_nullsafe(cells, of_hours, [client, "_hour"]).drop("_hour").unionByName(of_chunks)
+
+
 def token_bucket(
-    requests: DataFrame, client: str, order: list[str], capacity: int = CAPACITY, rate: float = RATE
+    requests: DataFrame, client: str, order: list[str], capacity: int = CAPACITY, rate: float = RATE,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add ``allowed`` and ``retry_after`` (seconds) to every request.
 
-    A bucket is full again after ``capacity / rate`` idle seconds, so a client's
-    log falls into independent stretches at such pauses; these are spread over the
-    tasks.  Within a stretch each decision depends on the one before, so it is
-    read as a sorted stream that keeps two numbers, not as a collected group.
+    A client's first request finds a full bucket; a refused one changes nothing.  Decisions depend on all
+    before them, but what a chunk of requests does to the bucket is a map from levels to levels
+    (``operators.transfer``).  Chunks of about ``chunk_rows`` requests, by counts per client and second, are
+    mapped in parallel, the maps give the level every chunk starts from, and all chunks decide in parallel.  So
+    a client that never pauses is spread like any other: no task holds more than a chunk, the maps of one
+    hour, or one map an hour.
+
+    Levels are exact.  Requests without a time get null in both columns.
     """
-    ts, pause = order[0], capacity / rate * 1e6
-    celled = ordered.with_cells(requests, [client], ts).withColumn("_at", epoch_micros(F.col(ts)))
-    cell = Window.partitionBy(*ordered.CELL)
-    begins = F.when(F.col("_at") - F.lag("_at").over(cell.orderBy("_at")) >= pause, F.col("_at"))
-
-    # A stretch is named by its first time: within a cell, or carried from the cells before.
-    times = celled.select(*ordered.CELL, "_at").withColumn("_begins", begins)
-    cells = times.groupBy(*ordered.CELL).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.max("_begins").alias("_begins"))
-    series = Window.partitionBy("_key").orderBy("_cell")
-    fresh = F.coalesce(F.col("_first") - F.lag("_last").over(series) >= pause, F.lit(True))
-    cells = cells.withColumn("_opens", F.when(fresh, F.col("_first"))).withColumn("_newest", F.coalesce("_begins", "_opens"))
-    carried = F.last("_newest", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select(*ordered.CELL, F.coalesce("_opens", carried).alias("_carried"))
-
-    local = F.max("_begins").over(cell.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0))
-    rows = celled.withColumn("_begins", begins).withColumn("_here", local).join(cells, ordered.CELL)
-    rows = rows.select(*requests.columns, F.coalesce("_here", "_carried").alias("_stretch"), "_at")
-    placed = rows.repartition(client, "_stretch").sortWithinPartitions(client, "_stretch", *order)
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tokens, last = None, None, 0.0
-        for pdf in batches:
-            allowed, wait = [], []
-            for who, stretch, micros in zip(pdf[client], pdf["_stretch"], pdf["_at"]):
-                if (who, stretch) != current:
-                    current, tokens = (who, stretch), None
-                ok, seconds, tokens, last = check(micros / 1e6, tokens, last, capacity, rate)
-                allowed.append(ok)
-                wait.append(seconds)
-            out = pdf.drop(columns=["_stretch", "_at"])
-            yield out.assign(allowed=allowed, retry_after=wait)
+    ts, bucket, names = order[0], Bucket.of(capacity, rate), requests.columns
+    timed = requests.where(F.col(ts).isNotNull())
+    celled = ordered.with_counted_cells(timed, [client], ts, chunk_rows).withColumn("_at", epoch_micros(F.col(ts)))
+    starts = materialize(chunk_starts(celled.select(client, "_cell", "_at"), client, bucket), "quota-starts")
+    # a chunk's start stands before its rows, so that one sorted pass meets it first
+    zero = F.lit(0).cast("long")
+    rows = celled.drop("_key").withColumns({"_since": zero, "_level": zero, "_row": F.lit(True)})
+    marks = starts.withColumns({"_at": zero, "_row": F.lit(False)})
+    both = rows.unionByName(marks, allowMissingColumns=True).repartition(client, "_cell")
+    placed = both.sortWithinPartitions(client, "_cell", "_row", *order).drop("_cell")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, since = bucket.capacity, 0
+        for batch in batches:
+            is_row = batch.column("_row")
+            allowed, wait = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int32)
+            for i, (row, at, start, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_row", "_at", "_level", "_since")))):
+                if row:
+                    allowed[i], wait[i], level = bucket.decide(min(bucket.capacity, level + bucket.gained(at - since)))
+                    since = at
+                else:
+                    level, since = start, before
+            columns = [*(batch.column(c) for c in names), pa.array(allowed), pa.array(wait)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "allowed", "retry_after"]).filter(is_row)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes)
-    return placed.mapInPandas(decide, f"{fields}, allowed boolean, retry_after int")
+    decided = placed.mapInArrow(decide, f"{fields}, allowed boolean, retry_after int")
+    untimed = requests.where(F.col(ts).isNull())
+    nothing = {"allowed": F.lit(None).cast("boolean"), "retry_after": F.lit(None).cast("int")}
+    return decided.unionByName(untimed.withColumns(nothing))
 
 
 def stream_token_bucket(
@@ -85,19 +179,22 @@ def stream_token_bucket(
     Idleness is measured in event time against the watermark.
     """
     kind = dict(requests.dtypes)[client]
+    bucket = Bucket.of(capacity, rate)
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        tokens, last = state.get if state.exists else (None, 0.0)
+        level, last = state.get if state.exists else (bucket.capacity, 0)
         times = sorted(int(t) for pdf in batches for t in pdf["at"])
         rows = []
         for micros in times:
             # a request that comes late brings no refill and takes none back
-            ok, seconds, tokens, last = check(max(micros / 1e6, last), tokens, last, capacity, rate)
+            at = max(micros, last)
+            ok, seconds, level = bucket.decide(min(bucket.capacity, level + bucket.gained(at - last)))
+            last = at
             rows.append((key[0], micros, ok, seconds))
-        state.update((tokens, last))
+        state.update((level, last))
         idle = max(IDLE_MS, math.ceil(capacity / rate * 1000))  # until the bucket is full again
         state.setTimeoutTimestamp(max(times[-1] // 1000 + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[client, "at", "allowed", "retry_after"])
@@ -106,7 +203,7 @@ def stream_token_bucket(
     decided = log.groupBy(client).applyInPandasWithState(
         decide,
         f"`{client}` {kind}, at bigint, allowed boolean, retry_after int",
-        "tokens double, last double",
+        "level long, last long",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

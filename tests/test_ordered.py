@@ -15,6 +15,7 @@ from pulsegrid.operators import alerts as L
 from pulsegrid.operators import ordered
 from pulsegrid.operators import reshape as R
 from pulsegrid.operators import windows as W
+from pulsegrid.operators.transfer import Bucket, chunk_map
 from pulsegrid.streaming.quota import check, token_bucket
 
 START = datetime(2024, 1, 1)
@@ -161,6 +162,75 @@ def test_token_bucket_over_stretches(spark, crowded, frame):
             assert out[i] == ok
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_transfer_maps_equal_the_rule_for_every_start(seed):
+    rng = random.Random(seed)
+    bucket = Bucket.of(rng.choice((1, 2, 3, 20)), rng.choice((1 / 2000, 0.3, 2.0, 7.5)))
+    pause = bucket.token // bucket.refill
+    times = np.cumsum([rng.choice((0, 1, pause // 3, pause, pause + 1, rng.randint(0, 3 * pause))) for _ in range(rng.randint(1, 80))])
+    if seed % 3 == 0:
+        times = np.cumsum([rng.randint(0, pause) for _ in range(200)])
+    starts = [0, 1, bucket.token - 1, bucket.token, bucket.capacity - 1, bucket.capacity] + [rng.randint(0, bucket.capacity) for _ in range(60)]
+
+    def end(level, part):
+        for i, at in enumerate(part):
+            level = bucket.decide(min(bucket.capacity, level + (bucket.gained(at - part[i - 1]) if i else 0)))[2]
+        return level
+
+    whole, cut = chunk_map(bucket, times), rng.randint(0, len(times))
+    assert [whole(x) for x in starts] == [end(x, times.tolist()) for x in starts]
+    if 0 < cut < len(times):
+        parts = chunk_map(bucket, times[:cut]).refilled(bucket.gained(int(times[cut] - times[cut - 1]))).then(chunk_map(bucket, times[cut:]))
+        assert [parts(x) for x in starts] == [whole(x) for x in starts]
+        assert np.array_equal(parts.start, whole.start) and np.array_equal(parts.level, whole.level)
+
+
+def test_pieces_of_a_busy_client_stay_few():
+    rng = random.Random(1)
+    bucket = Bucket.of(20, 2.0)
+    for most in (300_000, 600_000, 900_000, 1_000_000, 1_100_000):  # from three times the rate to just below it
+        found = chunk_map(bucket, np.cumsum([rng.randint(0, most) for _ in range(4096)]))
+        assert len(found.start) <= 4096, (most, len(found.start))
+    assert len(chunk_map(bucket, np.cumsum([rng.randint(0, 300_000) for _ in range(4096)])).start) <= 60
+
+
+def test_a_client_that_never_pauses_is_spread(spark):
+    rng = random.Random(2)
+    rows, at = [], START
+    for i in range(9000):
+        at += timedelta(milliseconds=rng.randint(0, 700))
+        rows.append((1, "busy", at))
+    rows += [(1, f"c{i % 50}", START + timedelta(seconds=rng.randint(0, 7200))) for i in range(1000)]
+    rows = [(i, c, t) for i, (_, c, t) in enumerate(rows)] + [(10_000, "busy", None)]
+    log = spark.createDataFrame(rows, "id long, client string, ts timestamp_ntz").repartition(6)
+    cells = ordered.with_counted_cells(log, ["client"], "ts", 500).groupBy("_key", "_cell").count().collect()
+    assert max(r["count"] for r in cells) <= 500 + 20 and sum(r["count"] for r in cells) == len(rows)
+    for chunk in (500, 100_000):
+        out = {r["id"]: (r["allowed"], r["retry_after"]) for r in token_bucket(log, "client", ["ts", "id"], 20, 2.0, chunk).collect()}
+        assert out.pop(10_000) == (None, None) and len(out) == 10_000
+        bucket = Bucket.of(20, 2.0)
+        for client in {c for _, c, _ in rows}:
+            level, since = bucket.capacity, None
+            for i, t in sorted(((i, t) for i, c, t in rows if c == client and t), key=lambda x: (x[1], x[0])):
+                now = (t - START) // timedelta(microseconds=1)
+                level = min(bucket.capacity, level + (0 if since is None else bucket.gained(now - since)))
+                ok, wait, level = bucket.decide(level)
+                since = now
+                assert out[i] == (ok, wait)
+
+
+@pytest.mark.parametrize("rows", [7, 40, 10_000])
+def test_counted_cells_serve_the_cell_operators(crowded, frame, rows):
+    celled = ordered.with_counted_cells(crowded, ["k"], "ts", rows)
+    fullest = celled.groupBy("_key", "_cell").count().agg(F.max("count")).first()[0]
+    assert fullest < rows + 12 or rows == 10_000  # at most a dozen rows share a second here
+    want = {i: n for _, part in groups(frame) for n, i in enumerate(part["id"])}
+    assert by_id(ordered.series_index(celled, ["k"], ["ts", "id"]), "rn") == want
+    got = by_id(ordered.running_total(celled, ["k"], ["ts", "id"], "value", "total"), "total")
+    for _, part in groups(frame):
+        assert [got[i] for i in part["id"]] == pytest.approx(part["value"].cumsum().tolist())
+
+
 def test_sustained_and_gaps(spark):
     at = [0, 60, 120, 480, 540, 600, 900]
     values = [95, 96, 10, 95, 95, 97, 99]
