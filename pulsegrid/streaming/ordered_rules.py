@@ -1,4 +1,4 @@
-"""Rules that read a series in time order, on a stream: sustained conditions, downtime, cooldown.
+"""Rules that read a series in time order, on a stream: sustained conditions, downtime, cooldown; the quota uses them too.
 
 Points of a series are held in state until the watermark has passed their time, so late
 ones still find their place; then they are read in order of time.  State is the points
@@ -141,7 +141,8 @@ def in_time_order(points: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
     )
 
 
-def _held(points: DataFrame, keys: list[str], late: str, tie: Column, value: Column, body: Column) -> DataFrame:
+def held_points(points: DataFrame, keys: list[str], late: str, tie: Column, value: Column, body: Column) -> DataFrame:
+    """Points as ``in_time_order`` reads them."""
     marked = points.withWatermark("ts", late)
     text = F.coalesce(tie.cast("string"), F.lit(""))
     return marked.select(
@@ -157,14 +158,14 @@ def stream_sustained(
     Yields ``(keys, run_start, raised_at, points, max_value)``, the last two up to that moment.
     """
     hit = F.when(F.coalesce(condition, F.lit(False)), "hit").otherwise("")
-    held = _held(points, keys, late, F.col(tie), F.col("value"), hit)
+    held = held_points(points, keys, late, F.col(tie), F.col("value"), hit)
     runs = in_time_order(held, keys, Sustained(_micros(for_at_least)))
     return runs.withColumns({c: F.timestamp_micros(c) for c in ("run_start", "raised_at")})
 
 
 def stream_downtime(points: DataFrame, keys: list[str], longer_than: str, late: str = "10 minutes") -> DataFrame:
     """``(keys, last_seen, down_at)`` of series that fall silent for longer than a duration, as soon as that is known."""
-    held = _held(points, keys, late, F.lit(""), F.lit(0.0), F.lit(""))
+    held = held_points(points, keys, late, F.lit(""), F.lit(0.0), F.lit(""))
     silences = in_time_order(held, keys, Downtime(_micros(longer_than)))
     return silences.withColumns({c: F.timestamp_micros(c) for c in ("last_seen", "down_at")})
 
@@ -178,7 +179,7 @@ def stream_cooldown(
     """
     rest = [c for c in alerts.columns if c not in [*keys, "ts"]]
     body = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})
-    held = _held(alerts, keys, late, F.col(tie), F.lit(0.0), body)
+    held = held_points(alerts, keys, late, F.col(tie), F.lit(0.0), body)
     kept = in_time_order(held, keys, Cooldown(_micros(interval)))
     shape = alerts.select(*rest).schema
     rows = kept.select(*keys, F.timestamp_micros("at").alias("ts"), F.from_json("body", shape).alias("_row"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.functions.expressions import epoch_micros
 from pulsegrid.operators import ordered
 from pulsegrid.operators.transfer import Bucket, Map, chunk_map
 from pulsegrid.session import materialize
+from pulsegrid.streaming.ordered_rules import held_points, in_time_order
 
 CAPACITY = 20
 RATE = 2.0
@@ -171,40 +170,36 @@ def token_bucket(
     return decided.unionByName(untimed.withColumns(nothing))
 
 
+class Quota:
+    """Every request is answered, in order of time, from the bucket its client has left."""
+
+    state = "level bigint, since bigint"
+    out = "at bigint, allowed boolean, retry_after int"
+
+    def __init__(self, bucket: Bucket):
+        self.bucket = bucket
+
+    def point(self, known, at, tie, value, body):
+        level, since = known or (self.bucket.capacity, at)
+        ok, wait, level = self.bucket.decide(min(self.bucket.capacity, level + self.bucket.gained(at - since)))
+        return (level, at), [(at, ok, wait)]
+
+    def rest(self, known, passed_ms, pending):
+        if known is None or pending:
+            return known, [], None
+        # forgotten once the client has been idle for long and its bucket is full again
+        gone = known[1] // 1000 + max(IDLE_MS, -(-self.bucket.full_after // 1000))
+        return (None, [], None) if gone < passed_ms else (known, [], gone)
+
+
 def stream_token_bucket(
     requests: DataFrame, client: str, capacity: int = CAPACITY, rate: float = RATE, late: str = "10 minutes"
 ) -> DataFrame:
-    """The same rule on a stream ``(client, ts)``; state of clients idle for five minutes is dropped.
+    """The same rule on a stream: ``(client, ts, allowed, retry_after)``.
 
-    Idleness is measured in event time against the watermark.
+    Requests are answered once the watermark has passed them, so late ones take their place and neither
+    the batches nor the order of arrival within the lateness change an answer.
     """
-    kind = dict(requests.dtypes)[client]
-    bucket = Bucket.of(capacity, rate)
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        level, last = state.get if state.exists else (bucket.capacity, 0)
-        times = sorted(int(t) for pdf in batches for t in pdf["at"])
-        rows = []
-        for micros in times:
-            # a request that comes late brings no refill and takes none back
-            at = max(micros, last)
-            ok, seconds, level = bucket.decide(min(bucket.capacity, level + bucket.gained(at - last)))
-            last = at
-            rows.append((key[0], micros, ok, seconds))
-        state.update((level, last))
-        idle = max(IDLE_MS, math.ceil(capacity / rate * 1000))  # until the bucket is full again
-        state.setTimeoutTimestamp(max(times[-1] // 1000 + idle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=[client, "at", "allowed", "retry_after"])
-
-    log = requests.withWatermark("ts", late).select(client, "ts", epoch_micros(F.col("ts")).alias("at"))
-    decided = log.groupBy(client).applyInPandasWithState(
-        decide,
-        f"`{client}` {kind}, at bigint, allowed boolean, retry_after int",
-        "level long, last long",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    return decided.select(client, F.timestamp_micros("at").alias("ts"), "allowed", "retry_after")
+    nothing = F.lit("")
+    answered = in_time_order(held_points(requests, [client], late, nothing, F.lit(0.0), nothing), [client], Quota(Bucket.of(capacity, rate)))
+    return answered.select(client, F.timestamp_micros("at").alias("ts"), "allowed", "retry_after")

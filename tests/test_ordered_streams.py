@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import alerts as L
 from pulsegrid.streaming import feeds
 from pulsegrid.streaming import ordered_rules as O
+from pulsegrid.streaming.quota import stream_token_bucket, token_bucket
 
 START = dt.datetime(2024, 1, 1)
 LATE = 600
@@ -95,3 +96,14 @@ def test_cooldown_equals_batch(spark, tmp_path, cut, shuffled):
     got = feeds.run_available(out, "t-cooldown").collect()
     assert sorted((r["event_id"], r["host"], seconds(r["ts"]), r["value"]) for r in got) == sorted(
         (r["event_id"], r["host"], seconds(r["ts"]), r["value"]) for r in want if seconds(r["ts"]) < passed)
+
+
+@pytest.mark.parametrize("cut,shuffled", CUTS)
+def test_quota_equals_batch(spark, tmp_path, cut, shuffled):
+    rows = points()
+    passed = max(r[2] for r in rows) - LATE
+    batch = spark.createDataFrame([(i, h, START + dt.timedelta(seconds=s)) for i, h, s, _ in rows], "event_id long, host string, ts timestamp_ntz")
+    want = [(r["host"], seconds(r["ts"]), r["allowed"], r["retry_after"]) for r in token_bucket(batch, "host", ["ts", "event_id"], 2, 1 / 300).collect()]
+    out = stream_token_bucket(feed(spark, tmp_path, rows, cut, shuffled), "host", 2, 1 / 300)
+    got = [(r["host"], seconds(r["ts"]), r["allowed"], r["retry_after"]) for r in feeds.run_available(out, "t-quota").collect()]
+    assert sorted(got) == sorted(r for r in want if r[1] < passed) and {r[2] for r in got} == {True, False}
