@@ -317,21 +317,26 @@ def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def roc_auc(df: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve by rank sums, ties at their average rank.
 
-    Works on counts per distinct score, and on running totals of value buckets,
-    so equal or dense scores do not gather in one task.
+    Works on counts per distinct score, and on running totals of value buckets and
+    their parts, so equal or dense scores do not gather in one task.
     """
-    bucket = ordered.value_bucket(F.col(score)).alias("_bucket")
-    counts = df.groupBy(*keys, bucket, F.col(score).alias("_score")).agg(
+    place = [ordered.value_bucket(F.col(score)).alias("_bucket"), ordered.value_part(F.col(score)).alias("_part")]
+    counts = df.groupBy(*keys, *place, F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     )
-    buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_neg").alias("_neg"))
-    below = F.sum("_neg").over(
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = buckets.select(*keys, "_bucket", F.coalesce(below, F.lit(0)).alias("_below"))
-    frame = Window.partitionBy(*keys, "_bucket").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
-    local = counts.withColumn("_within", F.coalesce(F.sum("_neg").over(frame), F.lit(0)))
-    ranked = ordered.join_nullsafe(local, offsets, [*keys, "_bucket"])
+    parts = counts.groupBy(*keys, "_bucket", "_part").agg(F.sum("_neg").alias("_neg"))
+    buckets = parts.groupBy(*keys, "_bucket").agg(F.sum("_neg").alias("_neg"))
+
+    def before(by: list[str], order: str) -> Column:
+        frame = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_neg").over(frame), F.lit(0))
+
+    totals = buckets.select(*keys, "_bucket", before(keys, "_bucket").alias("_of_buckets"))
+    of_parts = parts.withColumn("_of_parts", before([*keys, "_bucket"], "_part")).drop("_neg")
+    offsets = ordered.join_nullsafe(of_parts, totals, [*keys, "_bucket"])
+    offsets = offsets.select(*keys, "_bucket", "_part", (F.col("_of_buckets") + F.col("_of_parts")).alias("_below"))
+    local = counts.withColumn("_within", before([*keys, "_bucket", "_part"], "_score"))
+    ranked = ordered.join_nullsafe(local, offsets, [*keys, "_bucket", "_part"])
     wins = F.col("_pos") * (F.col("_below") + F.col("_within") + F.col("_neg") / 2)
     pos, neg = F.sum("_pos"), F.sum("_neg")
     return ranked.groupBy(*keys).agg(

@@ -238,21 +238,39 @@ def value_bucket(value: Column) -> Column:
     return F.when(value > 0, magnitude).when(value < 0, -magnitude).when(value == 0, F.lit(0).cast("bigint"))
 
 
+# Sub-buckets of a bucket of ``value_bucket``.
+SUB_BUCKETS = 1 << 20
+
+
+def value_part(value: Column) -> Column:
+    """A number within the bucket that never decreases with the value: about ``SUB_BUCKETS`` per bucket.
+
+    Buckets are a 4096th of their values wide, so a part is below 2.4e-10 of them: doubles offer about
+    a million distinct values to each, however close together the values of a table lie.
+    """
+    size = F.abs(value)
+    low = F.exp(F.floor((F.ln(size) + 750) * 4096) / 4096 - 750)
+    inside = F.floor(F.coalesce(F.try_divide(size - low, low), F.lit(0.0)) * (4096 * SUB_BUCKETS)).cast("bigint")
+    return F.when(value > 0, inside).when(value < 0, -inside).when(value == 0, F.lit(0).cast("bigint"))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per key by counting, one column per name in ``probs``.
 
     The built-in ``percentile`` keeps every distinct value of a group in one
-    buffer.  Here values are counted per (key, bucket, value), which partial
-    aggregation reduces and the shuffle spreads; bucket counts locate the wanted
-    ranks, and only the buckets that hold one are looked at again.  Nulls and
-    NaN are ignored.  Adds ``n``, the number of values.
+    buffer.  Here values are counted per (key, bucket, part, value), which partial
+    aggregation reduces and the shuffle spreads.  The counts of the buckets locate
+    the wanted ranks, then those of the parts of these buckets, and only the parts
+    that hold one are ordered by value; none has more than about a million.  Nulls
+    and NaN are ignored.  Adds ``n``, the number of values.
     """
     counted = (
         df.where(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy(*keys, value_bucket(F.col(value)).alias("_bucket"), F.col(value).alias("_value"))
+        .groupBy(*keys, value_bucket(F.col(value)).alias("_bucket"), value_part(F.col(value)).alias("_part"), F.col(value).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    buckets = counted.groupBy(*keys, "_bucket").agg(F.sum("_rows").alias("_rows"))
+    parts = counted.groupBy(*keys, "_bucket", "_part").agg(F.sum("_rows").alias("_rows"))
+    buckets = parts.groupBy(*keys, "_bucket").agg(F.sum("_rows").alias("_rows"))
     upto = F.sum("_rows").over(_ordered(keys, ["_bucket"]).rowsBetween(Window.unboundedPreceding, 0))
     located = buckets.select(
         *keys,
@@ -267,12 +285,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         position = F.lit(float(probs[name])) * (F.col("n") - 1)
         wanted.append(F.struct(F.lit(name).alias("name"), F.floor(position).alias("rank"), F.lit(0).alias("upper")))
         wanted.append(F.struct(F.lit(name).alias("name"), F.ceil(position).alias("rank"), F.lit(1).alias("upper")))
-    inside = located.select("*", F.explode(F.array(*wanted)).alias("w")).where(
-        (F.col("w.rank") >= F.col("_start")) & (F.col("w.rank") < F.col("_end"))
-    )
-    per_bucket = inside.groupBy(*keys, "_bucket", "_start", "n").agg(F.collect_list("w").alias("_wanted"))
-    values = join_nullsafe(counted, per_bucket, [*keys, "_bucket"])
-    frame = _ordered([*keys, "_bucket"], ["_value"]).rowsBetween(Window.unboundedPreceding, 0)
+
+    def held(ranks: Column) -> Column:
+        return F.filter(ranks, lambda w: (w["rank"] >= F.col("_start")) & (w["rank"] < F.col("_end")))
+
+    in_bucket = located.withColumn("_wanted", held(F.array(*wanted))).where(F.size("_wanted") > 0)
+    place = [*keys, "_bucket"]
+    parts = join_nullsafe(parts, in_bucket.select(*place, F.col("_start").alias("_before"), "n", "_wanted"), place)
+    within = F.sum("_rows").over(_ordered(place, ["_part"]).rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("_end", F.col("_before") + within).withColumn("_start", F.col("_end") - F.col("_rows"))
+    in_part = parts.withColumn("_wanted", held(F.col("_wanted"))).where(F.size("_wanted") > 0)
+
+    place = [*place, "_part"]
+    values = join_nullsafe(counted, in_part.select(*place, "_start", "n", "_wanted"), place)
+    frame = _ordered(place, ["_value"]).rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("_upto", F.col("_start") + F.sum("_rows").over(frame))
     hits = values.select("*", F.explode("_wanted").alias("w")).where(
         (F.col("w.rank") < F.col("_upto")) & (F.col("w.rank") >= F.col("_upto") - F.col("_rows"))

@@ -487,6 +487,16 @@ def exact_quantiles_raw(spark, sf):
     return _rounded(ordered.exact_quantiles(I.app_points(spark, sf), ["host"], "value", probs), *probs)
 
 
+# Whole numbers far from zero: quarters of them are exact, so nothing is rounded.
+@query("quantiles_far_from_zero", """
+    SELECT host, count(value) AS n, quantile_cont(floor(value) + 1e12, 0.25) - 1e12 AS q1, quantile_cont(floor(value) + 1e12, 0.5) - 1e12 AS mid,
+      quantile_cont(floor(value) + 1e12, 0.75) - 1e12 AS q3 FROM app_points GROUP BY host""")
+def quantiles_far_from_zero(spark, sf):
+    far = I.app_points(spark, sf).withColumn("value", F.floor("value") + F.lit(1e12))
+    found = ordered.exact_quantiles(far, ["host"], "value", {"q1": 0.25, "mid": 0.5, "q3": 0.75})
+    return found.select("host", "n", *[(F.col(q) - 1e12).alias(q) for q in ("q1", "mid", "q3")])
+
+
 @query("method_weights", f"""
     SELECT host, method, round(avg_score, 6) AS avg_score, weight FROM (
       SELECT host, 'zscore' AS method, avg(zscore) AS avg_score, 0.25::DOUBLE AS weight FROM risk_table GROUP BY host

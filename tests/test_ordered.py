@@ -100,6 +100,28 @@ def test_exact_quantiles(spark, crowded, frame):
     assert (row["n"], row["q"]) == (4, pytest.approx(np.percentile([1e12, -3, 0, 1e-9], 25)))
 
 
+def test_quantiles_and_auc_of_values_that_lie_close_together(spark):
+    rng = np.random.default_rng(8)
+    values = np.sort(1e12 * (1 + rng.random(30_000) * 1e-4)).tolist() + [-1e12 - i / 8 for i in range(5000)] + [5e-324, -5e-324, 0.0, float("inf"), -1e308]
+    table = spark.createDataFrame([("x", v, int(i % 7 == 0)) for i, v in enumerate(values)], "k string, value double, label int")
+    placed = table.withColumns({"b": ordered.value_bucket(F.col("value")), "p": ordered.value_part(F.col("value"))})
+    assert placed.groupBy("b").count().agg(F.max("count")).first()[0] > 4000
+    # a part is 232 wide here
+    assert placed.where("value > 0").groupBy("b", "p").count().agg(F.max("count")).first()[0] < 20
+    assert placed.where("value < 0").groupBy("b", "p").count().agg(F.max("count")).first()[0] <= 8 * 233
+    ranks = [r["value"] for r in placed.orderBy("b", "p", "value").collect()]
+    assert ranks == sorted(values)
+    finite = table.where("value < 1e13 and value > -1e13")
+    probs = {"q1": 0.25, "mid": 0.5, "late": 0.999}
+    got = ordered.exact_quantiles(finite, ["k"], "value", probs).first()
+    kept = [v for v in values if abs(v) < 1e13]
+    assert got["n"] == len(kept) and [got[q] for q in probs] == pytest.approx(np.quantile(kept, list(probs.values())).tolist(), rel=1e-15)
+    pos, neg = ([v for i, v in enumerate(values) if (i % 7 == 0) == side] for side in (True, False))
+    wins = np.searchsorted(np.sort(neg), pos).sum() + (np.searchsorted(np.sort(neg), pos, "right") - np.searchsorted(np.sort(neg), pos)).sum() / 2
+    auc = A.roc_auc(table, ["k"], "label", "value").first()
+    assert auc["auc"] == pytest.approx(wins / len(pos) / len(neg), rel=1e-12)
+
+
 def test_salted_lookup_keeps_every_row(crowded):
     stats = crowded.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     joined = ordered.salted_lookup(crowded, stats, ["k"], ["id"], 8)
