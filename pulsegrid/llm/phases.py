@@ -14,28 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import shared_dir
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Let Spark delete a query's shuffle files when that query has ended.
+_CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+# Whole texts to Python workers in small batches: a batch of the default row count holds tens of MB, several times over.
+_SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
 @contextmanager
-def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Let Spark delete a query's shuffle files when that query has ended."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _with_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
-def phase(df: DataFrame, name: str) -> DataFrame:
+def phase(df: DataFrame, name: str, small_batches: bool = False) -> DataFrame:
     """Write ``df`` to a new shared folder and read it back; the folder goes when the application ends."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    with _dropping_shuffles(spark):
+    with _with_settings(spark, {**_CLEANUP, **(_SMALL_BATCHES if small_batches else {})}):
         df.write.mode("error").parquet(path)
     jvm, context = spark._jvm, spark.sparkContext._jsc
     target = jvm.org.apache.hadoop.fs.Path(path)

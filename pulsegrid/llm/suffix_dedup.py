@@ -38,6 +38,8 @@ LENGTH = 100
 GRAM = 16
 # Bytes of a shard that is sorted at once, and classes of an anchor from which on its windows are dealt out.
 SHARD_BYTES = 1_000_000
+# Bytes of text worked on at once: about a dozen arrays of eight times as much.
+SLICE_BYTES = 250_000
 MANY_CLASSES = 2000
 
 _SEGMENTS = "doc long, lo int, n int, h1 long, h2 long"
@@ -90,7 +92,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
 
 def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in tk.text_slices(whole, "text", 500_000):
+        for batch in tk.text_slices(whole, "text", SLICE_BYTES):
             found = segments(*tk.column_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc").take(pa.array(found["text"]))]
@@ -103,7 +105,7 @@ def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the listed segments of each text; of keys with very many classes the windows' hashes."""
     for whole in batches:
-        for batch in tk.text_slices(whole, "text", 500_000):
+        for batch in tk.text_slices(whole, "text", SLICE_BYTES):
             data, offsets = tk.column_bytes(batch.column("text"))
             listed = batch.column("parts")
             parts = listed.flatten()
@@ -205,7 +207,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, lo, hi): byte ranges covered by windows that start earlier; ranges of a text may overlap."""
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    found = phase(given.mapInArrow(_find_segments, _SEGMENTS), "segments")
+    found = phase(given.mapInArrow(_find_segments, _SEGMENTS), "segments", small_batches=True)
     twice = found.groupBy("h1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1")
     found = phase(found.join(twice, "h1"), "joint-segments")
 
@@ -220,7 +222,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = classes.join(shared, "h1").select("first.doc", F.struct("h1", "first.lo", "first.n", "many").alias("part"))
     listed = parts.groupBy("doc").agg(F.collect_list("part").alias("parts"))
     cut_schema = "h1 long, doc long, lo int, n int, bytes binary, w1 long, w2 long"
-    cut = phase(given.join(listed, "doc").mapInArrow(_cut_bytes, cut_schema), "segment-bytes")
+    cut = phase(given.join(listed, "doc").mapInArrow(_cut_bytes, cut_schema), "segment-bytes", small_batches=True)
     dealt = cut.where("bytes is not null").select("h1", "doc", "lo", "n", "bytes")
     sorted_ = dealt.repartition("h1").sortWithinPartitions("h1").mapInArrow(_sort_shards, _SPANS)
 
