@@ -85,20 +85,23 @@ def default_range(
 ) -> DataFrame:
     """The last hour when bounds are missing.
 
-    Without ``now`` the newest time in the table counts as now (and is included).
-    The newest time comes from parquet statistics plus a one-row aggregate.
+    Without ``now`` the newest time in the table counts as now (and is included).  A table with a ``day``
+    column of the times' dates, as ``sinks.append_points`` partitions by, is asked for its newest day first
+    (file footers), so only that day's times and the days of the range are read; other tables are read for it.
     """
     if start is not None and stop is not None:
         return in_range(df, start, stop, ts)
     if now is not None:
         begin = start if start is not None else as_time(now) - F.expr("INTERVAL 1 HOUR")
         return in_range(df, begin, stop if stop is not None else now, ts)
-    newest = df.agg(F.max(ts)).first()[0]
-    end = F.lit(newest).cast("timestamp_ntz")
+    by_day = "day" in df.columns
+    latest = df.where(F.col("day") == F.lit(df.agg(F.max("day")).first()[0])) if by_day else df
+    end = F.lit(latest.agg(F.max(ts)).first()[0]).cast("timestamp_ntz")
     begin = start if start is not None else end - F.expr("INTERVAL 1 HOUR")
+    days = df.where(F.col("day") >= F.to_date(as_time(begin))) if by_day else df
     if stop is not None:
-        return in_range(df, begin, stop, ts)
-    return in_range(df, begin, None, ts).where(F.col(ts) <= end)
+        return in_range(days, begin, stop, ts)
+    return in_range(days, begin, None, ts).where(F.col(ts) <= end)
 
 
 def _interval(text: str) -> str:

@@ -216,3 +216,24 @@ def test_silent_hosts_and_alert_rows(spark):
     alerts = L.to_alerts(df.withColumns({"threshold": F.lit(0.3), "severity": F.lit("critical")}), ["host", "metric"]).collect()
     assert len({r["id"] for r in alerts}) == 3
     assert {r["message"] for r in alerts if r["metric"] == "anomaly_rate"} == {"anomaly_rate at 35.0% is beyond its limit of 30.0%"}
+
+
+def test_default_range_reads_the_newest_days_only(spark, tmp_path):
+    at = datetime(2024, 3, 2, 0, 20)
+    rows = [(at - timedelta(minutes=m), float(m)) for m in (0, 10, 19, 30, 61, 3000)]
+    table = spark.createDataFrame(rows, "ts timestamp_ntz, value double").withColumn("day", F.to_date("ts"))
+    path = tmp_path / "points"
+    table.write.partitionBy("day").parquet(str(path))
+    # the values of a day that is not needed cannot even be read, only its footer
+    (old,) = (path / "day=2024-02-28").glob("*.parquet")
+    (old.parent / f".{old.name}.crc").unlink()
+    whole = old.read_bytes()
+    old.write_bytes(whole[:4] + bytes(len(whole[4:50])) + whole[50:])
+    kind = "ts timestamp_ntz, value double, day date"
+    stored = spark.read.schema(kind).parquet(str(path))
+    with pytest.raises(Exception):
+        stored.agg(F.max("ts")).collect()
+    found = P.default_range(stored)
+    assert sorted(r["value"] for r in found.collect()) == [0.0, 10.0, 19.0, 30.0]
+    plain = P.default_range(table.drop("day"))
+    assert sorted(r["value"] for r in plain.collect()) == [0.0, 10.0, 19.0, 30.0]
