@@ -53,48 +53,48 @@ def with_cells(df: DataFrame, keys: list[str], ts: str, seconds: int = CELL_SECO
     return df.withColumns({"_key": F.struct(*keys), "_cell": time_cell(ts, seconds)})
 
 
-# Cells by count: rows of a cell, microseconds of the slots they are cut at, and how many cells an hour may have.
-CELL_ROWS, SLOT_MICROS, CELLS_AN_HOUR = 100_000, 1_000_000, 4096
-HOUR_MICROS = 3_600_000_000
+# Cells by count: rows of a cell, microseconds of the slots they are cut at, and how many cells a day may have.
+CELL_ROWS, SLOT_MICROS, CELLS_A_DAY = 100_000, 1_000_000, 1 << 17
+DAY_MICROS = 86_400_000_000
 
 
-def hour_of_cell() -> Column:
-    """Number of the hour of a cell of ``with_counted_cells``."""
-    return floor_div(F.col("_cell"), CELLS_AN_HOUR)
+def day_of_cell() -> Column:
+    """Number of the day of a cell of ``with_counted_cells``."""
+    return floor_div(F.col("_cell"), CELLS_A_DAY)
 
 
-def dense_hours(df: DataFrame, keys: list[str], ts: str, rows: int = CELL_ROWS) -> DataFrame:
-    """(_key, _hour, _cuts): for the hours of a series with more than ``rows`` rows, the slots at which new cells begin.
+def dense_days(df: DataFrame, keys: list[str], ts: str, rows: int = CELL_ROWS) -> DataFrame:
+    """(_key, _day, _cuts): for the days of a series with more than ``rows`` rows, the slots at which new cells begin.
 
     Rows are counted per slot before they are shuffled; a slot begins a cell when the rows before it in the
-    hour pass a multiple of ``rows``.  An hour that is listed has over ``rows`` rows, so the table has at most
+    day pass a multiple of ``rows``.  A day that is listed has over ``rows`` rows, so the table has at most
     one row for so many of the input.
     """
     at = epoch_micros(F.col(ts))
     slots = df.where(F.col(ts).isNotNull()).groupBy(
-        F.struct(*keys).alias("_key"), floor_div(at, HOUR_MICROS).alias("_hour"), floor_div(at, SLOT_MICROS).alias("_slot")
+        F.struct(*keys).alias("_key"), floor_div(at, DAY_MICROS).alias("_day"), floor_div(at, SLOT_MICROS).alias("_slot")
     ).agg(F.count(F.lit(1)).alias("_rows"))
-    hour = Window.partitionBy("_key", "_hour")
+    hour = Window.partitionBy("_key", "_day")
     before = F.sum("_rows").over(hour.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
     placed = slots.withColumns({"_before": F.coalesce(before, F.lit(0)), "_all": F.sum("_rows").over(hour)}).where(F.col("_all") > rows)
     part = F.floor(F.col("_before") / rows)
     begins = placed.withColumn("_new", part > F.lag(part).over(hour.orderBy("_slot")))
-    return begins.groupBy("_key", "_hour").agg(F.array_sort(F.collect_list(F.when(F.col("_new"), F.col("_slot")))).alias("_cuts"))
+    return begins.groupBy("_key", "_day").agg(F.array_sort(F.collect_list(F.when(F.col("_new"), F.col("_slot")))).alias("_cuts"))
 
 
 def with_counted_cells(df: DataFrame, keys: list[str], ts: str, rows: int = CELL_ROWS) -> DataFrame:
-    """``with_cells`` with cells of an hour, cut further where an hour of a series has more than ``rows`` rows.
+    """``with_cells`` with cells of a day, cut further where a day of a series has more than ``rows`` rows.
 
     A cell then has fewer than ``rows`` rows and those of one slot (a second).  Operators that find the columns
     ``_key`` and ``_cell`` use them.  Takes a second scan of keys and times, reduced to counts before its shuffle.
     """
     at = epoch_micros(F.col(ts))
-    hour = F.coalesce(floor_div(at, HOUR_MICROS), F.lit(-(2**49)).cast("bigint"))
-    placed = df.withColumns({"_key": F.struct(*keys), "_hour": hour})
-    cuts = checked_broadcast(materialize(dense_hours(df, keys, ts, rows), "dense-hours"))
+    hour = F.coalesce(floor_div(at, DAY_MICROS), F.lit(-(2**44)).cast("bigint"))
+    placed = df.withColumns({"_key": F.struct(*keys), "_day": hour})
+    cuts = checked_broadcast(materialize(dense_days(df, keys, ts, rows), "dense-days"))
     slot = floor_div(at, SLOT_MICROS)
     part = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda cut: cut <= slot)))
-    joined = placed.join(cuts, ["_key", "_hour"], "left").withColumn("_cell", F.col("_hour") * CELLS_AN_HOUR + part)
+    joined = placed.join(cuts, ["_key", "_day"], "left").withColumn("_cell", F.col("_day") * CELLS_A_DAY + part)
     return joined.select(*df.columns, "_key", "_cell")
 
 

@@ -115,6 +115,8 @@ class Map:
 
 def chunk_map(bucket: Bucket, times: np.ndarray) -> Map:
     """From the level at the first request, before it, to that after the last; ``times`` are sorted microseconds."""
+    if len(times) == 1:
+        return Map(bucket, np.array([0, bucket.token], np.int64), np.zeros(2, np.int64), np.ones(2, bool))
     found, before, alone = Map.identity(bucket), None, None
     for at in times.tolist():
         gain = 0 if before is None else bucket.gained(at - before)

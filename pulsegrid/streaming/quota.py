@@ -61,8 +61,8 @@ def _maps(found: list[tuple[int, int, Map]]) -> dict[str, list]:
 def chunk_starts(times: DataFrame, client: str, bucket: Bucket) -> DataFrame:
     """(client, _cell, _since, _level): the level each chunk of ``(client, _cell, _at)`` starts from, and when it was that.
 
-    Chunks are mapped; the maps of an hour with several are composed; those of a client's hours are read in
-    order, then those within each such hour.
+    Chunks are mapped; the maps of a day with several are composed; those of a client's days are read in
+    order, then those within each such day.
     """
     kind = f"`{client}` {dict(times.dtypes)[client]}"
 
@@ -72,7 +72,7 @@ def chunk_starts(times: DataFrame, client: str, bucket: Bucket) -> DataFrame:
             for listed in batch.column("times"):
                 at = listed.values.to_numpy()
                 found.append((int(at[0]), int(at[-1]), chunk_map(bucket, at)))
-            yield _batch(batch, [client, "_cell", "_hour"], list(range(len(found))), _maps(found))
+            yield _batch(batch, [client, "_cell", "_day"], list(range(len(found))), _maps(found))
 
     def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +84,7 @@ def chunk_starts(times: DataFrame, client: str, bucket: Bucket) -> DataFrame:
                     whole = one if whole is None else whole.refilled(bucket.gained(part["first_at"] - last)).then(one)
                     last = part["last_at"]
                 found.append((parts[0]["first_at"], last, whole))
-            yield _batch(batch, [client, "_hour"], list(range(len(found))), _maps(found))
+            yield _batch(batch, [client, "_day"], list(range(len(found))), _maps(found))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,19 +108,19 @@ def chunk_starts(times: DataFrame, client: str, bucket: Bucket) -> DataFrame:
     nothing = [F.lit(None).cast("long").alias(c) for c in ("_since", "_level")]
     placed = f"{kind}, _place long, _since long, _level long"
     chunks = times.groupBy(client, "_cell").agg(F.sort_array(F.collect_list("_at")).alias("times"))
-    chunks = chunks.withColumn("_hour", ordered.hour_of_cell()).mapInArrow(mapped, f"{kind}, _cell long, _hour long, {_MAPS}")
+    chunks = chunks.withColumn("_day", ordered.day_of_cell()).mapInArrow(mapped, f"{kind}, _cell long, _day long, {_MAPS}")
     chunks = materialize(chunks, "quota-maps")
-    hours = listed(chunks, [client, "_hour"], "_cell")
-    several = hours.where(F.size("parts") > 1)
-    single = hours.where(F.size("parts") == 1)
-    alone = single.select(client, "_hour", F.col("parts")[0].alias("p")).select(client, "_hour", *[f"p.{c}" for c in _MAP_FIELDS])
-    whole = alone.unionByName(several.mapInArrow(composed, f"{kind}, _hour long, {_MAPS}"))
-    of_hours = listed(whole, [client], "_hour").select(client, "parts", *nothing).mapInArrow(read, placed)
-    of_hours = materialize(of_hours.withColumnRenamed("_place", "_hour"), "quota-hours")
-    inside = ordered.join_nullsafe(several, of_hours, [client, "_hour"]).select(client, "parts", "_since", "_level")
+    days = listed(chunks, [client, "_day"], "_cell")
+    several = days.where(F.size("parts") > 1)
+    single = days.where(F.size("parts") == 1)
+    alone = single.select(client, "_day", F.col("parts")[0].alias("p")).select(client, "_day", *[f"p.{c}" for c in _MAP_FIELDS])
+    whole = alone.unionByName(several.mapInArrow(composed, f"{kind}, _day long, {_MAPS}"))
+    of_days = listed(whole, [client], "_day").select(client, "parts", *nothing).mapInArrow(read, placed)
+    of_days = materialize(of_days.withColumnRenamed("_place", "_day"), "quota-days")
+    inside = ordered.join_nullsafe(several, of_days, [client, "_day"]).select(client, "parts", "_since", "_level")
     of_chunks = inside.mapInArrow(read, placed).withColumnRenamed("_place", "_cell")
-    cells = single.select(client, "_hour", F.col("parts")[0]["place"].alias("_cell"))
-    return ordered.join_nullsafe(cells, of_hours, [client, "_hour"]).drop("_hour").unionByName(of_chunks)
+    cells = single.select(client, "_day", F.col("parts")[0]["place"].alias("_cell"))
+    return ordered.join_nullsafe(cells, of_days, [client, "_day"]).drop("_day").unionByName(of_chunks)
 
 
 def token_bucket(
@@ -134,7 +134,7 @@ def token_bucket(
     (``operators.transfer``).  Chunks of about ``chunk_rows`` requests, by counts per client and second, are
     mapped in parallel, the maps give the level every chunk starts from, and all chunks decide in parallel.  So
     a client that never pauses is spread like any other: no task holds more than a chunk, the maps of one
-    hour, or one map an hour.
+    day, or one map a day.
 
     Levels are exact.  Requests without a time get null in both columns.
     """
