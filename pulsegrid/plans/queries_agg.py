@@ -444,6 +444,25 @@ def drift(spark, sf):
     return _rounded(out, "mean", "std", "mean_shift", "std_shift")
 
 
+@query("distribution_shift", """
+    WITH b AS (SELECT host, field AS metric, (row_number() OVER (PARTITION BY host, field ORDER BY ts, event_id) - 1) // 100 AS bucket,
+        value FROM app_points),
+    s AS (SELECT host, metric, bucket, count(value) AS n FROM b GROUP BY ALL),
+    p AS (SELECT s.*, f.n AS m FROM s JOIN s f ON f.host = s.host AND f.metric = s.metric AND f.bucket = 0),
+    u AS (SELECT p.*, b.value, p.m AS step FROM p JOIN b USING (host, metric, bucket)
+      UNION ALL SELECT p.*, b.value, -p.n FROM p JOIN b ON b.host = p.host AND b.metric = p.metric AND b.bucket = 0),
+    v AS (SELECT host, metric, bucket, n, m, value, sum(step) AS step FROM u WHERE value IS NOT NULL GROUP BY ALL),
+    c AS (SELECT *, abs(sum(step) OVER w) AS run, coalesce(lead(value) OVER w - value, 0) AS gap FROM v
+      WINDOW w AS (PARTITION BY host, metric, bucket ORDER BY value)),
+    d AS (SELECT host, metric, bucket, n, max(run) / (n * m)::DOUBLE AS ks, sum(run * gap) / (n * m) AS wasserstein,
+      sqrt(-ln(0.025::DOUBLE) / 2) * sqrt((n + m)::DOUBLE / (n * m)) AS critical FROM c GROUP BY host, metric, bucket, n, m)
+    SELECT host, metric, CAST(bucket AS BIGINT) AS bucket, n, round(ks, 6) AS ks, round(critical, 6) AS critical,
+      round(wasserstein, 6) AS wasserstein, ks > greatest(critical, 0.1) AS retrain FROM d""")
+def distribution_shift(spark, sf):
+    out = M.distribution_shift(I.raw_series(spark, sf), KEYS, RAW_ORDER, window=100)
+    return _rounded(out, "ks", "critical", "wasserstein")
+
+
 @query("performance_drops", f"""
     WITH e AS (SELECT host, metric, ts >= TIMESTAMP '2024-01-15' AS late, abs(value - f) AS err FROM ({_NAIVE_SQL}) n),
     m AS (SELECT host, metric, avg(err) FILTER (NOT late) AS before, avg(err) FILTER (late) AS after FROM e GROUP BY ALL)

@@ -107,7 +107,9 @@ def chunk_starts(times: DataFrame, client: str, bucket: Bucket) -> DataFrame:
 
     nothing = [F.lit(None).cast("long").alias(c) for c in ("_since", "_level")]
     placed = f"{kind}, _place long, _since long, _level long"
-    chunks = times.groupBy(client, "_cell").agg(F.sort_array(F.collect_list("_at")).alias("times"))
+    # mapping is work for the processor, not for the shuffle, so its tasks are not merged by size
+    dealt = times.repartition(int(times.sparkSession.conf.get("spark.sql.shuffle.partitions")), client, "_cell")
+    chunks = dealt.groupBy(client, "_cell").agg(F.sort_array(F.collect_list("_at")).alias("times"))
     chunks = chunks.withColumn("_day", ordered.day_of_cell()).mapInArrow(mapped, f"{kind}, _cell long, _day long, {_MAPS}")
     chunks = materialize(chunks, "quota-maps")
     days = listed(chunks, [client, "_day"], "_cell")
@@ -123,6 +125,12 @@ def chunk_starts(times: DataFrame, client: str, bucket: Bucket) -> DataFrame:
     return ordered.join_nullsafe(cells, of_days, [client, "_day"]).drop("_day").unionByName(of_chunks)
 
 
+def busy_clients(requests: DataFrame, client: str, rows: int) -> DataFrame:
+    """(_key, _busy) of the clients with more than ``rows`` requests; at most one for so many of the input."""
+    counts = requests.groupBy(F.struct(client).alias("_key")).count()
+    return counts.where(F.col("count") > rows).select("_key", F.lit(True).alias("_busy"))
+
+
 def token_bucket(
     requests: DataFrame, client: str, order: list[str], capacity: int = CAPACITY, rate: float = RATE,
     chunk_rows: int = CHUNK_ROWS,
@@ -130,7 +138,8 @@ def token_bucket(
     """Add ``allowed`` and ``retry_after`` (seconds) to every request.
 
     A client's first request finds a full bucket; a refused one changes nothing.  Decisions depend on all
-    before them, but what a chunk of requests does to the bucket is a map from levels to levels
+    before them, so a client with up to ``chunk_rows`` requests in all is read in order, in one pass.  For the
+    others, what a chunk of requests does to the bucket is a map from levels to levels
     (``operators.transfer``).  Chunks of about ``chunk_rows`` requests, by counts per client and second, are
     mapped in parallel, the maps give the level every chunk starts from, and all chunks decide in parallel.  So
     a client that never pauses is spread like any other: no task holds more than a chunk, the maps of one
@@ -140,26 +149,38 @@ def token_bucket(
     """
     ts, bucket, names = order[0], Bucket.of(capacity, rate), requests.columns
     timed = requests.where(F.col(ts).isNotNull())
-    celled = ordered.with_counted_cells(timed, [client], ts, chunk_rows).withColumn("_at", epoch_micros(F.col(ts)))
-    starts = materialize(chunk_starts(celled.select(client, "_cell", "_at"), client, bucket), "quota-starts")
+    busy = materialize(busy_clients(timed, client, chunk_rows), "busy-clients")
+    rows = timed.withColumn("_cell", F.lit(0).cast("long"))
+    starts = None
+    if not busy.isEmpty():
+        marked = timed.withColumn("_key", F.struct(client)).join(ordered.checked_broadcast(busy), "_key", "left")
+        rows = marked.where("_busy is null").select(*names, F.lit(0).cast("long").alias("_cell"))
+        celled = ordered.with_counted_cells(marked.where("_busy").select(*names), [client], ts, chunk_rows)
+        times = celled.select(client, "_cell", epoch_micros(F.col(ts)).alias("_at"))
+        starts = materialize(chunk_starts(times, client, bucket), "quota-starts")
+        rows = rows.unionByName(celled.select(*names, "_cell"))
     # a chunk's start stands before its rows, so that one sorted pass meets it first
     zero = F.lit(0).cast("long")
-    rows = celled.drop("_key").withColumns({"_since": zero, "_level": zero, "_row": F.lit(True)})
-    marks = starts.withColumns({"_at": zero, "_row": F.lit(False)})
-    both = rows.unionByName(marks, allowMissingColumns=True).repartition(client, "_cell")
-    placed = both.sortWithinPartitions(client, "_cell", "_row", *order).drop("_cell")
+    both = rows.withColumns({"_at": epoch_micros(F.col(ts)), "_since": zero, "_level": zero, "_row": F.lit(True)})
+    if starts is not None:
+        marks = starts.withColumns({"_at": zero, "_row": F.lit(False)})
+        both = both.unionByName(marks, allowMissingColumns=True)
+    placed = both.repartition(client, "_cell").sortWithinPartitions(client, "_cell", "_row", *order)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, since = bucket.capacity, 0
+        level, since, open_chunk = bucket.capacity, 0, None
         for batch in batches:
             is_row = batch.column("_row")
             allowed, wait = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int32)
-            for i, (row, at, start, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_row", "_at", "_level", "_since")))):
-                if row:
-                    allowed[i], wait[i], level = bucket.decide(min(bucket.capacity, level + bucket.gained(at - since)))
-                    since = at
-                else:
-                    level, since = start, before
+            read = (batch.column(c).to_pylist() for c in (client, "_cell", "_row", "_at", "_level", "_since"))
+            for i, (who, cell, row, at, start, before) in enumerate(zip(*read)):
+                if not row:
+                    level, since, open_chunk = start, before, (who, cell)
+                    continue
+                if open_chunk != (who, cell):  # all of a client's requests, from a full bucket
+                    level, since, open_chunk = bucket.capacity, at, (who, cell)
+                allowed[i], wait[i], level = bucket.decide(min(bucket.capacity, level + bucket.gained(at - since)))
+                since = at
             columns = [*(batch.column(c) for c in names), pa.array(allowed), pa.array(wait)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "allowed", "retry_after"]).filter(is_row)
 
