@@ -2,14 +2,16 @@
 
 A URL is a set of tokens: scheme, host, host labels, path words, query keys.  FP-growth
 over the labelled pages finds token combinations that go with a bad label; combinations
-with too little support or confidence are pruned, whatever their length, and so are
-rules that contain a shorter one, which decides alike.  Each rule is entered in an
+with too little support or confidence are pruned, whatever their length, and so are those
+whose bad pages may be chance, and rules that contain a shorter one, which decides alike.  Each rule is entered in an
 inverted index under its rarest token, so common tokens bring no rows to the join; a
 page is blocked if it has all tokens of a rule.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BAD = "label=bad"
 # Share of the labelled pages that have the tokens and the bad label, share of bad pages among those with the tokens.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.001, 0.6
+# Least number of bad pages with the tokens, and the chance that any rule at all holds where tokens say nothing about the label.
+LEAST_PAGES, ALPHA = 5, 0.01
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -62,12 +66,31 @@ def url_tokens(url_col: str = "url") -> Column:
     ))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(tokens, support, confidence) of the rules ``tokens -> bad`` from rows with ``tokens`` and boolean ``bad``."""
+def mine_rules(
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+    least_pages: int = 1, alpha: float | None = None,
+) -> DataFrame:
+    """(tokens, support, confidence, lift) of the rules ``tokens -> bad`` from rows with ``tokens`` and boolean ``bad``.
+
+    With ``alpha`` a rule must also beat the share of bad pages among all: if that were its own, at most a part
+    ``alpha / tested`` of samples would have as many bad pages (Chernoff's bound), where ``tested`` counts all
+    combinations with enough pages.  So tables whose labels have nothing to do with their tokens get no rules.
+    """
+    n, n_bad = labelled.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    # half a page less, as the share is multiplied by the count and rounded up again
+    share = min(1.0, max(min_support, (least_pages - 0.5) / max(n, 1)))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0] == BAD)
-    return rules.select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
+    base, confidence = n_bad / max(n, 1), F.col("confidence")
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "support", "confidence", (confidence / F.lit(base)).alias("lift"))
+    if alpha is None or not 0 < base < 1:
+        return rules if alpha is None else rules.where("false")
+    tested = model.freqItemsets.where(~F.array_contains("items", BAD)).count()
+    clean = 1 - confidence
+    apart = confidence * F.log(confidence / base) + F.when(clean > 0, clean * F.log(clean / (1 - base))).otherwise(0.0)
+    pages = F.col("support") * n / confidence
+    return rules.where((F.col("lift") > 1) & (pages * apart >= math.log(max(tested, 1) / alpha)))
 
 
 def _by_rarest(rules: DataFrame, sets: DataFrame) -> DataFrame:
@@ -88,8 +111,11 @@ def shortest_rules(rules: DataFrame) -> DataFrame:
 
 def matched_pages(pages: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
     """Distinct ids of the pages (id, tokens) that have all tokens of a rule."""
-    exploded = pages.select(id_col, "tokens", F.explode("tokens").alias("token"))
-    hits = exploded.join(_by_rarest(rules, pages), "token").where(F.size(F.array_except("needed", "tokens")) == 0)
+    keyed = pages.select(id_col, "tokens", F.xxhash64("tokens").alias("url_key"))
+    # a url may have any number of tokens, so each travels alone and whole sets only for candidates
+    entries = keyed.select(id_col, "url_key", F.explode("tokens").alias("token"))
+    candidates = entries.join(_by_rarest(rules, pages), "token").select(id_col, "url_key", "needed")
+    hits = keyed.join(candidates, [id_col, "url_key"]).where(F.size(F.array_except("needed", "tokens")) == 0)
     return hits.select(id_col).distinct()
 
 
@@ -102,6 +128,7 @@ def judge_urls(
     ``labels`` (doc_id, quality, toxic) mark pages of the same id; bad is quality 0 or
     toxic 1, null counts as not bad.  A rule on host and path decides first, the longest
     that fits; else pages with a mined combination are blocked and the others allowed.
+    Mined are rules of ``LEAST_PAGES`` bad pages and more that hold at ``ALPHA``.
     Null and broken urls have no tokens and are allowed.  Without labelled pages nothing
     is mined.  Repeated rows are kept and equal ids share the mined verdict; other
     columns are ignored; an empty table gives no rows.
@@ -110,7 +137,8 @@ def judge_urls(
     tokens = shaped.select("id", url_tokens().alias("tokens"))
     bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
     marks = labels.select(F.col("doc_id").alias("id"), bad.alias("bad")).groupBy("id").agg(F.max("bad").alias("bad"))
-    mined = shortest_rules(phase(mine_rules(tokens.join(marks, "id")), "url-rules"))
+    labelled = phase(tokens.join(marks, "id").select("tokens", "bad"), "url-labelled")
+    mined = shortest_rules(phase(mine_rules(labelled, least_pages=LEAST_PAGES, alpha=ALPHA), "url-rules"))
     hit = matched_pages(tokens, mined, "id").withColumn("mined", F.lit(True))
     name, verdict = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
     out = shaped.join(hit, "id", "left").withColumn("mined", F.coalesce("mined", F.lit(False)))
