@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,21 +132,57 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _route(router: Router, settings: IndexSettings, every: int):
+def to_power(x: np.ndarray) -> np.ndarray:
+    """Each row scaled by a power of two, its largest component then between 1/2 and 1; squares stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
+# Components beyond this multiple of the sample's usual magnitude are cut there, for routing only.
+_FAR = 2.0**20
+
+
+def routing_scale(x: np.ndarray) -> int:
+    """Exponent of the usual magnitude of the rows of ``x``."""
+    return int(np.median(np.frexp(np.abs(x).max(axis=1))[1]))
+
+
+def for_routing(x: np.ndarray, scale: int) -> np.ndarray:
+    return np.clip(np.ldexp(x, -scale), -_FAR, _FAR)
+
+
+def distances(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row to ``x`` in double precision, whatever their magnitude."""
+    apart = rows - x
+    top = np.frexp(np.abs(apart).max(axis=1, keepdims=True, initial=0))[1]
+    small = np.ldexp(apart, -top)
+    return np.ldexp(np.sqrt((small * small).sum(1)), top[:, 0])
+
+
+def _route(router: Router, scale: int, length: int, settings: IndexSettings, every: int):
+    def out(batch: pa.RecordBatch, part: np.ndarray, lists: list) -> pa.RecordBatch:
+        columns = [batch.column("vec_id"), batch.column("vec"), pa.array(part.astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["vec_id", "vec", "part", "visits"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                p = router.probabilities(matrix(batch.column("vec")))
+                lengths = pc.list_value_length(batch.column("vec")).to_numpy(zero_copy_only=False)
+                if (lengths != length).any():  # a part of its own for each other length, which has no classifier
+                    rest = batch.filter(pa.array(lengths != length))
+                    own = -lengths[lengths != length]
+                    asks = rest.column("vec_id").to_numpy() % every == 0
+                    yield out(rest, own, [[v] if q else None for v, q in zip(own.tolist(), asks.tolist())])
+                    batch = batch.filter(pa.array(lengths == length))
+                if not batch.num_rows:
+                    continue
+                p = router.probabilities(for_routing(matrix(batch.column("vec")), scale))
                 order = np.argsort(-p, axis=1, kind="stable")
                 before = np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1)
                 visited = (before < settings.mass) | (np.arange(p.shape[1]) < settings.least_parts)
                 is_query = batch.column("vec_id").to_numpy() % every == 0
                 lists = [order[i][visited[i]].tolist() if q else None for i, q in enumerate(is_query.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), batch.column("vec"), pa.array(order[:, 0].astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))],
-                    names=["vec_id", "vec", "part", "visits"],
-                )
+                yield out(batch, order[:, 0], lists)
 
     return run
 
@@ -158,10 +195,13 @@ def _rank(k: int):
             q_ids, q, r_ids, r = ids[query], x[query], ids[~query], x[~query]
             if not len(q_ids) or not len(r_ids):
                 continue
-            out, squares = [], (r * r).sum(1)
+            # one power of two for all, so that the largest component is below 1
+            power = -int(np.frexp(max(np.abs(q).max(), np.abs(r).max()))[1])
+            small = np.ldexp(r, power)
+            out, squares = [], (small * small).sum(1)
             for a in range(0, len(q_ids), 256):
-                part = q[a : a + 256]
-                near = (part * part).sum(1)[:, None] + squares - 2 * part @ r.T
+                part, scaled = q[a : a + 256], np.ldexp(q[a : a + 256], power)
+                near = (scaled * scaled).sum(1)[:, None] + squares - 2 * scaled @ small.T
                 near[q_ids[a : a + 256, None] == r_ids] = np.inf
                 kth = min(k, len(r_ids)) - 1
                 bound = np.partition(near, kth, axis=1)[:, kth]
@@ -169,7 +209,7 @@ def _rank(k: int):
                 close = near <= (bound + 1e-9 * (1 + np.abs(bound)))[:, None]
                 for i in range(len(part)):
                     at = np.flatnonzero(close[i] & np.isfinite(near[i]))
-                    score = np.sqrt(((r[at] - part[i]) ** 2).sum(1))
+                    score = distances(r[at], part[i])
                     best = np.lexsort((r_ids[at], score))[:k]
                     out.append((np.full(len(best), q_ids[a + i]), r_ids[at][best], score[best]))
             columns = [np.concatenate(c) for c in zip(*out)]
@@ -185,10 +225,13 @@ def nearest(
     """``k`` nearest rows found for each query: ``query_id``, ``rank`` from 1, ``vec_id``, ``score`` (Euclidean).
 
     Queries are the rows whose id is divisible by ``every``; a query is not its own
-    answer.  Ties go to the smaller id.  Rows with a null id, with vectors that are null,
-    empty, zero or not finite, or of another length than most of the sample take no
-    part.  A query id that repeats is asked once; repeated candidate rows are kept.  An
-    empty table, or one without queries, gives no rows; extra columns are ignored.
+    answer.  Ties go to the smaller id.  Rows with a null id or with vectors that are null,
+    empty, zero or not finite take no part.  Only vectors of one length are compared: those
+    of the length most of the sample has through the index, others with all of their length
+    (a few such lengths are expected).  Vectors may be of any magnitude.  A query id that
+    repeats is asked once, with the longest of its vectors and of these the least; repeated
+    candidate rows are kept.  An empty table, or one without queries, gives no rows; extra
+    columns are ignored.
 
     The sample (``sample_rows`` rows of smallest hash) and the counts of the parts come
     to the driver, both of a size the settings bound.
@@ -201,13 +244,15 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = np.array([len(x["vec"]) for x in drawn])
     length = int(np.bincount(lengths).argmax())
-    router = fit_router(np.array([x["vec"] for x in drawn if len(x["vec"]) == length], dtype=np.float64), settings)
-    given = given.where(F.size("vec") == length)
+    sample = np.array([x["vec"] for x in drawn if len(x["vec"]) == length], dtype=np.float64)
+    scale = routing_scale(sample)
+    router = fit_router(for_routing(sample, scale), settings)
     schema = "vec_id long, vec array<double>, part int, visits array<int>"
-    routed = given.mapInArrow(_route(router, settings, every), schema)
+    routed = given.mapInArrow(_route(router, scale, length, settings, every), schema)
 
     counted = routed.select("part", F.lit(1).alias("row"), F.lit(0).alias("ask"))
-    visits = routed.where("visits is not null").dropDuplicates(["vec_id"])
+    one = F.min(F.struct((-F.size("vec")).alias("size"), "vec", "visits")).alias("one")
+    visits = routed.where("visits is not null").groupBy("vec_id").agg(one).select("vec_id", "one.vec", "one.visits")
     asked = visits.select(F.explode("visits").alias("part"), F.lit(0).alias("row"), F.lit(1).alias("ask"))
     counts = counted.unionByName(asked).groupBy("part").agg(F.sum("row").alias("rows"), F.sum("ask").alias("asks")).collect()
     pieces = {x["part"]: (max(1, -(-x["rows"] // settings.chunk)), max(1, -(-x["asks"] // settings.chunk))) for x in counts}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import textkernels as tk
 from pulsegrid.llm.components import components
-from pulsegrid.llm.learned_partitions import matrix, usable
+from pulsegrid.llm.learned_partitions import matrix, to_power, usable
 from pulsegrid.llm.phases import phase
 
 BLOCK_DIMS = 8
@@ -101,7 +101,7 @@ def _links_of(rows: pa.Table, cosine: float) -> list[tuple]:
     guest, mine = rows.column("guest").to_numpy(), rows.column("chunk").to_numpy()
     one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
     bounds, budgets, turn = block_bounds(dims), _budgets(dims, cosine), rotation(dims)
-    x = matrix(rows.column("vec"))
+    x = to_power(matrix(rows.column("vec")))
     unit = _unit(x)
     by = np.argsort(rep, kind="stable")  # the root of a tree is its smallest number
     rep, copies, guest, mine, x, unit = (v[by] for v in (rep, copies, guest, mine, x, unit))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import hashlib
 import random
 import re
@@ -256,6 +257,37 @@ def test_nearest_with_unusable_rows(spark):
     assert {r["query_id"] for r in got} == {0, 100, 200, 300} and not {1000, 1001, 1002, 1100} & {r["vec_id"] for r in got}
 
 
+@pytest.mark.parametrize("power", [-560, -30, 0, 30, 560])
+def test_vectors_of_any_magnitude(spark, power):
+    """Scaling by a power of two changes no link and no rank, and scores by that power only."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(60, 8))
+    base[1::3] = base[::3] * 3 + rng.normal(size=(20, 8)) * 0.01
+    make = lambda x: spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    plain, scaled = make(base), make(np.ldexp(base, power))
+    links = sorted(map(tuple, near_duplicates(plain).collect()))
+    assert any(r[1] for r in links) and links == sorted(map(tuple, near_duplicates(scaled).collect()))
+    want = sorted((r["query_id"], r["rank"], r["vec_id"], np.ldexp(r["score"], power)) for r in nearest(plain, every=7).collect())
+    assert want == sorted(map(tuple, nearest(scaled, every=7).collect()))
+
+
+def test_nearest_of_mixed_magnitudes_and_lengths(spark):
+    rng = np.random.default_rng(22)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** rng.choice([-170, 0, 0, 0, 170])).tolist()) for i in range(80)]
+    rows += [(i, rng.normal(size=3).tolist()) for i in range(80, 100)]  # a rarer length
+    rows += [(0, [1.0] * 3), (0, [9.0] * 8), (0, [-9.0] * 8)]  # a query id three more times
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q in range(0, 100, 10):
+        v = min((v for i, v in rows if i == q), key=lambda v: (-len(v), v))
+        found = sorted((math.dist(v, w), i) for i, w in rows if i != q and len(w) == len(v))
+        want += [(q, n + 1, i, s) for n, (s, i) in enumerate(found[:10])]
+    for parts in (1, 7):
+        got = sorted(map(tuple, nearest(table.repartition(parts), every=10).collect()))
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert all(abs(a[3] / b[3] - 1) < 1e-12 for a, b in zip(got, want))
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.NET/en/x?q=1", "https://example.com/de/1#t", "ftp://x.org/fr/", "http://notnet/", "http://a.net", None, "no scheme",
             "http://b.net?x", "http://spam.test/buy/pills/1", "http://q.test/home"]
