@@ -32,6 +32,7 @@ def drift(
     stats = numbered.groupBy(*keys, bucket).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
     )
+    stats = materialize(stats, "drift-windows")  # read twice; numbering the rows is the larger part
     base = stats.where(F.col("bucket") == 0).select(
         *keys, F.col("mean").alias("base_mean"), F.col("std").alias("base_std")
     )

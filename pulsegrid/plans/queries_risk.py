@@ -220,6 +220,9 @@ def top_contributors(spark, sf):
       JOIN o ON o.host = x.host AND o.hour = x.hour AND o.r >= 0.15 WHERE rn <= 2 AND risk > 0.3
     UNION ALL SELECT host, 'metric_average', row_number() OVER (PARTITION BY host ORDER BY metric) - 1, metric, round(avg(risk), 6)
       FROM risk_table GROUP BY host, metric
+    UNION ALL SELECT host, 'method_average', row_number() OVER (PARTITION BY host ORDER BY method) - 1, method, round(avg(score), 6) FROM (
+      UNPIVOT (SELECT host, zscore, iqr, ma, ewma_s AS ewma, 0::DOUBLE AS pattern FROM risk_table)
+        ON zscore, iqr, ma, ewma, pattern INTO NAME method VALUE score) u GROUP BY host, method
     UNION ALL SELECT host, 'recommendation', 0, CASE WHEN c > 0 THEN 'act_on_critical_hours' WHEN w > 0 THEN 'watch_warning_hours'
       ELSE 'keep_monitoring' END, NULL FROM s""".replace("0 AS ord", "CAST(0 AS BIGINT) AS ord"))
 def report_rows(spark, sf):
@@ -227,7 +230,7 @@ def report_rows(spark, sf):
 
     tables = _risk(spark, sf)
     params = replace(DEFAULT_RISK, warning=0.15, critical=0.3)
-    out = T.report_rows(tables.risk, jobs.peak_levels(tables, 0.15, 0.3), params, methods=False)
+    out = T.report_rows(tables.risk, jobs.peak_levels(tables, 0.15, 0.3), params)
     return _rounded(out.withColumn("ord", F.col("ord").cast("bigint")), "value")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from pulsegrid import schema
 from pulsegrid.functions.expressions import parse_ts
-from pulsegrid.operators.ordered import salted_lookup
+from pulsegrid.operators.ordered import checked_broadcast, join_nullsafe
+from pulsegrid.session import materialize
 
 # Field values stay text until ``to_points`` so that one odd value does not void the row.
 _WIRE = T.StructType(
@@ -61,6 +62,9 @@ def ingest_metrics(
     unreadable JSON and times.  Strict: rows without measurement or fields are
     rejected with their index, and so is every row of a batch over ``max_batch``.
     A row without a time gets ``now``; one whose time cannot be read is rejected.
+
+    Batches are counted from ``batch_id`` alone; only the list of those over ``max_batch``, at most one for so
+    many rows, meets the rows, by broadcast while its counted size allows.
     """
     parsed = parse_submitted(json_df)
     unreadable = F.col("measurement").isNull() & F.col("tags").isNull() & F.col("fields").isNull()
@@ -68,8 +72,9 @@ def ingest_metrics(
     bad_time = F.col("timestamp").isNotNull() & parse_ts(F.col("timestamp")).isNull()
     if strict:
         sizes = json_df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_size"))
-        parsed = salted_lookup(parsed, sizes, ["batch_id"], ["index"])
-        reason = F.when(F.col("_size") > max_batch, f"more than {max_batch} metrics in the batch").when(
+        oversized = materialize(sizes.where(F.col("_size") > max_batch), "oversized-batches")
+        parsed = join_nullsafe(parsed, checked_broadcast(oversized), ["batch_id"], "left")
+        reason = F.when(F.col("_size").isNotNull(), f"more than {max_batch} metrics in the batch").when(
             F.col("measurement").isNull() | F.col("fields").isNull(), "missing required fields"
         ).when(bad_time, "unreadable time")
         checked = parsed.withColumn("reason", reason).drop("_size")
