@@ -6,6 +6,10 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import aggregate as A
@@ -72,6 +76,42 @@ def test_disk_model_separates_and_guards(spark):
     assert (row["probability"], row["status"]) == (0.05, "unknown")
 
 
+def test_disk_model_on_bins_equals_trees_on_all_rows(spark):
+    """Fitting reads one weighted row per combination of bins, and the trees are those of all rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 10, (3000, 3))
+    x[:, 1] = np.round(x[:, 1])
+    x[rng.random(3000) < 0.6, 2] = 0  # one value holds many shares
+    y = x[:, 0] + x[:, 1] + rng.normal(0, 5, 3000) > 12
+    names = ["a", "b", "c", "same"]
+    rows = [(i, *map(float, r), 7.0, int(f)) for i, (r, f) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, same double, failed int")
+    plain = Pipeline(stages=[
+        VectorAssembler(inputCols=names, outputCol="features"),
+        GBTClassifier(featuresCol="features", labelCol="failed", maxIter=5, stepSize=0.1, maxDepth=3, seed=42),
+    ]).fit(df)
+    want = {r["id"]: r["p"] for r in plain.transform(df).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    model = DM.fit_disk_model(df, "failed", names, rounds=5)
+    got = {r["id"]: r["probability"] for r in DM.predict_disk(model, df, names).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    # copies change nothing but the weights: every round still reads the same rows
+    few = df.where("id < 300").select(*[F.round(n).alias(n) for n in names], "failed")
+    copied = few.crossJoin(spark.range(40).select())
+    seen = []
+    real = DM.GBTClassifier.fit
+
+    def fit(self, data, *more):
+        seen.append((data.count(), data.agg(F.sum("weight")).first()[0]))
+        return real(self, data, *more)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(DM.GBTClassifier, "fit", fit)
+        one, many = (DM.fit_disk_model(d, "failed", names, rounds=2) for d in (few, copied))
+    assert seen[0][0] == seen[1][0] and seen[0][1] == 300 and seen[1][1] == 12_000
+    a, b = ({(r["a"], r["b"], r["c"]): r["probability"] for r in DM.predict_disk(m, few, names).collect()} for m in (one, many))
+    assert a == pytest.approx(b, abs=1e-9)
+
+
 def test_seasonal_model_recovers_a_wave(grid):
     series = grid.select("host", "ts", F.col("cpu").alias("value"))
     model = E.fit_seasonal(series, ["host"])
