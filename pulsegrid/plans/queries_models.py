@@ -270,17 +270,17 @@ def stream_sliding_hour_stats(spark, sf):
 _PASSED = "epoch_us({ts}) // 1000 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM {table})"
 
 
-@query("stream_quota", f"""
+@query("stream_quota", """
     WITH RECURSIVE k AS (SELECT client, ts, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS rn FROM requests),
     w AS (SELECT client, rn, sec AS since, 1::DOUBLE AS tokens, true AS allowed, 0 AS retry_after FROM k WHERE rn = 1
       UNION ALL SELECT client, rn, CASE WHEN lvl >= 1 THEN sec ELSE since END, CASE WHEN lvl >= 1 THEN lvl - 1 ELSE tokens END, lvl >= 1,
         CASE WHEN lvl >= 1 THEN 0 ELSE CAST(floor((1 - lvl) / 0.0005::DOUBLE) AS INTEGER) + 1 END FROM (
         SELECT k.client, k.rn, k.sec, w.since, w.tokens, least(2, w.tokens + (k.sec - w.since) * 0.0005::DOUBLE) AS lvl
         FROM w JOIN k ON k.client = w.client AND k.rn = w.rn + 1) x)
-    SELECT k.client, k.ts, w.allowed, w.retry_after FROM k JOIN w USING (client, rn) WHERE {_PASSED.format(ts='k.ts', table='events')}""")
+    SELECT k.client, k.ts, w.allowed, w.retry_after FROM k JOIN w USING (client, rn)""")
 def stream_quota(spark, sf):
     feed = _feed(spark, sf).select(F.col("host").alias("client"), "ts")
-    return _plain_time(feeds.run_available(stream_token_bucket(feed, "client", capacity=2, rate=1 / 2000), "stream-quota"))
+    return _plain_time(feeds.run_to_end(feed, lambda rows: stream_token_bucket(rows, "client", capacity=2, rate=1 / 2000), "stream-quota"))
 
 
 

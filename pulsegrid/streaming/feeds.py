@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,6 +172,32 @@ def run_available(df: DataFrame, purpose: str, output: str = "append") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+# A time behind all others that pandas can hold.
+END = datetime(2262, 1, 1)
+
+
+def run_to_end(points: DataFrame, rule: Callable[[DataFrame], DataFrame], purpose: str) -> DataFrame:
+    """``run_available`` of ``rule(points)`` for a feed that has ended: also what the watermark has not passed.
+
+    After everything that is there, the same stream meets one more row, which has nothing but a time far
+    behind all others.  It moves the watermark over all points and is itself held for good.
+    """
+    spark = points.sparkSession
+    path, log, end = (shared_dir(spark, f"{purpose}{part}") for part in ("", "-log", "-end"))
+    spark.createDataFrame([], points.schema).write.parquet(end)
+    out = rule(points.unionByName(spark.readStream.schema(points.schema).parquet(end)))
+
+    def run() -> None:
+        writer = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", log)
+        writer.option("path", path).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    last = [F.lit(END).cast(kind).alias(name) if name == "ts" else F.lit(None).cast(kind).alias(name) for name, kind in points.dtypes]
+    spark.range(1).select(*last).write.mode("append").parquet(end)
+    run()
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def stream_cycle(
     points: DataFrame,
     cycle: Callable[[DataFrame, int], None],

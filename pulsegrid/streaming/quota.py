@@ -219,8 +219,12 @@ def stream_token_bucket(
     """The same rule on a stream: ``(client, ts, allowed, retry_after)``.
 
     Requests are answered once the watermark has passed them, so late ones take their place and neither
-    the batches nor the order of arrival within the lateness change an answer.
+    the batches nor the order of arrival within the lateness change an answer.  Requests without a time
+    get null in both columns.
     """
     nothing = F.lit("")
-    answered = in_time_order(held_points(requests, [client], late, nothing, F.lit(0.0), nothing), [client], Quota(Bucket.of(capacity, rate)))
-    return answered.select(client, F.timestamp_micros("at").alias("ts"), "allowed", "retry_after")
+    timed = held_points(requests.where(F.col("ts").isNotNull()), [client], late, nothing, F.lit(0.0), nothing)
+    answered = in_time_order(timed, [client], Quota(Bucket.of(capacity, rate)))
+    none = [F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("int").alias("retry_after")]
+    untimed = requests.where(F.col("ts").isNull()).select(client, "ts", *none)
+    return answered.select(client, F.timestamp_micros("at").alias("ts"), "allowed", "retry_after").unionByName(untimed)

@@ -107,3 +107,14 @@ def test_quota_equals_batch(spark, tmp_path, cut, shuffled):
     out = stream_token_bucket(feed(spark, tmp_path, rows, cut, shuffled), "host", 2, 1 / 300)
     got = [(r["host"], seconds(r["ts"]), r["allowed"], r["retry_after"]) for r in feeds.run_available(out, "t-quota").collect()]
     assert sorted(got) == sorted(r for r in want if r[1] < passed) and {r[2] for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("cut,shuffled", CUTS)
+def test_quota_of_a_feed_that_ended_answers_every_request(spark, tmp_path, cut, shuffled):
+    rows = points()
+    batch = spark.createDataFrame([(i, h, START + dt.timedelta(seconds=s)) for i, h, s, _ in rows], "event_id long, host string, ts timestamp_ntz")
+    want = [(r["host"], seconds(r["ts"]), r["allowed"], r["retry_after"]) for r in token_bucket(batch, "host", ["ts", "event_id"], 2, 1 / 300).collect()]
+    source = feed(spark, tmp_path, rows, cut, shuffled).select("host", "ts")
+    out = feeds.run_to_end(source, lambda r: stream_token_bucket(r, "host", 2, 1 / 300), "t-quota-end")
+    got = [(r["host"], seconds(r["ts"]), r["allowed"], r["retry_after"]) for r in out.collect()]
+    assert len(got) == len(rows) and sorted(got) == sorted(want)
