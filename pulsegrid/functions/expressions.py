@@ -164,3 +164,9 @@ def null_safe_equal(left: str, right: str, names: list[str]) -> Column:
     """Join condition over two aliases, with null equal to null."""
     parts = [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names]
     return reduce(lambda a, b: a & b, parts)
+
+
+def once(value: Column) -> Column:
+    """``value`` as a generated column, computed once per row: a generator of one element keeps the optimizer
+    from repeating the expression wherever its name is used."""
+    return F.explode(F.array(value))

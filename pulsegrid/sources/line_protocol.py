@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.expressions import epoch_nanos, floor_div
+from pulsegrid.functions.expressions import epoch_nanos, floor_div, once
 
 # Escapes of the format.
 _TAG_SPECIAL = r"([,= \\])"
 _TEXT_SPECIAL = r"([\"\\])"
-_NAME = r"(?:\\.|[^,= \\])+"
-_FIELD_VALUE = r"\"(?:\\.|[^\"\\])*\"|[^, \"]+"
-_LINE = rf"^((?:\\.|[^, \\])+)((?:,{_NAME}={_NAME})*) ((?:{_NAME}=(?:{_FIELD_VALUE}),?)+)(?: (-?[0-9]+))?\s*$"
+_NAME = r"(?:[^,= \\]++|\\.)++"
+_FIELD_VALUE = r"\"(?:[^\"\\]++|\\.)*+\"|[^, \"]+"
+_LINE = rf"^((?:[^, \\]++|\\.)++)((?:,{_NAME}={_NAME})*) ((?:{_NAME}=(?:{_FIELD_VALUE}),?)+)(?: (-?[0-9]+))?\s*$"
 
 
 def _escape(text: Column, special: str) -> Column:
@@ -46,8 +46,9 @@ def to_line_protocol(
             value = F.col(field).cast("string")
         body.append(F.concat(F.lit(f"{field}="), value))
     values = F.concat_ws(",", *body)
-    line = F.concat_ws(" ", F.concat_ws(",", *head), values, epoch_nanos(F.col(ts)).cast("string"))
-    return df.withColumn("line", line).where(values != "")
+    line = F.concat_ws(" ", F.concat_ws(",", *head), F.col("_values"), epoch_nanos(F.col(ts)).cast("string"))
+    full = df.select("*", once(values).alias("_values")).where(F.col("_values") != "")
+    return full.withColumn("line", line).drop("_values")
 
 
 def parse_line_protocol(text_df: DataFrame, text: str = "line", keep: list[str] | None = None) -> DataFrame:
@@ -58,13 +59,12 @@ def parse_line_protocol(text_df: DataFrame, text: str = "line", keep: list[str]
     """
     keep = keep or []
     line = F.col(text)
-    split = text_df.where(line.rlike(_LINE)).select(
-        *keep,
-        _unescape(F.regexp_extract(line, _LINE, 1)).alias("measurement"),
-        F.regexp_extract(line, _LINE, 2).alias("_tags"),
-        F.regexp_extract(line, _LINE, 3).alias("_fields"),
-        F.regexp_extract(line, _LINE, 4).alias("_ns"),
-    )
+    # all groups by one match, with NUL between them; a line that has that character itself is matched for each group
+    apart = F.split(F.regexp_replace(line, _LINE, "$1\0$2\0$3\0$4"), "\0")
+    each = F.when(line.rlike(_LINE), F.array(*[F.regexp_extract(line, _LINE, i) for i in range(1, 5)]))
+    groups = F.when(line.contains("\0"), each).otherwise(apart)
+    matched = text_df.select(*keep, once(groups).alias("_g")).where(F.size("_g") == 4)
+    split = matched.select(*keep, *[F.col("_g")[i].alias(n) for i, n in enumerate(("_head", "_tags", "_fields", "_ns"))])
     tag, field = F.lit(rf",({_NAME})=({_NAME})"), F.lit(rf"({_NAME})=({_FIELD_VALUE})")
 
     def names(column: str, pattern: Column) -> Column:
@@ -75,13 +75,14 @@ def parse_line_protocol(text_df: DataFrame, text: str = "line", keep: list[str]
 
     micros = floor_div(F.col("_ns").try_cast("bigint"), 1000)
     pairs = F.arrays_zip(names("_fields", field).alias("name"), raw("_fields", field).alias("raw"))
-    rows = split.select(
-        *keep,
-        "measurement",
+    of_line = F.struct(
+        _unescape(F.col("_head")).alias("measurement"),
         F.map_from_arrays(names("_tags", tag), F.transform(raw("_tags", tag), _unescape)).alias("tags"),
         F.timestamp_micros(micros).cast("timestamp_ntz").alias("ts"),
-        F.explode(pairs).alias("_f"),
+        pairs.alias("pairs"),
     )
+    parsed = split.select(*keep, once(of_line).alias("_l"))  # before the fields part, so not once for each
+    rows = parsed.select(*keep, "_l.measurement", "_l.tags", "_l.ts", F.explode("_l.pairs").alias("_f"))
     value = F.col("_f.raw")
     is_text = value.startswith('"')
     lowered = F.lower(value)
