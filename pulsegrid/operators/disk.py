@@ -48,5 +48,5 @@ def score_disks(wide: DataFrame) -> DataFrame:
     """Add ``failure_probability`` and ``health_status``; absent attribute columns count as missing."""
     missing = {n: F.lit(None).cast("bigint") for n in schema.SMART_SCORE_ATTRIBUTES if n not in wide.columns}
     full = wide.withColumns(missing) if missing else wide
-    scored = full.withColumn("failure_probability", disk_failure_score())
+    scored = full.select("*", X.once(disk_failure_score()).alias("failure_probability"))
     return scored.withColumn("health_status", X.disk_health(F.col("failure_probability")))

@@ -57,6 +57,22 @@ def test_smart_report(spark):
     assert lines["sdb"].startswith("disk_failure,device=sdb failure_probability=0.05,health_status=")
 
 
+def test_smart_lines_with_odd_room_and_lazy_repeats(spark):
+    """Fields are set apart by any room, a tab in front makes an empty one; lines are split once and only repeats are compared."""
+    text = "ID# ATTRIBUTE_NAME\r\n" + "\n".join([
+        " 1\tA 0 100\t 99 10  p q r \t5\r", "\t2 B 0 100 99 10 p q r 6", "3 C 0 100 99 10 p q r\r", "4 a 0 100 99 10 p q r 9 x",
+        "5 D 0 1 2 3 p q ID#ATTRIBUTE_NAME 7", "", "===", "6 E 0 100 99 10 p q r 8  ", "7 E 0 n 99 10 p q r 9"])
+    df = spark.createDataFrame([("x", text), ("y", None), ("z", "ID# ATTRIBUTE_NAME")], "device string, report string")
+    got = sorted((r["device"], r["id"], r["attr"], r["raw"]) for r in ST.parse_smart_reports(df, ["device"]).collect())
+    assert got == [("x", 3, "c", ""), ("x", 4, "a", "9"), ("x", 6, "e", "8")]
+    wide = {r["device"]: r[1:] for r in ST.wide_smart_reports(df, ["device"], ["a", "b", "c", "d", "e"]).collect()}
+    none = (None,) * 5
+    assert wide == {"x": (9, None, None, None, 8), "y": none, "z": none}
+    # no regular expression is compiled for every line or report
+    plan = ST.parse_smart_reports(df, ["device"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "\\s+" not in plan
+
+
 def test_line_protocol_round_trip_with_special_characters(spark):
     at = datetime(2024, 1, 1, 0, 0, 7, 179575)
     df = spark.createDataFrame(
@@ -79,6 +95,19 @@ def test_line_protocol_skips_other_text(spark):
     assert got == [("m", "f", 1.0, None), ("m", "g", 2.0, datetime(1970, 1, 1, 0, 0, 0, 5))]
 
 
+def test_line_protocol_is_matched_once_and_tags_are_read_once_a_line(spark):
+    lines = [("a,t=x\\ y f=1,g=\"p\0, q\",h=2i 7000",), ("a,t=z f=b=c 1",), ("a\\,b,t=u f=true  ",), ("a f=x\"y\" 1",)]
+    df = spark.createDataFrame(lines, "line string")
+    parsed = LP.parse_line_protocol(df)
+    got = sorted((r["measurement"], tuple(r["tags"].items()), r["field"], r["value"], r["text"]) for r in parsed.collect())
+    assert got == [("a", (("t", "x y"),), "f", 1.0, None), ("a", (("t", "x y"),), "g", None, "p\0, q"),
+                   ("a", (("t", "x y"),), "h", 2.0, None), ("a", (("t", "z"),), "f", None, None),
+                   ("a,b", (("t", "u"),), "f", 1.0, None)]
+    steps = parsed._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, step in enumerate(steps) if "map_from_arrays" in step)
+    assert sum("map_from_arrays" in step for step in steps) == 1 and any("explode(_l" in step for step in steps[:at])
+
+
 BODIES = [
     '{"measurement":"cpu","tags":{"host":"a"},"fields":{"u":1.5,"note":"x"},"timestamp":"2024-01-01T00:00:00Z"}',
     '{"tags":{"host":"a"},"fields":{"u":2}}',
