@@ -12,6 +12,7 @@ more often, and a pause that fills the bucket leaves a single piece.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -47,6 +48,31 @@ class Bucket:
             return True, 0, level - self.token
         return False, (self.token - level) // (self.refill * 1_000_000) + 1, level
 
+    def decide_all(self, level: int, since: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """``decide`` for requests at sorted times, from ``level`` at ``since``: allowed, seconds to wait, level at the last, after it.
+
+        Refused requests change nothing, so those before the time that completes a token are answered together.
+        """
+        times, passed, runs, i = at.tolist(), [], [], 0
+        while i < len(times):
+            level, since = min(self.capacity, level + self.gained(times[i] - since)), times[i]
+            if level >= self.token:
+                level -= self.token
+                passed.append(i)
+                i += 1
+                continue
+            end = bisect_left(times, since - (level - self.token) // self.refill, i + 1)
+            runs.append((end - i, self.token - level, since))
+            level, since = level + (times[end - 1] - since) * self.refill, times[end - 1]
+            i = end
+        allowed, wait = np.zeros(len(times), bool), np.zeros(len(times), np.int32)
+        allowed[passed] = True
+        if runs:
+            count, lack, start = np.array(runs, np.int64).T
+            lack = np.repeat(lack, count) - (at[~allowed] - np.repeat(start, count)) * self.refill
+            wait[~allowed] = lack // (self.refill * 1_000_000) + 1
+        return allowed, wait, level
+
 
 class Map:
     """Start levels ``0 .. capacity`` to end levels: pieces from ``start`` on, moved (``moves``) or constant, with the level of their first start."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +10,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.functions.expressions import epoch_micros
 from pulsegrid.operators import ordered
 from pulsegrid.operators.transfer import Bucket, Map, chunk_map
 from pulsegrid.session import materialize
-from pulsegrid.streaming.ordered_rules import held_points, in_time_order
 
 CAPACITY = 20
 RATE = 2.0
@@ -36,6 +37,8 @@ def check(
 
 # Requests of a chunk, which one task reads in order.
 CHUNK_ROWS = 4096
+# Requests that a stream's task answers at a time.
+BLOCK_ROWS = 65_536
 
 _MAP_FIELDS = ["first_at", "last_at", "start", "level", "moves"]
 _MAPS = "first_at long, last_at long, start array<long>, level array<long>, moves array<boolean>"
@@ -191,28 +194,6 @@ def token_bucket(
     return decided.unionByName(untimed.withColumns(nothing))
 
 
-class Quota:
-    """Every request is answered, in order of time, from the bucket its client has left."""
-
-    state = "level bigint, since bigint"
-    out = "at bigint, allowed boolean, retry_after int"
-
-    def __init__(self, bucket: Bucket):
-        self.bucket = bucket
-
-    def point(self, known, at, tie, value, body):
-        level, since = known or (self.bucket.capacity, at)
-        ok, wait, level = self.bucket.decide(min(self.bucket.capacity, level + self.bucket.gained(at - since)))
-        return (level, at), [(at, ok, wait)]
-
-    def rest(self, known, passed_ms, pending):
-        if known is None or pending:
-            return known, [], None
-        # forgotten once the client has been idle for long and its bucket is full again
-        gone = known[1] // 1000 + max(IDLE_MS, -(-self.bucket.full_after // 1000))
-        return (None, [], None) if gone < passed_ms else (known, [], gone)
-
-
 def stream_token_bucket(
     requests: DataFrame, client: str, capacity: int = CAPACITY, rate: float = RATE, late: str = "10 minutes"
 ) -> DataFrame:
@@ -221,10 +202,50 @@ def stream_token_bucket(
     Requests are answered once the watermark has passed them, so late ones take their place and neither
     the batches nor the order of arrival within the lateness change an answer.  Requests without a time
     get null in both columns.
+
+    A client is one task in a batch, and the times it holds are one state row, as compressed steps.  The task takes
+    one step for each allowed request and one for each run of refused ones.
     """
-    nothing = F.lit("")
-    timed = held_points(requests.where(F.col("ts").isNotNull()), [client], late, nothing, F.lit(0.0), nothing)
-    answered = in_time_order(timed, [client], Quota(Bucket.of(capacity, rate)))
+    bucket = Bucket.of(capacity, rate)
+    # an idle client is forgotten once its bucket is full again
+    idle_ms = max(IDLE_MS, -(-bucket.full_after // 1000))
+    columns = [client, "at", "allowed", "retry_after"]
+
+    def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, level, since = state.get if state.exists else (None, None, None)
+        times = [] if held is None else [np.cumsum(np.frombuffer(zlib.decompress(held), np.int64))]
+        if not state.hasTimedOut:
+            times += [pdf["at"].to_numpy(np.int64, copy=True) for pdf in batches]
+        at, passed_ms, found = np.concatenate(times or [np.empty(0, np.int64)]), state.getCurrentWatermarkMs(), []
+        times.clear()
+        at.sort()
+        now, later = np.split(at, [np.searchsorted(at, passed_ms * 1000)])
+        for i in range(0, len(now), BLOCK_ROWS):
+            block = now[i : i + BLOCK_ROWS]
+            if level is None:
+                level, since = bucket.capacity, int(block[0])
+            allowed, wait, level = bucket.decide_all(level, since, block)
+            since = int(block[-1])
+            found.append((block, allowed, wait))
+        if len(later):
+            look = int(later[0]) // 1000
+        elif level is not None:
+            look = since // 1000 + idle_ms
+            level, since = (None, None) if look < passed_ms else (level, since)
+        if level is None and not len(later):
+            state.remove()
+        else:
+            state.update((zlib.compress(np.diff(later, prepend=0), 1), level, since))
+            state.setTimeoutTimestamp(max(look, passed_ms + 1))
+        for block, *answers in found:
+            yield pd.DataFrame(dict(zip(columns, ([key[0]] * len(block), block, *answers))))
+
+    marked = requests.where(F.col("ts").isNotNull()).withWatermark("ts", late)
+    timed = marked.select(client, "ts", epoch_micros(F.col("ts")).alias("at"))
+    answered = timed.groupBy(client).applyInPandasWithState(
+        answer, f"`{client}` {dict(requests.dtypes)[client]}, at bigint, allowed boolean, retry_after int",
+        "held binary, level bigint, since bigint", "append", GroupStateTimeout.EventTimeTimeout,
+    )
     none = [F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("int").alias("retry_after")]
     untimed = requests.where(F.col("ts").isNull()).select(client, "ts", *none)
     return answered.select(client, F.timestamp_micros("at").alias("ts"), "allowed", "retry_after").unionByName(untimed)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import alerts as L
+from pulsegrid.operators.transfer import Bucket
 from pulsegrid.streaming import feeds
 from pulsegrid.streaming import ordered_rules as O
 from pulsegrid.streaming.quota import stream_token_bucket, token_bucket
@@ -118,3 +120,37 @@ def test_quota_of_a_feed_that_ended_answers_every_request(spark, tmp_path, cut,
     out = feeds.run_to_end(source, lambda r: stream_token_bucket(r, "host", 2, 1 / 300), "t-quota-end")
     got = [(r["host"], seconds(r["ts"]), r["allowed"], r["retry_after"]) for r in out.collect()]
     assert len(got) == len(rows) and sorted(got) == sorted(want)
+
+
+def test_decide_all_is_decide_one_by_one():
+    rng = random.Random(7)
+    for capacity, rate, gaps in [(2, 1 / 2000, [0, 0, 1, 300, 9_000]), (20, 2.0, [0, 0, 0, 1, 30]), (1, 1 / 3, [0, 1, 2, 3, 4]), (3, 0.1, [50])]:
+        bucket, at = Bucket.of(capacity, rate), [1_700_000_000_000_000]
+        for _ in range(3000):
+            at.append(at[-1] + rng.choice(gaps) * 1_000_000 + rng.choice([0, 1]))
+        level, since, want = bucket.token // 3, at[0] - 5, []
+        for t in at:
+            ok, wait, level = bucket.decide(min(bucket.capacity, level + bucket.gained(t - since)))
+            since = t
+            want.append((ok, wait))
+        allowed, wait, last = bucket.decide_all(bucket.token // 3, at[0] - 5, np.array(at))
+        assert list(zip(allowed.tolist(), wait.tolist())) == want and last == level
+
+
+def test_quota_holds_few_bytes_a_request(spark, tmp_path):
+    count = 100_000
+    at = (F.lit(START).cast("timestamp") + F.make_dt_interval(secs=F.col("id") * 0.7 + F.col("id") % 7 / 1000)).cast("timestamp_ntz")
+    spark.range(count).select(F.lit("a").alias("host"), at.alias("ts")).coalesce(1).write.parquet(str(tmp_path / "busy"))
+    schema = spark.read.parquet(str(tmp_path / "busy")).schema
+    out = stream_token_bucket(feeds.stream_points(spark, str(tmp_path / "busy"), schema), "host", 2, 1 / 300)
+    writer = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).option("path", str(tmp_path / "out"))
+    run = writer.trigger(availableNow=True).start()
+    run.awaitTermination()
+    held = max(p.stateOperators[0].memoryUsedBytes for p in run.recentProgress if p.stateOperators)
+    assert held < 8 * count
+    batch = spark.read.parquet(str(tmp_path / "busy"))
+    passed = batch.agg(F.max("ts")).first()[0] - dt.timedelta(seconds=LATE)
+    want = token_bucket(batch, "host", ["ts"], 2, 1 / 300).where(F.col("ts") < F.lit(passed)).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == want.count() > 0.9 * count
+    assert got.exceptAll(want.select(*got.columns)).isEmpty()
